@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import behavior, sql_behavior
+from . import behavior, models, sql_behavior, sql_models
+
+_QUERY_MODULES = [behavior, models]
+_SQL_MODULES = [sql_behavior, sql_models]
 
 
 def queries() -> dict:
     out = {}
-    out.update(behavior.QUERIES)
+    for m in _QUERY_MODULES:
+        out.update(m.QUERIES)
     return out
 
 
 def oracle_sql() -> dict:
     out = {}
-    out.update(sql_behavior.SQL)
+    for m in _SQL_MODULES:
+        out.update(m.SQL)
     return out
