@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import behavior, models, sql_behavior, sql_models
+from . import behavior, models, sql_behavior, sql_models, sql_text, text
 
-_QUERY_MODULES = [behavior, models]
-_SQL_MODULES = [sql_behavior, sql_models]
+_QUERY_MODULES = [behavior, models, text]
+_SQL_MODULES = [sql_behavior, sql_models, sql_text]
 
 
 def queries() -> dict:
