@@ -73,6 +73,14 @@ def panels(stats: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(dim), "pair")
 
 
+def round_half_even(c: Column, digits: int) -> Column:
+    """Array-library rounding: scale, round half to even on the double, unscale.
+    (``bround`` rounds the exact decimal value instead and differs on halves
+    that binary doubles cannot hold.)"""
+    scale = float(10**digits)
+    return F.rint(c * F.lit(scale)) / F.lit(scale)
+
+
 def heatmap(stats: DataFrame, group: str = "user_type", digits: int = 3) -> DataFrame:
     """State, action and mean rounded half-to-even (O-A8); the pair name is
     split on ``_``."""
@@ -81,7 +89,7 @@ def heatmap(stats: DataFrame, group: str = "user_type", digits: int = 3) -> Data
         group,
         F.get(parts, 0).alias("State"),
         F.get(parts, 1).alias("Action"),
-        F.bround("mean", digits).alias("mean"),
+        round_half_even(F.col("mean"), digits).alias("mean"),
     )
 
 

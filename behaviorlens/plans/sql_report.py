@@ -36,7 +36,9 @@ REWARD_MEANS = f"WITH {REWARDS} SELECT user_type, pair, n, round(mean, 6) AS mea
 REWARD_PANELS = f"""WITH {REWARDS}, {PANELS}
 SELECT user_type, panel, CAST(rank AS INTEGER) AS rank, stats.pair, round(mean, 6) AS mean, round(stderr, 6) AS stderr
 FROM stats JOIN panel_dim ON panel_dim.pair = stats.pair"""
-HEAT = "SELECT user_type, split_part(pair, '_', 1) AS State, split_part(pair, '_', 2) AS Action, round_even(mean, 3) AS mean FROM stats"
+HEAT = """SELECT user_type, split_part(pair, '_', 1) AS State, split_part(pair, '_', 2) AS Action,
+       round_even(mean * 1000.0, 0) / 1000.0 AS mean
+FROM (SELECT user_type, pair, avg(CAST(round(reward * 100) AS BIGINT)) / 100.0 AS mean FROM rl GROUP BY user_type, pair) s"""
 REWARD_HEATMAP = f"WITH {REWARDS} {HEAT}"
 REWARD_PIVOT = f"""WITH {REWARDS}, heat AS ({HEAT})
 SELECT user_type, State,
