@@ -140,8 +140,11 @@ def tokenize(c: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 
 def drop_tokens(tokens: Column, words: list[str]) -> Column:
-    lit_words = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda t: ~F.array_contains(lit_words, t))
+    """Drop tokens found in ``words`` (an IN list, planned as a hash set)."""
+    words = list(words)
+    if not words:
+        return tokens
+    return F.filter(tokens, lambda t: ~t.isin(words))
 
 
 def remove_stopwords(tokens: Column, stopwords: list[str] | None = None) -> Column:

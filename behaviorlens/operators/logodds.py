@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preprocess
+from .partitioning import spread
 
 UNDEFINED_MODES = ("error", "null")
 
@@ -43,7 +44,7 @@ def token_counts(
     """Per-token counts ``y_i``, ``y_j``, ``y_bg`` (L1, T6): the full outer
     combination of the per-corpus word counts in one aggregation."""
     member = F.col("in_i") | F.col("in_j") | F.col("in_bg")
-    toks = docs.where(member).select(
+    toks = spread(docs.where(member)).select(
         "in_i", "in_j", "in_bg",
         F.explode(preprocess(F.col("text"), lower_case, rm_stopwords, rm_punctuations, tokenizer)).alias("token"),
     )
@@ -64,22 +65,32 @@ def log_odds(
     on_undefined: str = "error",
 ) -> DataFrame:
     """Per-token ``y_i, y_j, alpha, delta, sigma_2, z`` over the vocabulary of
-    corpora i and j (L2-L8).
+    corpora i and j (L1-L8).
 
     alpha is the background count when ``background`` is set and the
-    background has documents, else y_i + y_j.  delta uses base-10 logs.  A
-    token whose smoothed count or complement is not positive is undefined:
-    ``on_undefined='error'`` fails the job, ``'null'`` leaves NULL scores."""
-    if on_undefined not in UNDEFINED_MODES:
-        raise ValueError(f"on_undefined must be one of {UNDEFINED_MODES}")
+    background has documents, else y_i + y_j."""
     counts = token_counts(docs, lower_case, rm_stopwords, rm_punctuations, tokenizer)
+    alpha = None
     if background:
         bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs"))
-        counts = counts.crossJoin(F.broadcast(bg_docs)).withColumn(
-            "alpha", F.when(F.col("bg_docs") > 0, F.col("y_bg")).otherwise(F.col("y_i") + F.col("y_j"))
-        ).drop("bg_docs")
-    else:
-        counts = counts.withColumn("alpha", F.col("y_i") + F.col("y_j"))
+        counts = counts.crossJoin(F.broadcast(bg_docs))
+        alpha = F.when(F.col("bg_docs") > 0, F.col("y_bg")).otherwise(F.col("y_i") + F.col("y_j"))
+    return score_counts(counts, F.col("y_i"), F.col("y_j"), alpha, on_undefined)
+
+
+def score_counts(
+    counts: DataFrame, y_i: Column, y_j: Column, alpha: Column | None = None, on_undefined: str = "error"
+) -> DataFrame:
+    """Scores from a per-token count table (L2-L8), so several corpus pairs can
+    share one tokenising pass.  ``alpha`` defaults to y_i + y_j.
+
+    delta uses base-10 logs.  A token whose smoothed count or complement is
+    not positive is undefined: ``on_undefined='error'`` fails the job,
+    ``'null'`` leaves NULL scores."""
+    if on_undefined not in UNDEFINED_MODES:
+        raise ValueError(f"on_undefined must be one of {UNDEFINED_MODES}")
+    alpha = alpha if alpha is not None else y_i + y_j
+    counts = counts.select("token", y_i.alias("y_i"), y_j.alias("y_j"), alpha.alias("alpha"))
     totals = counts.agg(
         F.sum("y_i").alias("n_i"), F.sum("y_j").alias("n_j"), F.sum("alpha").alias("alpha_0")
     )
@@ -102,6 +113,15 @@ def log_odds(
     return scored.select("token", "y_i", "y_j", "alpha", "delta", "sigma_2", "z")
 
 
+def label_token_counts(docs: DataFrame, label_col: str, labels: list[int], **prep) -> DataFrame:
+    """Per-token counts ``y_<label>`` for several labels in one tokenising
+    pass and one aggregation."""
+    toks = spread(docs.where(F.col(label_col).isin(labels))).select(
+        label_col, F.explode(preprocess(F.col("text"), **prep)).alias("token")
+    )
+    return toks.groupBy("token").agg(*[F.count_if(F.col(label_col) == v).alias(f"y_{v}") for v in labels])
+
+
 def top_tokens(scores: DataFrame, k: int = 10, bottom: bool = False) -> DataFrame:
     """Top-k (or bottom-k) tokens by z, ties broken by token (L9).  Fails when
     k exceeds the vocabulary.  Plans as a bounded per-partition top-k."""

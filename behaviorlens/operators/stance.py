@@ -12,10 +12,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PLACEHOLDERS, strip_text, tokenize
+from .partitioning import spread
 
 SUPPORT, OPPOSE, NEITHER = 1, 2, 3
 
@@ -60,27 +62,38 @@ def train_classifier(
     vocabulary: list[str],
     text_col: str = "text",
     label_col: str = "label",
-    num_features: int = 1 << 18,
-    max_iter: int = 50,
+    num_features: int = 1 << 16,
+    max_iter: int = 30,
     reg_param: float = 0.01,
 ) -> PipelineModel:
     """Fit the stance pipeline (B1-B3): hashed TF-IDF plus a count block over
-    the stance-token vocabulary, then logistic regression (1 vs rest)."""
-    data = labelled.select(post_tokens(F.col(text_col)).alias("tokens"), F.col(label_col).cast("double").alias("label"))
-    stages = [
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="stance_tf"),
-        VectorAssembler(inputCols=["tfidf", "stance_tf"], outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param),
-    ]
-    return Pipeline(stages=stages).fit(data)
+    the stance-token vocabulary, then logistic regression (1 vs rest).
+
+    The feature table is computed once and persisted for the optimiser's
+    passes (each L-BFGS step is a distributed pass over it), then released."""
+    data = spread(labelled).select(
+        post_tokens(F.col(text_col)).alias("tokens"), F.col(label_col).cast("double").alias("label")
+    )
+    featurizer = Pipeline(
+        stages=[
+            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
+            IDF(inputCol="tf", outputCol="tfidf"),
+            CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="stance_tf"),
+            VectorAssembler(inputCols=["tfidf", "stance_tf"], outputCol="features"),
+        ]
+    ).fit(data)
+    features = featurizer.transform(data).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param).fit(features)
+    finally:
+        features.unpersist()
+    return PipelineModel(stages=featurizer.stages + [lr])
 
 
 def score_posts(model: PipelineModel, posts: DataFrame, text_col: str = "body") -> DataFrame:
     """Probability of class 1 for every post as ``stance_propaganda`` (B5, B6):
     the score is a column of the same row; the text column is dropped."""
-    tokens = posts.withColumn("tokens", post_tokens(F.col(text_col)))
+    tokens = spread(posts).withColumn("tokens", post_tokens(F.col(text_col)))
     out = model.transform(tokens)
     keep = [c for c in posts.columns if c != text_col]
     return out.select(*keep, vector_to_array(F.col("probability")).getItem(1).alias("stance_propaganda"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_post, preprocess
 from ..operators import logodds, stance
+from ..operators.partitioning import spread
 from ..sources import fixtures
 
 TOP_K = 10
@@ -51,7 +52,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 def q_decontract_tokens(spark, sf_dir):
     toks = preprocess(F.col("text"))
-    return docs(spark, sf_dir).select(
+    return spread(docs(spark, sf_dir)).select(
         "doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(toks, " ").alias("tokens")
     )
 
@@ -61,7 +62,7 @@ def q_token_counts(spark, sf_dir):
 
 
 def q_normalized_posts(spark, sf_dir):
-    conv = fixtures.table(spark, sf_dir, "conversations")
+    conv = spread(fixtures.table(spark, sf_dir, "conversations"))
     return conv.select("conv_id", "turn", normalize_post(F.col("text")).alias("text_normalized"))
 
 
@@ -88,10 +89,14 @@ def q_log_odds_bottom(spark, sf_dir):
 
 def stance_word_lists(spark, sf_dir) -> DataFrame:
     """The four top-word lists: support vs rest and oppose vs rest, top and
-    bottom k of each."""
+    bottom k of each, from one shared per-stance count table."""
+    d = docs(spark, sf_dir).withColumn("stance", fixtures.stance_label(F.col("quality"), F.col("toxic")))
+    sides = [stance.SUPPORT, stance.OPPOSE, stance.NEITHER]
+    counts = logodds.label_token_counts(d, "stance", sides)
     parts = []
     for side in (stance.SUPPORT, stance.OPPOSE):
-        scores = logodds.log_odds(stance_flags(spark, sf_dir, side))
+        rest = [F.col(f"y_{s}") for s in sides if s != side]
+        scores = logodds.score_counts(counts, F.col(f"y_{side}"), rest[0] + rest[1])
         for bottom in (False, True):
             parts.append(logodds.top_tokens(scores, TOP_K, bottom=bottom).select(F.col("token").alias("word")))
     return reduce(DataFrame.unionByName, parts)
