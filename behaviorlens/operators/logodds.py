@@ -91,10 +91,14 @@ def score_counts(
         raise ValueError(f"on_undefined must be one of {UNDEFINED_MODES}")
     alpha = alpha if alpha is not None else y_i + y_j
     counts = counts.select("token", y_i.alias("y_i"), y_j.alias("y_j"), alpha.alias("alpha"))
+    in_vocab = (F.col("y_i") > 0) | (F.col("y_j") > 0)
     totals = counts.agg(
-        F.sum("y_i").alias("n_i"), F.sum("y_j").alias("n_j"), F.sum("alpha").alias("alpha_0")
+        F.sum("y_i").alias("n_i"),
+        F.sum("y_j").alias("n_j"),
+        F.sum("alpha").alias("alpha_0"),
+        F.count_if(in_vocab).alias("vocab_size"),
     )
-    vocab = counts.where((F.col("y_i") > 0) | (F.col("y_j") > 0)).crossJoin(F.broadcast(totals))
+    vocab = counts.where(in_vocab).crossJoin(F.broadcast(totals))
     yi, yj, a = F.col("y_i"), F.col("y_j"), F.col("alpha")
     num_i, num_j = yi + a, yj + a
     den_i = F.col("n_i") + F.col("alpha_0") - yi - a
@@ -110,7 +114,7 @@ def score_counts(
 
     scored = vocab.withColumns({"delta": guard(delta), "sigma_2": guard(sigma_2)})
     scored = scored.withColumn("z", F.col("delta") / F.sqrt("sigma_2"))
-    return scored.select("token", "y_i", "y_j", "alpha", "delta", "sigma_2", "z")
+    return scored.select("token", "y_i", "y_j", "alpha", "delta", "sigma_2", "z", "vocab_size")
 
 
 def label_token_counts(docs: DataFrame, label_col: str, labels: list[int], **prep) -> DataFrame:
@@ -127,8 +131,12 @@ def top_tokens(scores: DataFrame, k: int = 10, bottom: bool = False) -> DataFram
     k exceeds the vocabulary.  Plans as a bounded per-partition top-k."""
     order = [F.col("z").asc(), F.col("token").asc()] if bottom else [F.col("z").desc(), F.col("token").asc()]
     picked = scores.orderBy(*order).limit(k)
-    size = scores.agg(F.count(F.lit(1)).alias("_vocab"))
-    checked = picked.crossJoin(F.broadcast(size)).withColumn(
+    if "vocab_size" in scores.columns:  # carried from the one-row totals
+        checked = picked.withColumn("_vocab", F.col("vocab_size"))
+    else:
+        size = scores.agg(F.count(F.lit(1)).alias("_vocab"))
+        checked = picked.crossJoin(F.broadcast(size))
+    checked = checked.withColumn(
         "z",
         F.when(
             F.col("_vocab") < k, F.raise_error(F.lit(f"top-k size {k} exceeds the vocabulary")).cast("double")
