@@ -2,14 +2,15 @@
 (P13-P16, B1-B7).
 
 The classifier is a Spark ML pipeline (hashed term frequencies, IDF, a fixed
-stance-token vocabulary block, logistic regression): training and scoring are
-distributed; only the short stance-token list (top-k words) reaches the driver.
+stance-token vocabulary block, naive Bayes or logistic regression): training
+and scoring are distributed; only the short stance-token list (top-k words)
+reaches the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
@@ -57,20 +58,27 @@ def post_tokens(text: Column) -> Column:
     return tokenize(F.lower(strip_text(text)))
 
 
+CLASSIFIERS = ("naive_bayes", "logistic")
+
+
 def train_classifier(
     labelled: DataFrame,
     vocabulary: list[str],
     text_col: str = "text",
     label_col: str = "label",
     num_features: int = 1 << 16,
+    classifier: str = "naive_bayes",
     max_iter: int = 30,
     reg_param: float = 0.01,
 ) -> PipelineModel:
     """Fit the stance pipeline (B1-B3): hashed TF-IDF plus a count block over
-    the stance-token vocabulary, then logistic regression (1 vs rest).
+    the stance-token vocabulary, then a binary classifier (1 vs rest).
 
-    The feature table is computed once and persisted for the optimiser's
-    passes (each L-BFGS step is a distributed pass over it), then released."""
+    ``naive_bayes`` (multinomial) trains in one aggregation pass over the
+    features; ``logistic`` runs one distributed pass per optimiser step, with
+    the feature table persisted for those passes and released afterwards."""
+    if classifier not in CLASSIFIERS:
+        raise ValueError(f"classifier must be one of {CLASSIFIERS}")
     data = spread(labelled).select(
         post_tokens(F.col(text_col)).alias("tokens"), F.col(label_col).cast("double").alias("label")
     )
@@ -82,12 +90,16 @@ def train_classifier(
             VectorAssembler(inputCols=["tfidf", "stance_tf"], outputCol="features"),
         ]
     ).fit(data)
-    features = featurizer.transform(data).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    features = featurizer.transform(data).select("features", "label")
+    if classifier == "naive_bayes":
+        model = NaiveBayes(featuresCol="features", labelCol="label", modelType="multinomial", smoothing=1.0).fit(features)
+        return PipelineModel(stages=featurizer.stages + [model])
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param).fit(features)
+        model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg_param).fit(features)
     finally:
         features.unpersist()
-    return PipelineModel(stages=featurizer.stages + [lr])
+    return PipelineModel(stages=featurizer.stages + [model])
 
 
 def score_posts(model: PipelineModel, posts: DataFrame, text_col: str = "body") -> DataFrame:
