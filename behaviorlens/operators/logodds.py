@@ -3,8 +3,8 @@
 Input is one document table with membership flags ``in_i``, ``in_j`` and
 ``in_bg`` so a document that belongs to several corpora (the background
 usually holds both others) is tokenised once.  Counting is one exploded
-partial aggregation on token; corpus totals are a one-row aggregate joined by
-broadcast (its size is one row by construction).
+partial aggregation on token; corpus totals are one scalar subquery (a
+one-row aggregate evaluated once and inlined as a literal, no join).
 """
 
 from __future__ import annotations
@@ -72,9 +72,8 @@ def log_odds(
     counts = token_counts(docs, lower_case, rm_stopwords, rm_punctuations, tokenizer)
     alpha = None
     if background:
-        bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs"))
-        counts = counts.crossJoin(F.broadcast(bg_docs))
-        alpha = F.when(F.col("bg_docs") > 0, F.col("y_bg")).otherwise(F.col("y_i") + F.col("y_j"))
+        bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs")).scalar()
+        alpha = F.when(bg_docs > 0, F.col("y_bg")).otherwise(F.col("y_i") + F.col("y_j"))
     return score_counts(counts, F.col("y_i"), F.col("y_j"), alpha, on_undefined)
 
 
@@ -93,12 +92,16 @@ def score_counts(
     counts = counts.select("token", y_i.alias("y_i"), y_j.alias("y_j"), alpha.alias("alpha"))
     in_vocab = (F.col("y_i") > 0) | (F.col("y_j") > 0)
     totals = counts.agg(
-        F.sum("y_i").alias("n_i"),
-        F.sum("y_j").alias("n_j"),
-        F.sum("alpha").alias("alpha_0"),
-        F.count_if(in_vocab).alias("vocab_size"),
+        F.struct(
+            F.sum("y_i").alias("n_i"),
+            F.sum("y_j").alias("n_j"),
+            F.sum("alpha").alias("alpha_0"),
+            F.count_if(in_vocab).alias("vocab_size"),
+        ).alias("t")
+    ).scalar()
+    vocab = counts.where(in_vocab).withColumns(
+        {name: totals[name] for name in ("n_i", "n_j", "alpha_0", "vocab_size")}
     )
-    vocab = counts.where(in_vocab).crossJoin(F.broadcast(totals))
     yi, yj, a = F.col("y_i"), F.col("y_j"), F.col("alpha")
     num_i, num_j = yi + a, yj + a
     den_i = F.col("n_i") + F.col("alpha_0") - yi - a
@@ -134,8 +137,7 @@ def top_tokens(scores: DataFrame, k: int = 10, bottom: bool = False) -> DataFram
     if "vocab_size" in scores.columns:  # carried from the one-row totals
         checked = picked.withColumn("_vocab", F.col("vocab_size"))
     else:
-        size = scores.agg(F.count(F.lit(1)).alias("_vocab"))
-        checked = picked.crossJoin(F.broadcast(size))
+        checked = picked.withColumn("_vocab", scores.agg(F.count(F.lit(1))).scalar())
     checked = checked.withColumn(
         "z",
         F.when(

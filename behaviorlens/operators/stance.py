@@ -111,6 +111,24 @@ def score_posts(model: PipelineModel, posts: DataFrame, text_col: str = "body")
     return out.select(*keep, vector_to_array(F.col("probability")).getItem(1).alias("stance_propaganda"))
 
 
+def score_with_predictor(
+    posts: DataFrame,
+    make_predict_fn,
+    text_col: str = "body",
+    batch_size: int = 256,
+) -> DataFrame:
+    """Score posts with a user-supplied model (B5): ``make_predict_fn()``
+    returns a function from a NumPy array of texts to a NumPy array of class-1
+    probabilities.  Runs in Arrow batches on the executors; the model is built
+    once per Python worker."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    score = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size)
+    keep = [c for c in posts.columns if c != text_col]
+    return spread(posts).select(*keep, score(F.col(text_col)).alias("stance_propaganda"))
+
+
 def author_mean(scores: DataFrame, author_col: str = "author_id", score_col: str = "stance_propaganda") -> DataFrame:
     """Mean score per author (B7); rows without an author are dropped."""
     return (

@@ -9,13 +9,21 @@ from ..operators import rewards, transitions
 from . import behavior
 
 
-def model(spark, sf_dir, modulo=None) -> DataFrame:
-    return transitions.model_table(behavior.pairs(spark, sf_dir, modulo=modulo))
+def valued_pairs(spark, sf_dir, modulo=None) -> DataFrame:
+    """Pairs carrying the event ``value`` (one sequence build shared by the
+    model table and the data-derived rewards)."""
+    return behavior.pairs(spark, sf_dir, modulo=modulo, extra=["value"])
 
 
-def data_rewards(spark, sf_dir, modulo=None) -> DataFrame:
+def model(spark, sf_dir, modulo=None, pairs: DataFrame | None = None) -> DataFrame:
+    p = pairs if pairs is not None else behavior.pairs(spark, sf_dir, modulo=modulo)
+    return transitions.model_table(p)
+
+
+def data_rewards(spark, sf_dir, modulo=None, pairs: DataFrame | None = None) -> DataFrame:
     """Deterministic rewards from the events: per state the sum of ``value``."""
-    return rewards.event_rewards(behavior.pairs(spark, sf_dir, modulo=modulo, extra=["value"]))
+    p = pairs if pairs is not None else valued_pairs(spark, sf_dir, modulo)
+    return rewards.event_rewards(p)
 
 
 def fitted(spark, sf_dir) -> DataFrame:
@@ -34,7 +42,8 @@ def q_reward_residual(spark, sf_dir):
 
 
 def _with_data_rewards(spark, sf_dir) -> DataFrame:
-    return model(spark, sf_dir).join(data_rewards(spark, sf_dir), "entity")
+    p = valued_pairs(spark, sf_dir)
+    return model(spark, sf_dir, pairs=p).join(data_rewards(spark, sf_dir, pairs=p), "entity")
 
 
 def q_optimal_values(spark, sf_dir):
@@ -54,9 +63,11 @@ def q_policy_value(spark, sf_dir):
 
 
 def q_value_difference(spark, sf_dir):
-    recovered = rewards.fit_rewards(model(spark, sf_dir))
-    true_r = data_rewards(spark, sf_dir).withColumnRenamed("r", "true_r")
-    return rewards.value_difference_table(model(spark, sf_dir).join(recovered, "entity").join(true_r, "entity"))
+    p = valued_pairs(spark, sf_dir)
+    m = model(spark, sf_dir, pairs=p)
+    recovered = rewards.fit_rewards(m)
+    true_r = data_rewards(spark, sf_dir, pairs=p).withColumnRenamed("r", "true_r")
+    return rewards.value_difference_table(m.join(recovered, "entity").join(true_r, "entity"))
 
 
 def q_expected_visitation(spark, sf_dir):

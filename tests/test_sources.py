@@ -66,3 +66,14 @@ def test_route_posts_and_timeline(spark):
     assert [r["activity"] for r in tl] == [1, 2, 5, 7, 8]
     assert tl[0]["time"].isoformat() == "2018-10-10T20:19:24"
     assert [r["tweet_id"] for r in tl] == [1, 2, 1, 1, 0]
+
+
+def test_count_and_word_sinks(spark, tmpdir_path):
+    counts = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5)], "token string, n long")
+    out = os.path.join(tmpdir_path, "vocab")
+    files.write_counts(counts, out)
+    back = spark.read.csv(out).collect()
+    assert sorted((r[0], int(r[1])) for r in back) == [("a", 2), ("b", 2), ("c", 5)]
+    words = os.path.join(tmpdir_path, "words")
+    files.write_words(counts, words, single_file=True)
+    assert sorted(r["value"] for r in spark.read.text(words).collect()) == ["a", "b", "c"]

@@ -18,7 +18,7 @@ def test_decontract_order(spark):
 
 def test_punctuation_substring_rule(spark):
     toks = one(spark, lambda c: T.remove_punctuations(F.split(c, " ")), "() ./ '' ... ?! ok , #")
-    assert toks == ["...", "?!", "ok"]
+    assert toks == ["''", "...", "?!", "ok"]  # two quotes are not a substring
 
 
 def test_preprocess_drops_placeholders_and_stopwords(spark):
@@ -33,4 +33,21 @@ def test_tokenizer_units(spark):
 
 def test_normalize_post(spark):
     out = one(spark, T.normalize_post, "I can’t   believe @bob   posted https://t.co/x at 5 p . m . 🇷 🇺")
-    assert out == "I ca n't believe @USER posted HTTPURL at 5 p.m. :Russia:"
+    # "n't " is split off and "ca n't" joined back, so "can't" survives
+    assert out == "I can't believe @USER posted HTTPURL at 5 p.m. :Russia:"
+
+
+def test_user_supplied_predictor(spark):
+    import numpy as np
+
+    from behaviorlens.operators.stance import author_mean, score_with_predictor
+
+    def make_predict_fn():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.array([1.0 if "peace" in t else 0.0 for t in texts])
+
+        return predict
+
+    posts = spark.createDataFrame([("a", "peace now"), ("a", "war"), ("b", "peace")], "author_id string, body string")
+    got = {r["author_id"]: r["stance_propaganda"] for r in author_mean(score_with_predictor(posts, make_predict_fn)).collect()}
+    assert got == {"a": 0.5, "b": 1.0}
