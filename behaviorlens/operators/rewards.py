@@ -201,8 +201,22 @@ def _spread(model: DataFrame) -> DataFrame:
     return model.repartition(max(sc.defaultParallelism, 1), "entity")
 
 
-def fit_rewards(model: DataFrame, epochs: int = EPOCHS, learning_rate: float = LEARNING_RATE, discount: float = DISCOUNT) -> DataFrame:
-    """Reward vector per entity: ``(entity, r array<double>)`` (M1)."""
+def fit_rewards(
+    model: DataFrame,
+    epochs: int = EPOCHS,
+    learning_rate: float = LEARNING_RATE,
+    discount: float = DISCOUNT,
+    checkpoint: bool = False,
+) -> DataFrame:
+    """Reward vector per entity: ``(entity, r array<double>)`` (M1).
+
+    With ``checkpoint`` the result is written to the shared checkpoint folder
+    before it is returned, so later stages that lose an executor re-read it
+    instead of re-running the solver."""
+    if checkpoint:
+        from ..session import materialize
+
+        return materialize(fit_rewards(model, epochs, learning_rate, discount))
 
     def run(batches):
         for big in batches:

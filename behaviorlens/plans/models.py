@@ -65,7 +65,7 @@ def q_policy_value(spark, sf_dir):
 def q_value_difference(spark, sf_dir):
     p = valued_pairs(spark, sf_dir)
     m = model(spark, sf_dir, pairs=p)
-    recovered = rewards.fit_rewards(m)
+    recovered = rewards.fit_rewards(m, checkpoint=True)  # solver output feeds a second kernel job
     true_r = data_rewards(spark, sf_dir, pairs=p).withColumnRenamed("r", "true_r")
     return rewards.value_difference_table(m.join(recovered, "entity").join(true_r, "entity"))
 
