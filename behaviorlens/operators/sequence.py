@@ -2,9 +2,9 @@
 
 Window functions partitioned by entity put a whole entity into one task, and
 adaptive execution does not split window partitions.  ``EntitySequence``
-therefore splits *hot* entities (more than ``hot_rows`` events) into time
-buckets of about ``rows_per_bucket`` events and windows on
-``(entity, bucket)``.  The few facts that cross a bucket border (rows before
+therefore splits *hot* entities (more than ``hot_rows`` events) into
+contiguous time buckets of about ``rows_per_bucket`` events (equi-depth, from
+a per-entity histogram) and windows on ``(entity, bucket)``.  The few facts that cross a bucket border (rows before
 the bucket, the entity's first row, the first rows after the bucket, entity
 totals) come from a small per-bucket table, built with partial aggregation
 over the hot rows only and joined back by broadcast when its proven row bound
@@ -22,6 +22,7 @@ from ..schema import ORDER_COLUMNS
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
 DEFAULT_BROADCAST_ROWS = 2_000_000
+SLICES_PER_BUCKET = 16  # histogram resolution of the equi-depth time buckets
 
 
 def time_key(df: DataFrame, time_col: str) -> Column:
@@ -92,24 +93,56 @@ class EntitySequence:
         if n_hot == 0:
             return plain
         self.has_hot = True
-        # every hot entity has at most _nb time buckets plus one for missing times
-        self.bucket_bound = n_buckets + n_hot
+        # Equi-depth buckets from a two-level histogram.  Level 1 cuts each hot
+        # entity's time span into SLICES_PER_BUCKET * _nb equal slices; a slice
+        # holding more than rows_per_bucket rows (a burst) is cut again into
+        # SLICES_PER_BUCKET * ceil(rows / rows_per_bucket) sub-slices.  Slices
+        # are then grouped in time order by cumulative row count.  Missing
+        # times get their own last slice (they sort last).
+        n_slices_total = SLICES_PER_BUCKET * n_buckets + n_hot
+        map_bound = (SLICES_PER_BUCKET + 2) * n_slices_total
+        self.bucket_bound = map_bound
         side = F.broadcast(hot) if n_hot <= self.broadcast_rows else hot
         j = df.join(side.withColumn("_hot", F.lit(True)), self.entity, "left")
-        span = F.col("_t1") - F.col("_t0") + F.lit(1.0)
-        bucket = (
-            F.when(F.col("_hot").isNull(), F.lit(0))
-            .when(F.col(self.time_col).isNull(), F.col("_nb"))
-            .otherwise(
-                F.least(
-                    F.floor((tk - F.col("_t0")) / span * F.col("_nb")).cast("int"),
-                    F.col("_nb") - 1,
-                )
+        n_sl = F.col("_nb") * SLICES_PER_BUCKET
+        pos = (tk - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0)) * n_sl  # in [0, n_sl)
+        slice_ = (
+            F.when(F.col("_hot").isNull(), F.lit(None).cast("int"))
+            .when(F.col(self.time_col).isNull(), n_sl)
+            .otherwise(F.least(F.floor(pos).cast("int"), n_sl - 1))
+        )
+        j = j.withColumns({"_slice": slice_, "_pos": pos})
+        hot_rows_df = j.where(F.col("_hot"))
+        level1 = hot_rows_df.groupBy(self.entity, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+        big = level1.where(F.col("_c") > rows_per_bucket).select(
+            self.entity,
+            "_slice",
+            (F.ceil(F.col("_c") / F.lit(rows_per_bucket)) * SLICES_PER_BUCKET).cast("int").alias("_nsub"),
+        )
+        big_side = F.broadcast(big) if n_slices_total <= self.broadcast_rows else big
+        j = j.join(big_side, [self.entity, "_slice"], "left")
+        sub = F.when(F.col("_nsub").isNull() | F.col("_pos").isNull(), F.lit(0)).otherwise(
+            F.least(
+                F.greatest(F.floor((F.col("_pos") - F.col("_slice")) * F.col("_nsub")).cast("int"), F.lit(0)),
+                F.col("_nsub") - 1,
             )
         )
-        return j.withColumns({"_b": bucket, "_hot": F.coalesce(F.col("_hot"), F.lit(False))}).drop(
-            "_t0", "_t1", "_nb"
+        j = j.withColumn("_sub", sub).drop("_t0", "_t1", "_nb", "_pos", "_nsub")
+        level2 = j.where(F.col("_hot")).groupBy(self.entity, "_slice", "_sub").agg(F.count(F.lit(1)).alias("_c"))
+        before = F.coalesce(
+            F.sum("_c").over(
+                Window.partitionBy(self.entity).orderBy("_slice", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+            ),
+            F.lit(0),
+        )
+        slice_map = level2.select(
+            self.entity, "_slice", "_sub", F.floor(before / F.lit(rows_per_bucket)).cast("int").alias("_b")
         )
+        map_side = F.broadcast(slice_map) if map_bound <= self.broadcast_rows else slice_map
+        out = j.join(map_side, [self.entity, "_slice", "_sub"], "left")
+        return out.withColumns(
+            {"_b": F.coalesce(F.col("_b"), F.lit(0)), "_hot": F.coalesce(F.col("_hot"), F.lit(False))}
+        ).drop("_slice", "_sub")
 
     # -- annotation ------------------------------------------------------------
     def annotate(
