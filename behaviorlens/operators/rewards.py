@@ -75,30 +75,33 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
     ``pr`` = P . r in layout (16, B).  Each state's new value is
     ``max(0, pr[s] + gpt[s] . v)`` (``gate`` None: optimal value, unseen actions
     contribute 0) or ``gate[s] * (pr[s] + gpt[s] . v)`` (fixed policy).  An
-    entity stops after the first sweep whose largest change is <= threshold."""
+    entity stops after the first sweep whose largest change is <= threshold.
+
+    ``pr`` rides along as a 17th coefficient row against a constant 1 in the
+    value vector, so one contraction per state gives ``pr[s] + gpt[s] . v``."""
     b = pr.shape[1]
-    v = np.zeros((N_STATES, b))
+    coef = np.concatenate([gpt, pr[:, None, :]], axis=1)  # (16, 17, B)
+    v = np.zeros((N_STATES + 1, b))
+    v[N_STATES] = 1.0
     active = np.arange(b)
     while active.size:
         full = active.size == b
         vv = v if full else v[:, active]
-        g = gpt if full else gpt[:, :, active]
-        p = pr if full else pr[:, active]
+        g = coef if full else coef[:, :, active]
         gs = None if gate is None else (gate if full else gate[:, active])
-        before = vv.copy()
+        before = vv[:N_STATES].copy()
         buf = np.empty(active.size)
         for s in range(N_STATES):
             np.einsum("kb,kb->b", g[s], vv, out=buf)
-            buf += p[s]
             if gs is None:
                 np.maximum(buf, 0.0, out=vv[s])
             else:
                 np.multiply(buf, gs[s], out=vv[s])
-        diff = np.abs(vv - before).max(axis=0)
+        diff = np.abs(vv[:N_STATES] - before).max(axis=0)
         if not full:
             v[:, active] = vv
         active = active[diff > threshold]
-    return v.T.copy()
+    return v[:N_STATES].T.copy()
 
 
 def _state_major(tp: np.ndarray, r: np.ndarray, discount: float):
