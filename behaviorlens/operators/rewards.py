@@ -80,17 +80,16 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
     ``pr`` rides along as a 17th coefficient row against a constant 1 in the
     value vector, so one contraction per state gives ``pr[s] + gpt[s] . v``."""
     b = pr.shape[1]
-    coef = np.concatenate([gpt, pr[:, None, :]], axis=1)  # (16, 17, B)
     v = np.zeros((N_STATES + 1, b))
     v[N_STATES] = 1.0
-    active = np.arange(b)
-    while active.size:
-        full = active.size == b
-        vv = v if full else v[:, active]
-        g = coef if full else coef[:, :, active]
-        gs = None if gate is None else (gate if full else gate[:, active])
+    work = np.arange(b)  # columns being swept; compacted when half have converged
+    g = np.concatenate([gpt, pr[:, None, :]], axis=1)  # (16, 17, B)
+    gs = gate
+    vv = v
+    live = np.ones(b, dtype=bool)  # within the working set
+    buf = np.empty(b)
+    while True:
         before = vv[:N_STATES].copy()
-        buf = np.empty(active.size)
         for s in range(N_STATES):
             np.einsum("kb,kb->b", g[s], vv, out=buf)
             if gs is None:
@@ -98,9 +97,24 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
             else:
                 np.multiply(buf, gs[s], out=vv[s])
         diff = np.abs(vv[:N_STATES] - before).max(axis=0)
-        if not full:
-            v[:, active] = vv
-        active = active[diff > threshold]
+        done = ~live
+        if done.any():  # converged earlier: undo this sweep for them
+            vv[:N_STATES, done] = before[:, done]
+        live &= diff > threshold
+        n_live = int(live.sum())
+        if n_live == 0:
+            break
+        if n_live * 2 <= live.size:  # compact the working set
+            if vv is not v:
+                v[:, work] = vv
+            work = work[live]
+            g = g[:, :, live]
+            gs = None if gs is None else gs[:, live]
+            vv = v[:, work]
+            live = np.ones(work.size, dtype=bool)
+            buf = np.empty(work.size)
+    if vv is not v:
+        v[:, work] = vv
     return v[:N_STATES].T.copy()
 
 
