@@ -1,7 +1,6 @@
 """Log-odds scores: symmetry, undefined tokens, top-k guard."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from behaviorlens.operators import logodds as L
 
