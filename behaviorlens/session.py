@@ -18,6 +18,23 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(shuffle_bytes: float, cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings that keep shuffle partitions near ``partition_bytes`` for an
+    expected shuffle volume (the projected timeline for the window stage is
+    the largest shuffle), so every task fits in executor memory without
+    heavy spill.  Adaptive execution may coalesce below the initial count but
+    never splits a window partition, which is why hot entities are bucketed."""
+    initial = max(2 * cores, int(shuffle_bytes // partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def get_spark(master: str | None = None, app: str = "behaviorlens", conf: dict | None = None) -> SparkSession:
     """Return the active session, or build one (local tests and scripts)."""
     active = SparkSession.getActiveSession()
