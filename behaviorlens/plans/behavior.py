@@ -102,6 +102,25 @@ def q_feature_expectations(spark, sf_dir):
     )
 
 
+# Hot-entity splitting forced at test scale: every entity above SPLIT_HOT_ROWS
+# events is cut into equi-depth time buckets of about SPLIT_BUCKET_ROWS; the
+# result must equal the plain window's (same oracle SQL).
+SPLIT_HOT_ROWS = 50
+SPLIT_BUCKET_ROWS = 16
+
+
+def q_trajectories_long_split(spark, sf_dir):
+    p = pairs(spark, sf_dir, modulo=LONG_MODULO, hot_rows=SPLIT_HOT_ROWS, rows_per_bucket=SPLIT_BUCKET_ROWS)
+    return p.select(
+        "entity", "e", "traj_id", "pos", "state", "action", F.col("kept").cast("int").alias("kept"),
+    )
+
+
+def q_transition_counts_split(spark, sf_dir):
+    p = pairs(spark, sf_dir, modulo=LONG_MODULO, hot_rows=SPLIT_HOT_ROWS, rows_per_bucket=SPLIT_BUCKET_ROWS)
+    return transitions.transition_counts(p)
+
+
 QUERIES = {
     "event_timeline": q_event_timeline,
     "entity_thresholds": q_entity_thresholds,
@@ -116,4 +135,6 @@ QUERIES = {
     "start_distribution": q_start_distribution,
     "state_visitation_frequency": q_state_visitation_frequency,
     "feature_expectations": q_feature_expectations,
+    "trajectories_long_split": q_trajectories_long_split,
+    "transition_counts_split": q_transition_counts_split,
 }

@@ -171,6 +171,10 @@ w AS (SELECT entity, max(n_traj) AS t,
 
 FEATURE_EXPECTATIONS = _feature_expectations()
 
+TRANSITION_COUNTS_LONG = f"""WITH {pairs_ctes(modulo=5)}
+SELECT entity, state, action, next_state, count(*) AS n
+FROM pairs WHERE next_state IS NOT NULL GROUP BY entity, state, action, next_state"""
+
 SQL = {
     "event_timeline": EVENT_TIMELINE,
     "entity_thresholds": ENTITY_THRESHOLDS,
@@ -185,4 +189,7 @@ SQL = {
     "start_distribution": START_DISTRIBUTION,
     "state_visitation_frequency": STATE_VISITATION_FREQUENCY,
     "feature_expectations": FEATURE_EXPECTATIONS,
+    # hot-entity splitting must not change results: same SQL as the plain queries
+    "trajectories_long_split": TRAJECTORIES_LONG,
+    "transition_counts_split": TRANSITION_COUNTS_LONG,
 }
