@@ -23,6 +23,7 @@ DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
 DEFAULT_BROADCAST_ROWS = 2_000_000
 SLICES_PER_BUCKET = 16  # histogram resolution of the equi-depth time buckets
+NO_TIME_BUCKET = 1 << 30  # last bucket of a hot entity: its events without a time
 
 
 def time_key(df: DataFrame, time_col: str) -> Column:
@@ -140,9 +141,13 @@ class EntitySequence:
         )
         map_side = F.broadcast(slice_map) if map_bound <= self.broadcast_rows else slice_map
         out = j.join(map_side, [self.entity, "_slice", "_sub"], "left")
-        return out.withColumns(
-            {"_b": F.coalesce(F.col("_b"), F.lit(0)), "_hot": F.coalesce(F.col("_hot"), F.lit(False))}
-        ).drop("_slice", "_sub")
+        # Rows without a time sort last in the window but first inside an
+        # ordering struct; a bucket of their own keeps both orders equal.
+        no_time = F.col("_hot").isNotNull() & F.col(self.time_col).isNull()
+        bucket = F.when(no_time, F.lit(NO_TIME_BUCKET)).otherwise(F.coalesce(F.col("_b"), F.lit(0)))
+        return out.withColumns({"_b": bucket, "_hot": F.coalesce(F.col("_hot"), F.lit(False))}).drop(
+            "_slice", "_sub"
+        )
 
     # -- annotation ------------------------------------------------------------
     def annotate(

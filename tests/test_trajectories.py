@@ -104,11 +104,12 @@ def test_bursty_hot_entity_buckets_balance(spark):
 
     t0 = datetime(2024, 1, 1)
     times = [t0 + timedelta(minutes=i) for i in range(500)] + [t0 + timedelta(minutes=495, seconds=i // 2) for i in range(500)]
-    rows = [("u", t, "a" if i % 2 else "p", 1 if i % 2 else 5, i + 1, i + 1, i) for i, t in enumerate(times)]
+    times += [None] * 7  # missing times sort last
+    rows = [("u", t, "a" if i % 2 else "p", 1 if i % 2 else 5, i + 1, 3000 - i, i) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, SCHEMA)
     seq = EntitySequence(df, hot_rows=100, rows_per_bucket=100)
     sizes = [r["count"] for r in seq.df.groupBy("_b").count().collect()]
-    assert sum(sizes) == 1000 and len(sizes) >= 5 and max(sizes) <= 300
+    assert sum(sizes) == 1007 and len(sizes) >= 6 and max(sizes) <= 300
     split = seq.annotate(first=["activity"], ahead={"statuses": 2}).select("post_id", "e", "n", "first_activity", "next1_statuses", "next2_statuses")
     plain = EntitySequence(df, hot_rows=None).annotate(first=["activity"], ahead={"statuses": 2}).select(*split.columns)
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
