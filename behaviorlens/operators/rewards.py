@@ -35,6 +35,7 @@ from ..schema import (
 F_MAT = np.asarray(FEATURE_MATRIX, dtype=float)  # (16, 6)
 SEEN_ACTION = np.arange(N_STATES) % N_ACTIONS
 KERNEL_CHUNK = 4096  # entities per tensor block inside one Arrow batch
+GROUP_MIN_BATCH = 512  # batches at least this large are solved per action group
 
 
 # --- dense model --------------------------------------------------------------
@@ -68,7 +69,7 @@ def dense_model(batch: pa.RecordBatch):
 
 
 # --- value iteration ------------------------------------------------------------
-def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold: float) -> np.ndarray:
+def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold: float, states=None) -> np.ndarray:
     """In-place (Gauss-Seidel) sweeps over states 0..15, vectorised over entities.
 
     ``gpt`` is discount * P in state-major layout (16 states, 16 next states, B),
@@ -78,7 +79,10 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
     entity stops after the first sweep whose largest change is <= threshold.
 
     ``pr`` rides along as a 17th coefficient row against a constant 1 in the
-    value vector, so one contraction per state gives ``pr[s] + gpt[s] . v``."""
+    value vector, so one contraction per state gives ``pr[s] + gpt[s] . v``.
+    ``states`` lists the states with a non-zero row somewhere in the batch;
+    the others keep value 0 (max(0, 0)) and are not swept."""
+    states = range(N_STATES) if states is None else states
     b = pr.shape[1]
     v = np.zeros((N_STATES + 1, b))
     v[N_STATES] = 1.0
@@ -90,7 +94,7 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
     buf = np.empty(b)
     while True:
         before = vv[:N_STATES].copy()
-        for s in range(N_STATES):
+        for s in states:
             np.einsum("kb,kb->b", g[s], vv, out=buf)
             if gs is None:
                 np.maximum(buf, 0.0, out=vv[s])
@@ -118,6 +122,26 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
     return v[:N_STATES].T.copy()
 
 
+def swept_states(tp: np.ndarray) -> list[int]:
+    """States whose transition row is non-zero for some entity of the batch."""
+    return np.flatnonzero(tp.any(axis=(0, 2))).tolist()
+
+
+def action_groups(tp: np.ndarray, min_batch: int = GROUP_MIN_BATCH) -> list[np.ndarray]:
+    """Entity index groups by which of the rp / rt actions they ever take.
+
+    Under the default action rule most accounts only take tw / nt, so half of
+    their states have all-zero rows; solving such accounts together lets the
+    sweeps skip those states.  Small batches stay whole (per-call overhead
+    would outweigh the saving).  Results do not depend on the grouping."""
+    b = tp.shape[0]
+    if b < min_batch:
+        return [np.arange(b)]
+    seen = tp.any(axis=2)  # (B, 16)
+    key = seen[:, SEEN_ACTION == 1].any(axis=1).astype(int) + 2 * seen[:, SEEN_ACTION == 2].any(axis=1)
+    return [np.flatnonzero(key == k) for k in range(4) if (key == k).any()]
+
+
 def _state_major(tp: np.ndarray, r: np.ndarray, discount: float):
     gpt = np.ascontiguousarray((discount * tp).transpose(1, 2, 0))  # (s, k, B)
     pr = np.ascontiguousarray(np.einsum("bsk,bk->sb", tp, r))
@@ -130,7 +154,7 @@ def optimal_values(tp: np.ndarray, r: np.ndarray, discount: float = DISCOUNT, th
     v[s] = max over actions of tp[s, a] . (r + discount * v); unseen actions
     give 0, so v[s] = max(0, P[s] . (r + discount * v))."""
     gpt, pr = _state_major(tp, r, discount)
-    return _sweeps(gpt, pr, None, threshold)
+    return _sweeps(gpt, pr, None, threshold, swept_states(tp))
 
 
 def q_values(tp: np.ndarray, r: np.ndarray, v: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
@@ -159,7 +183,7 @@ def policy_values(tp, policy, r, discount: float = DISCOUNT, threshold: float =
     policy action was never seen there has an all-zero row and value 0."""
     follows = np.ascontiguousarray((policy == SEEN_ACTION[None, :]).astype(float).T)  # (16, B)
     gpt, pr = _state_major(tp, r, discount)
-    return _sweeps(gpt, pr, follows, threshold)
+    return _sweeps(gpt, pr, follows, threshold, swept_states(tp))
 
 
 def expected_svf(tp, policy, p0, length) -> np.ndarray:
@@ -242,7 +266,10 @@ def fit_rewards(
                     continue
                 tp, p0, fe, length = dense_model(batch)
                 ents = batch.column(batch.schema.get_field_index("entity")).to_pylist()
-                r, _ = maxent_irl(tp, p0, fe, length, initial_weights(ents), epochs, learning_rate, discount)
+                alpha0 = initial_weights(ents)
+                r = np.empty((len(ents), N_STATES))
+                for idx in action_groups(tp):
+                    r[idx], _ = maxent_irl(tp[idx], p0[idx], fe[idx], length[idx], alpha0[idx], epochs, learning_rate, discount)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("entity")), _list_array(r)], names=["entity", "r"]
                 )

@@ -73,3 +73,16 @@ def test_fitted_invariants(fitted):
         assert len(row["r"]) == 16 and len(row["w"]) == 6
     res = fitted.select(R.reward_residual(F.col("r"), F.col("w")).alias("x")).agg(F.max("x")).first()[0]
     assert res < 1e-9
+
+
+def test_action_groups_do_not_change_results():
+    tp, p0, fe, length, rng = random_models(8, seed=11)
+    tp[:4, 1::4] = 0.0  # no rp rows for half the entities
+    tp[:2, 2::4] = 0.0  # and no rt rows for two of them
+    a0 = rng.random((8, 6))
+    whole, _ = R.maxent_irl(tp, p0, fe, length, a0, epochs=10)
+    groups = R.action_groups(tp, min_batch=1)
+    assert len(groups) >= 2 and sorted(np.concatenate(groups).tolist()) == list(range(8))
+    for idx in groups:
+        part, _ = R.maxent_irl(tp[idx], p0[idx], fe[idx], length[idx], a0[idx], epochs=10)
+        assert np.allclose(part, whole[idx], atol=1e-12)
