@@ -3,8 +3,10 @@
 Input is one document table with membership flags ``in_i``, ``in_j`` and
 ``in_bg`` so a document that belongs to several corpora (the background
 usually holds both others) is tokenised once.  Counting is one exploded
-partial aggregation on token; corpus totals are one scalar subquery (a
-one-row aggregate evaluated once and inlined as a literal, no join).
+partial aggregation on token.  The count table is read twice (totals and
+scores), so its lineage is cut with a checkpoint in the shared checkpoint
+folder: the corpus is tokenised once, and the four corpus totals are read as
+one row and inlined as literals (no join, no repeated subquery).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preprocess
+from ..session import materialize
 from .partitioning import spread
 
 UNDEFINED_MODES = ("error", "null")
@@ -72,8 +75,8 @@ def log_odds(
     counts = token_counts(docs, lower_case, rm_stopwords, rm_punctuations, tokenizer)
     alpha = None
     if background:
-        bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs")).scalar()
-        alpha = F.when(bg_docs > 0, F.col("y_bg")).otherwise(F.col("y_i") + F.col("y_j"))
+        bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs")).first()["bg_docs"]
+        alpha = F.col("y_bg") if bg_docs else F.col("y_i") + F.col("y_j")
     return score_counts(counts, F.col("y_i"), F.col("y_j"), alpha, on_undefined)
 
 
@@ -89,18 +92,16 @@ def score_counts(
     if on_undefined not in UNDEFINED_MODES:
         raise ValueError(f"on_undefined must be one of {UNDEFINED_MODES}")
     alpha = alpha if alpha is not None else y_i + y_j
-    counts = counts.select("token", y_i.alias("y_i"), y_j.alias("y_j"), alpha.alias("alpha"))
+    counts = materialize(counts.select("token", y_i.alias("y_i"), y_j.alias("y_j"), alpha.alias("alpha")))
     in_vocab = (F.col("y_i") > 0) | (F.col("y_j") > 0)
     totals = counts.agg(
-        F.struct(
-            F.sum("y_i").alias("n_i"),
-            F.sum("y_j").alias("n_j"),
-            F.sum("alpha").alias("alpha_0"),
-            F.count_if(in_vocab).alias("vocab_size"),
-        ).alias("t")
-    ).scalar()
+        F.coalesce(F.sum("y_i"), F.lit(0)).alias("n_i"),
+        F.coalesce(F.sum("y_j"), F.lit(0)).alias("n_j"),
+        F.coalesce(F.sum("alpha"), F.lit(0)).alias("alpha_0"),
+        F.count_if(in_vocab).alias("vocab_size"),
+    ).first()
     vocab = counts.where(in_vocab).withColumns(
-        {name: totals[name] for name in ("n_i", "n_j", "alpha_0", "vocab_size")}
+        {name: F.lit(int(totals[name])).cast("long") for name in ("n_i", "n_j", "alpha_0", "vocab_size")}
     )
     yi, yj, a = F.col("y_i"), F.col("y_j"), F.col("alpha")
     num_i, num_j = yi + a, yj + a

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ORDER_COLUMNS
+from ..session import materialize
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
@@ -89,6 +90,10 @@ class EntitySequence:
             F.coalesce("_t1", F.lit(0.0)).alias("_t1"),
             F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("int").alias("_nb"),
         )
+        # Small helper tables below are read several times; each is cut from
+        # its lineage (checkpoint in the shared folder) so the input is not
+        # rescanned per reference.
+        hot = materialize(hot)
         summary = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nb").alias("b")).first()
         n_hot, n_buckets = int(summary["k"]), int(summary["b"] or 0)
         if n_hot == 0:
@@ -115,10 +120,12 @@ class EntitySequence:
         j = j.withColumns({"_slice": slice_, "_pos": pos})
         hot_rows_df = j.where(F.col("_hot"))
         level1 = hot_rows_df.groupBy(self.entity, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-        big = level1.where(F.col("_c") > rows_per_bucket).select(
-            self.entity,
-            "_slice",
-            (F.ceil(F.col("_c") / F.lit(rows_per_bucket)) * SLICES_PER_BUCKET).cast("int").alias("_nsub"),
+        big = materialize(
+            level1.where(F.col("_c") > rows_per_bucket).select(
+                self.entity,
+                "_slice",
+                (F.ceil(F.col("_c") / F.lit(rows_per_bucket)) * SLICES_PER_BUCKET).cast("int").alias("_nsub"),
+            )
         )
         big_side = F.broadcast(big) if n_slices_total <= self.broadcast_rows else big
         j = j.join(big_side, [self.entity, "_slice"], "left")
@@ -136,8 +143,10 @@ class EntitySequence:
             ),
             F.lit(0),
         )
-        slice_map = level2.select(
-            self.entity, "_slice", "_sub", F.floor(before / F.lit(rows_per_bucket)).cast("int").alias("_b")
+        slice_map = materialize(
+            level2.select(
+                self.entity, "_slice", "_sub", F.floor(before / F.lit(rows_per_bucket)).cast("int").alias("_b")
+            )
         )
         map_side = F.broadcast(slice_map) if map_bound <= self.broadcast_rows else slice_map
         out = j.join(map_side, [self.entity, "_slice", "_sub"], "left")
@@ -222,7 +231,7 @@ class EntitySequence:
             F.min(ordx).alias("_o1"),
         ]
         aggs += [F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"_bc_{n}") for n, cond in counts.items()]
-        table = hot.groupBy(ent, "_b").agg(*aggs)
+        table = materialize(hot.groupBy(ent, "_b").agg(*aggs))
         prev = table.select(ent, "_b", F.col("_o1").alias("_op"))
         for j in range(2, k_max + 1):
             side = F.broadcast(prev) if self.bucket_bound <= self.broadcast_rows else prev
@@ -232,6 +241,7 @@ class EntitySequence:
                 .groupBy(ent, "_b")
                 .agg(F.min_by(vals, ordx).alias(f"_f{j}"), F.min(ordx).alias(f"_o{j}"))
             )
+            nxt = materialize(nxt)
             table = table.join(nxt, [ent, "_b"], "left")
             prev = nxt.select(ent, "_b", F.col(f"_o{j}").alias("_op"))
         wb = Window.partitionBy(ent).orderBy("_b")
@@ -250,4 +260,4 @@ class EntitySequence:
         else:
             sel.append(F.lit(None).alias("_after"))
         sel += [F.sum(f"_bc_{n}").over(we).alias(f"_ec_{n}") for n in counts]
-        return table.select(*sel)
+        return materialize(table.select(*sel))

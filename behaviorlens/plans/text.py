@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_post, preprocess
 from ..operators import logodds, stance
 from ..operators.partitioning import spread
+from ..session import materialize
 from ..sources import fixtures
 
 TOP_K = 10
@@ -92,7 +93,7 @@ def stance_word_lists(spark, sf_dir) -> DataFrame:
     bottom k of each, from one shared per-stance count table."""
     d = docs(spark, sf_dir).withColumn("stance", fixtures.stance_label(F.col("quality"), F.col("toxic")))
     sides = [stance.SUPPORT, stance.OPPOSE, stance.NEITHER]
-    counts = logodds.label_token_counts(d, "stance", sides)
+    counts = materialize(logodds.label_token_counts(d, "stance", sides))  # shared by both runs
     parts = []
     for side in (stance.SUPPORT, stance.OPPOSE):
         rest = [F.col(f"y_{s}") for s in sides if s != side]
