@@ -112,8 +112,10 @@ class EntitySequence:
         j = df.join(side.withColumn("_hot", F.lit(True)), self.entity, "left")
         n_sl = F.col("_nb") * SLICES_PER_BUCKET
         pos = (tk - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0)) * n_sl  # in [0, n_sl)
+        # cold rows get slice -1 (never in the maps): a non-NULL key keeps them
+        # spread by entity if the map joins below have to shuffle
         slice_ = (
-            F.when(F.col("_hot").isNull(), F.lit(None).cast("int"))
+            F.when(F.col("_hot").isNull(), F.lit(-1))
             .when(F.col(self.time_col).isNull(), n_sl)
             .otherwise(F.least(F.floor(pos).cast("int"), n_sl - 1))
         )
