@@ -4,11 +4,12 @@ Window functions partitioned by entity put a whole entity into one task, and
 adaptive execution does not split window partitions.  ``EntitySequence``
 therefore splits *hot* entities (more than ``hot_rows`` events) into
 contiguous time buckets of about ``rows_per_bucket`` events (equi-depth, from
-a per-entity histogram) and windows on ``(entity, bucket)``.  The few facts that cross a bucket border (rows before
-the bucket, the entity's first row, the first rows after the bucket, entity
-totals) come from a small per-bucket table, built with partial aggregation
-over the hot rows only and joined back by broadcast when its proven row bound
-allows.  Entities below the threshold use bucket 0, i.e. a plain window.
+a per-entity histogram) and windows on ``(entity, bucket)``.  The few facts
+that cross a bucket border (rows before the bucket, the entity's first row,
+the first rows after the bucket, entity totals) come from a small per-bucket
+table, built with partial aggregation over the hot rows only and joined back
+by broadcast when its proven row bound allows.  Entities below the threshold
+use bucket 0, i.e. a plain window.
 """
 
 from __future__ import annotations
