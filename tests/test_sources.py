@@ -98,3 +98,18 @@ def test_activity_csv_tables(spark, tmpdir_path):
     want = activity.build_timeline(tables)
     assert got.count() == events.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_corpus_and_labelled_readers(spark, tmpdir_path):
+    """S3 strips whitespace like Python's str.strip and drops missing texts;
+    S4 keeps the two used columns."""
+    p = os.path.join(tmpdir_path, "corpus.csv")
+    with open(p, "w") as f:
+        f.write('id,text_normalized,other\n1,"  peace now\t",x\n2,,y\n3,"\n war \n",z\n')
+    texts = sorted(r["text"] for r in files.read_corpus(spark, p).collect())
+    assert texts == ["peace now", "war"]
+    q = os.path.join(tmpdir_path, "labelled.csv")
+    with open(q, "w") as f:
+        f.write('labels,text,extra\n1,"a, b",u\n3,c,v\n')
+    rows = files.read_labelled_posts(spark, q).collect()
+    assert [tuple(r) for r in rows] == [(1, "a, b"), (3, "c")]
