@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from ..session import default_parallelism
+
 _SHUFFLE = re.compile(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
 
 
@@ -40,7 +42,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     unchanged, so no extra shuffle happens at scale; a small file with one
     row group would otherwise run in a single task.  The decision reads the
     plan only; nothing upstream is executed."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    target = min_partitions or default_parallelism(df.sparkSession)
     splits = scan_partitions(df)
     if splits is None or splits >= target:
         return df

@@ -238,8 +238,9 @@ def _list_array(mat: np.ndarray) -> pa.Array:
 def _spread(model: DataFrame) -> DataFrame:
     """Spread solver rows over all cores: the model table is tiny in bytes but
     heavy in CPU, so adaptive coalescing must not fold it into one task."""
-    sc = model.sparkSession.sparkContext
-    return model.repartition(max(sc.defaultParallelism, 1), "entity")
+    from ..session import default_parallelism
+
+    return model.repartition(max(default_parallelism(model.sparkSession), 1), "entity")
 
 
 def fit_rewards(

@@ -52,6 +52,15 @@ def get_spark(master: str | None = None, app: str = "behaviorlens", conf: dict |
     return spark
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to the session (configuration value when the session
+    has no local SparkContext, e.g. a remote client)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext on remote sessions
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -72,7 +81,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
+    try:
+        checkpoint_dir(df.sparkSession)
+    except AttributeError:  # remote session: the server's checkpoint folder applies
+        pass
     return df.checkpoint(eager=True)
 
 
