@@ -24,7 +24,6 @@ from ..schema import (
     BASE_T,
     DEFAULT_TRAJECTORY_LENGTH,
     FEATURE_MATRIX,
-    FEATURE_NAMES,
     N_STATES,
     PASSIVE_THRESHOLD,
 )
@@ -150,7 +149,3 @@ def trajectory_summary(pairs: DataFrame) -> DataFrame:
         F.count_if(F.col("kept")).alias("kept_pairs"),
         F.count_if(~F.col("kept")).alias("rest_pairs"),
     )
-
-
-def feature_columns(state: Column) -> dict[str, Column]:
-    return {name: feature_lookup(state, i) for i, name in enumerate(FEATURE_NAMES)}

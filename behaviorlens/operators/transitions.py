@@ -2,7 +2,7 @@
 
 Everything here is partial aggregation over the pair table, so an entity with
 a third of all pairs still spreads over every map task; what reaches a reducer
-is at most 16 x 16 counters per entity.
+is at most 288 counters per entity.
 """
 
 from __future__ import annotations
@@ -68,11 +68,14 @@ def feature_expectations(pairs: DataFrame) -> DataFrame:
 
 def model_table(pairs: DataFrame) -> DataFrame:
     """One row per entity with everything the decision-model kernel needs:
-    ``traj_len`` L, ``n_traj`` T, ``tp`` (16x16 row-major, P[s, s'] of the
-    only seen action s % 4), ``p0`` (16), ``fe`` (6).
-
-    Built from one aggregated cell table (tp counts, start counts, kept visits)
-    and one bounded group per entity (at most 288 cells)."""
+    ``traj_len`` L, ``n_traj`` T and ``cells``, a list of aggregated counts
+    ``(k, s, ns, cnt)``: k = 0 transitions s -> ns, k = 1 trajectory starts in
+    s, k = 2 visits of s inside complete trajectories.  The kernel turns them
+    into P (row-normalised transitions of the only seen action s % 4), the
+    start distribution and the feature expectations.
+
+    Built from one aggregated cell table and one bounded group per entity (at
+    most 16 * 16 + 16 + 16 = 288 cells)."""
     cell = F.explode(
         F.array(
             F.when(F.col("next_state").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("state").alias("s"), F.col("next_state").alias("ns"))),
@@ -92,23 +95,3 @@ def model_table(pairs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("k", "s", "ns", "cnt")).alias("cells"),
     )
     return grouped.select("entity", "traj_len", "n_traj", "cells")
-
-
-def unpack_cells(cells, n_traj):
-    """Dense arrays from the ``cells`` list of one entity (used in kernels)."""
-    import numpy as np
-
-    tp = np.zeros((N_STATES, N_STATES))
-    p0 = np.zeros(N_STATES)
-    visits = np.zeros(N_STATES)
-    for k, s, ns, cnt in cells:
-        if k == 0:
-            tp[s, ns] += cnt
-        elif k == 1:
-            p0[s] += cnt
-        else:
-            visits[s] += cnt
-    tot = tp.sum(axis=1, keepdims=True)
-    tp = np.divide(tp, tot, out=np.zeros_like(tp), where=tot > 0)
-    t = float(n_traj) if n_traj else 1.0
-    return tp, p0 / t, visits / t

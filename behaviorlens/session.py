@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,9 +85,3 @@ def materialize(df: DataFrame) -> DataFrame:
     except AttributeError:  # remote session: the server's checkpoint folder applies
         pass
     return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
