@@ -113,12 +113,10 @@ STATE_ACTION_PAIRS = f"WITH {pairs_ctes('reference')} SELECT {PAIR_COLS} FROM pa
 STATE_ACTION_PAIRS_PER_EVENT = f"WITH {pairs_ctes('per_event')} SELECT {PAIR_COLS} FROM pairs"
 
 STATE_VISITS = f"""WITH {pairs_ctes()},
-ents AS (SELECT DISTINCT entity FROM pairs),
-states AS (SELECT CAST(range AS INTEGER) AS state FROM range(16)),
+grid AS (SELECT entity, CAST(unnest(range(16)) AS INTEGER) AS state FROM (SELECT DISTINCT entity FROM pairs) e),
 cnt AS (SELECT entity, state, count(*) AS visits FROM pairs GROUP BY entity, state)
-SELECT ents.entity, states.state, CAST(coalesce(cnt.visits, 0) AS BIGINT) AS visits
-FROM ents CROSS JOIN states
-LEFT JOIN cnt ON cnt.entity = ents.entity AND cnt.state = states.state"""
+SELECT grid.entity, grid.state, CAST(coalesce(cnt.visits, 0) AS BIGINT) AS visits
+FROM grid LEFT JOIN cnt ON cnt.entity = grid.entity AND cnt.state = grid.state"""
 
 TRAJECTORIES = f"""WITH {pairs_ctes()}
 SELECT entity, max(n) AS n_events, max(traj_len) AS traj_len, max(n_traj) AS n_traj,

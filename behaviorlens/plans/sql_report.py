@@ -20,12 +20,13 @@ COEF = "coef AS (SELECT * FROM (VALUES {}) t(ordinal, feature, state, c))".forma
 
 REWARDS = f"""{pairs_ctes()},
 rw AS (SELECT entity, state, sum(value) AS s FROM pairs GROUP BY entity, state),
-ents AS (SELECT DISTINCT entity FROM pairs),
 {NAMES},
+grid AS (SELECT entity, CAST(unnest(range(16)) AS INTEGER) AS state FROM (SELECT DISTINCT entity FROM pairs) e),
 rl AS (
-  SELECT ents.entity, CAST(names.state AS INTEGER) AS state, names.pair, coalesce(rw.s, 0.0) AS reward,
-         CASE WHEN CAST(ents.entity AS BIGINT) % 2 = 0 THEN 'bots' ELSE 'users' END AS user_type
-  FROM ents CROSS JOIN names LEFT JOIN rw ON rw.entity = ents.entity AND rw.state = names.state),
+  SELECT grid.entity, grid.state, names.pair, coalesce(rw.s, 0.0) AS reward,
+         CASE WHEN CAST(grid.entity AS BIGINT) % 2 = 0 THEN 'bots' ELSE 'users' END AS user_type
+  FROM grid JOIN names ON names.state = grid.state
+  LEFT JOIN rw ON rw.entity = grid.entity AND rw.state = grid.state),
 stats AS (
   SELECT user_type, pair, count(reward) AS n, avg(reward) AS mean,
          stddev_samp(reward) / sqrt(count(reward)) AS stderr
