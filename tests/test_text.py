@@ -51,3 +51,11 @@ def test_user_supplied_predictor(spark):
     posts = spark.createDataFrame([("a", "peace now"), ("a", "war"), ("b", "peace")], "author_id string, body string")
     got = {r["author_id"]: r["stance_propaganda"] for r in author_mean(score_with_predictor(posts, make_predict_fn)).collect()}
     assert got == {"a": 0.5, "b": 1.0}
+
+
+def test_emoji_names_map(spark):
+    """A one-character token is replaced by its name from a user map."""
+    names = F.create_map(F.lit("🙂"), F.lit(":slightly_smiling_face:"))
+    df = spark.createDataFrame([("ok 🙂 @bob",)], "t string")
+    out = df.select(T.normalize_post(F.col("t"), emoji_names=names).alias("x")).first()["x"]
+    assert out == "ok :slightly_smiling_face: @USER"
