@@ -54,6 +54,18 @@ DECONTRACTIONS = [
     ("'m", " am"),
 ]
 
+# --- fixed values: common named HTML entities decoded before tokenising;
+# "&amp;" last so that "&amp;lt;" decodes once, as a single pass would
+HTML_ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&apos;", "'"),
+    ("&#39;", "'"),
+    ("&nbsp;", "\u00a0"),
+    ("&amp;", "&"),
+]
+
 # --- fixed values: placeholder tokens dropped after tokenising
 PLACEHOLDERS = ["@user", "httpurl"]
 
@@ -135,8 +147,9 @@ def decontract(c: Column) -> Column:
 
 
 def tokenize(c: Column, pattern: str = TOKEN_PATTERN) -> Column:
-    """Tokens of a text as ``array<string>``."""
-    return F.regexp_extract_all(c, F.lit(pattern), 0)
+    """Tokens of a text as ``array<string>`` (T3), after decoding the common
+    named HTML entities."""
+    return F.regexp_extract_all(fold_replace(c, HTML_ENTITIES), F.lit(pattern), 0)
 
 
 def drop_tokens(tokens: Column, words: list[str]) -> Column:

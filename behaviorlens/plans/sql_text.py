@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import (
     DECONTRACTIONS,
+    HTML_ENTITIES,
     NORMALIZE_POST,
     NORMALIZE_PRE,
     PLACEHOLDERS,
@@ -29,7 +30,7 @@ def replace_chain(expr: str, pairs) -> str:
 
 
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, {q(TOKEN_PATTERN)}, 0)"
+    return f"regexp_extract_all({replace_chain(text, HTML_ENTITIES)}, {q(TOKEN_PATTERN)}, 0)"
 
 
 def preprocess_sql(text: str) -> str:

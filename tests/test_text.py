@@ -59,3 +59,8 @@ def test_emoji_names_map(spark):
     df = spark.createDataFrame([("ok 🙂 @bob",)], "t string")
     out = df.select(T.normalize_post(F.col("t"), emoji_names=names).alias("x")).first()["x"]
     assert out == "ok :slightly_smiling_face: @USER"
+
+
+def test_html_entities_decoded_once(spark):
+    toks = one(spark, T.tokenize, "salt &amp; pepper &lt;3 &amp;lt;")
+    assert toks == ["salt", "&", "pepper", "<3", "&", "lt", ";"]
