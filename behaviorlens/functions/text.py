@@ -112,11 +112,15 @@ _EMOTICON = (
     r"|[\)\]\(\[dDpP/:\}\{@\|\\][\-o\*']?[:;=8][<>]?|<3)"
 )
 
+# phone number: optional country code and area code, 3 + 4 digits
+_PHONE = r"(?:(?:\+?[01][ *\-.\)]*)?(?:[\(]?\p{Nd}{3}[ *\-.\)]*)?\p{Nd}{3}[ *\-.\)]*\p{Nd}{4})"
+
 # Social-media tokenizer as one ordered alternation; leftmost-first matching
 # behaves the same in Java regex (Spark) and RE2.
 TOKEN_PATTERN = "|".join(
     [
         rf"(?:[hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.){_NS}+",  # URL
+        _PHONE,  # phone number
         _EMOTICON,  # emoticon
         rf"<[^>{_WS}]+>",  # HTML-like tag
         r"[\-]+>|<[\-]+",  # ASCII arrow

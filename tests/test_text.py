@@ -64,3 +64,8 @@ def test_emoji_names_map(spark):
 def test_html_entities_decoded_once(spark):
     toks = one(spark, T.tokenize, "salt &amp; pepper &lt;3 &amp;lt;")
     assert toks == ["salt", "&", "pepper", "<3", "&", "lt", ";"]
+
+
+def test_phone_numbers_one_token(spark):
+    toks = one(spark, T.tokenize, "call +1 (555) 123-4567 or 555.1234 now 42")
+    assert toks == ["call", "+1 (555) 123-4567", "or", "555.1234", "now", "42"]
