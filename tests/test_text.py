@@ -69,3 +69,14 @@ def test_html_entities_decoded_once(spark):
 def test_phone_numbers_one_token(spark):
     toks = one(spark, T.tokenize, "call +1 (555) 123-4567 or 555.1234 now 42")
     assert toks == ["call", "+1 (555) 123-4567", "or", "555.1234", "now", "42"]
+
+
+def test_random_split_is_seeded_and_complete(spark):
+    from behaviorlens.operators.stance import random_split
+
+    df = spark.range(2000)
+    train, test = random_split(df, 0.3, seed=7)
+    train2, test2 = random_split(df, 0.3, seed=7)
+    assert train.count() + test.count() == 2000
+    assert 450 < test.count() < 750
+    assert sorted(r.id for r in test.collect()) == sorted(r.id for r in test2.collect())
