@@ -5,10 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, substring_dedup
+from . import chat_windows, embedding_dedup, line_dedup, ngram_join, substring_dedup, url_filter
 from .common import table
 
 
+#: (verdict, host and path) of the url query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list has every host with a page that is linked with a tracking
+    parameter; all hosts of ``pages`` are the key universe."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    keys = pages.select(url_filter.host_of(F.col("url")).alias("key"), F.contains("url", F.lit("utm_")).alias("listed"))
+    return url_filter.judge(pages, keys, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = chat_windows.read_back(chat_windows.windows(turns.unionByName(probe)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    targets = F.array_join("targets", "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length(targets).cast("long").alias("loss_chars"),
+        F.sha2(targets, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -26,4 +58,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_join, op8_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_chat_windows, op7_ngram_join, op8_substring_dedup, op9_embedding_dedup, op10_line_dedup)}
