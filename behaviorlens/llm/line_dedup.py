@@ -29,6 +29,8 @@ from .common import shuffle_partitions, written
 #: Blocks into which the documents of one line are dealt.
 BLOCKS = 1024
 WHITE = "\t\n\x0b\x0c\r "
+#: Characters other than A-Z that ``lower`` changes.
+OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,7 +39,11 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(WHITE)), UPPER, LOWER)
+    """Stripped, with A-Z lower-cased.  ``lower`` is that (and much faster)
+    unless another character has a lower case."""
+    key = F.trim(line, F.lit(WHITE))
+    ascii_only = F.octet_length(key) == F.length(key)
+    return F.when(ascii_only | ~F.rlike(key, F.lit(OTHER_UPPER)), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_key_chars: int) -> DataFrame:
@@ -67,7 +73,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``dropped`` a map from word number to 64 bits, bit ``pos % 64`` of word
     ``pos div 64`` set when line ``pos`` goes.  ``keep_first`` keeps the first
     occurrence in (document, position) order; otherwise all go."""
-    lines = keyed_lines(docs, id_col, text_col, min_key_chars)
+    lines = written(keyed_lines(docs, id_col, text_col, min_key_chars))  # texts are split once
     # a table, so that its size is known and a hot key's lines can be split in the join
     hit = lines.join(written(repeated_keys(lines, min_docs)), ["h1", "h2"])
     if keep_first:
