@@ -37,7 +37,7 @@ from .common import WordHashes, mixed, run_bounds, run_starts, shuffle_partition
 
 CHUNK = 1_000_000
 #: Buckets for each shuffle partition, so that hash partitioning is even.
-SPREAD = 8
+SPREAD = 2
 BASE = 0x9E3779B97F4A7C15
 #: Multiplier and modulus that deal document ids to blocks.
 LEHMER = (48_271, 2**31 - 1)
