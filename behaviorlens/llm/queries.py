@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, embedding_dedup, line_dedup, ngram_join, substring_dedup, url_filter
+from . import chat_windows, decontaminate, embedding_dedup, line_dedup, ngram_join, ordinal, pseudonyms, substring_dedup, unigram, url_filter
 from .common import table
 
 
+#: Grades of a document: toxic, of low quality, good.
+GRADES = 3
+#: A deployment passes its own.
+PSEUDONYM_KEY = b"behaviorlens"
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, grade) from the labels: 0 toxic, else 1 plus the quality."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1).alias("grade"))
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, rated_documents(spark, sf_dir), GRADES)
+    return ordinal.grade(docs, model, GRADES).select("doc_id", "expected_grade", "p_top", F.col("selected").alias("kept"))
+
+
 #: (verdict, host and path) of the url query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -41,6 +64,19 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), "findings")
+
+
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it again."""
+    model = unigram.read_model(spark, SENTENCEPIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = unigram.decode(unigram.encode(docs, model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -58,4 +94,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_chat_windows, op7_ngram_join, op8_substring_dedup, op9_embedding_dedup, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_ordinal_quality,
+        op3_url_filter,
+        op4_chat_windows,
+        op5_pseudonyms,
+        op6_unigram,
+        op7_ngram_join,
+        op8_substring_dedup,
+        op9_embedding_dedup,
+        op10_line_dedup,
+    )
+}

@@ -12,13 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import line_dedup, ngram_join
+from behaviorlens.llm import decontaminate, line_dedup, ngram_join, ordinal, unigram
 from behaviorlens.llm.common import table, written
+from behaviorlens.llm.queries import GRADES, SENTENCEPIECE_MODEL, rated_documents
 
 #: A line in at least so many documents stays in the first of them only.
 LINE_DOCS = 10
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the rated documents
+    among ``docs``, selects; all of them if none is rated."""
+    model = ordinal.train(docs, rated_documents(spark, sf_dir), GRADES)
+    if model is None:
+        return docs
+    return ordinal.grade(docs, model, GRADES).filter("selected").select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line found in ``LINE_DOCS`` documents or more stays at its first
     occurrence; ``n_chars`` follows the text."""
@@ -37,9 +47,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    leaks = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their texts and the number of these."""
+    out = unigram.encode(docs, unigram.read_model(spark, SENTENCEPIECE_MODEL))
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES = [
+    ("quality classifier", keep_good),
     ("line dedup", drop_repeated_lines),
     ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_copies),
+    ("SentencePiece encoding", encode),
 ]
 
 #: The classifier's fit is not SQL; tests hold the pipeline against brute force.
