@@ -51,6 +51,39 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Powers of an odd base modulo 2**64, and of its inverse.
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A 64-bit value for each byte, from the finaliser below.
+_BYTES: list[np.ndarray] = []
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """(base**i, base**-i) for i < n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every white-space separated word of ``text``: a
+    polynomial over its bytes, for all words at once by prefix sums."""
+    if not _BYTES:
+        _BYTES.append(mixed(np.arange(1, 257, dtype=np.uint64)))
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[0][raw] * down[: len(raw)], out=prefix[1:])
+    return mixed((prefix[end] - prefix[start]) * up[start] + (end - start).astype(np.uint64)), start
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every input bit over all 64."""
     x = x ^ (x >> np.uint64(30))

@@ -11,6 +11,12 @@ by ``CLASSES`` tokens: any ``e`` missing tokens still leave one signature
 whole.  Sets too short for that are indexed by single tokens as well, and so
 are all sets that can match them.
 
+With ``e`` more tokens in every prefix, two similar sets share at least
+``e + 1 + CLASSES`` prefix tokens (or ``n - e``, if the set is that short).
+Sets with fewer tokens that any other set of a similar size shares are left
+out before signatures are made, so a passage or line that many documents have
+in common does not bring them together.
+
 Equal sets are folded into their smallest id first.  Each signature points to
 the smallest set that has it (its head) and on to the smallest set that the
 head meets; sets sent to the same such block are compared in tiles of bounded
@@ -27,6 +33,7 @@ other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected, forest, mixed, run_starts, utf8, written
+from .common import connected, forest, mixed, run_starts, utf8, word_hashes, written
 
 CLASSES = 8
 #: Prefixes with a token beyond which it is indexed in combinations.
@@ -48,16 +55,20 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 KEYED = "id long, n long, h1 long, h2 long, prefix array<long>"
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles."""
-    width = min(k, len(words))
-    if not width:
-        return np.zeros(0, np.uint64)
-    n = len(words) - width + 1
-    value = np.full(n, width, np.uint64)
-    for j in range(width):
-        value = mixed(value * STEP + words[j : j + n])
-    return np.unique(value)
+def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``k``-word shingles of each text; hashing
+    runs over all texts at once."""
+    words, at = word_hashes(b"\n".join(texts))
+    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    starts = np.searchsorted(at, begins)
+    sizes = np.diff(starts)
+    widths = np.minimum(sizes, k)
+    value = np.repeat(widths.astype(np.uint64), sizes)
+    for j in range(k):
+        ahead = np.concatenate((words[j:], np.zeros(min(j, len(words)), np.uint64)))
+        step = mixed(value * STEP + ahead)
+        value = step if widths.min() >= k else np.where(np.repeat(widths, sizes) > j, step, value)
+    return [np.unique(value[a : a + n - w + 1]) if n else value[:0] for a, n, w in zip(starts[:-1].tolist(), sizes.tolist(), widths.tolist(), strict=True)]
 
 
 def missing(n: int, num: int, den: int) -> int:
@@ -72,30 +83,51 @@ def short_sets(num: int, den: int) -> int:
     return least * den // num
 
 
+#: Bytes of texts that are hashed at once.
+BATCH_BYTES = 1_000_000
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, lower-cased texts) of rows of (id, text), some at a time."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            ids.append(doc)
+            texts.append(text.lower() if text is not None else b"")
+            held += len(texts[-1])
+            if held >= BATCH_BYTES:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _keyed(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                s = shingles(words.of(text.lower().split() if text is not None else []), k)
-                marks = [int(mixed(s + np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (1, 2)]
-                length = missing(len(s), num, den) + 1 + CLASSES
-                for column, value in zip(out, (doc, len(s), *marks, s[:length].view(np.int64)), strict=True):
-                    column.append(value)
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "n", "h1", "h2", "prefix"])
+        for ids, texts in _batches(batches):
+            sets = shingles(texts, k)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            tokens = np.concatenate(sets)
+            marks = []
+            for c in (1, 2):
+                upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(tokens + np.uint64(c)), dtype=np.uint64)))
+                marks.append((upto[ends[1:]] - upto[ends[:-1]]).view(np.int64))
+            heads = [s[: 2 * missing(len(s), num, den) + 1 + CLASSES].view(np.int64) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads)))
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes), *map(pa.array, marks), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "prefix"])
 
     return run
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            sets = [shingles(words.of(t.as_py().lower().split()), k).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "tokens"])
+        for ids, texts in _batches(batches):
+            sets = [s.tobytes() for s in shingles(texts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
     return run
 
@@ -130,7 +162,9 @@ def _verified(num: int, den: int):
         side = (rows["tile"] == rows["hi"]).to_numpy()
         right = np.flatnonzero(side)
         left = right if rows["lo"].iloc[0] == rows["hi"].iloc[0] else np.flatnonzero(~side)
-        reps = rows["rep"].to_numpy()
+        reps, own = rows["rep"].to_numpy(), rows["own"].to_numpy(bool)
+        if not (own[left].any() or own[right].any()):
+            return []  # of the band below: they meet there
         roots = forest(len(reps), [similar(sets, left, right, num, den)]) if len(left) and len(right) else range(len(reps))
         return [(int(reps[i]), int(reps[r])) for i, r in enumerate(roots) if i != r]
 
@@ -138,7 +172,7 @@ def _verified(num: int, den: int):
         rest = None  # rows of the last key, which the next batch may go on with
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = rows[["block", "lo", "hi"]].to_numpy()
+            keys = rows[["block", "band", "lo", "hi"]].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
             found = [x for a, b in zip(starts[:-1], starts[1:], strict=True) for x in links(rows.iloc[a:b])]
             rest = rows.iloc[starts[-1] :]
@@ -149,30 +183,50 @@ def _verified(num: int, den: int):
     return run
 
 
-def _signatures(tokens: DataFrame, frequent: int, short: int) -> DataFrame:
-    """(sig, rep): single rare tokens, and pairs of frequent ones by class."""
-    count = written(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    shared = tokens.join(count, "token")
-    single = shared.filter((F.col("df") <= frequent) | (F.col("n") <= short)).select(F.col("token").alias("sig"), "rep")
+def _shared(tokens: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
+    """``tokens`` that two sets or more have in the same ``by``, with their
+    number ``df``, of sets with as many of them as a similar pair shares."""
+    again = [c for c in by if c != "token"]
+    count = written(tokens.groupBy(*by).agg(F.count("*").alias("df"), F.max("own").alias("own")).filter("df > 1 and own").drop("own"))
+    shared = written(tokens.join(count, by).drop(*([] if again else ["df"])))
+    similar_size = F.ceil(F.col("n") * num / den)
+    need = F.least(similar_size, F.col("n") - similar_size + 1 + CLASSES)
+    enough = written(shared.groupBy("rep", *again).agg(F.count("*").alias("have"), F.first("n").alias("n")).filter(F.col("have") >= need).select("rep", *again))
+    return shared.join(enough, ["rep", *again], "left_semi")
+
+
+def _signatures(tokens: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
+    """(sig, band, own, rep): single rare tokens, and pairs of frequent ones
+    by class, within a band of sizes.  Similar sets have sizes of the same or
+    of neighbouring bands; each set is in its ``own`` band and in the next,
+    where it meets that band's own sets only."""
+    band = F.floor(F.log("n") / (math.log(den / num) * 1.000001)) if num < den else F.col("n")
+    first = _shared(tokens.withColumn("own", F.lit(True)), ["token"], num, den).select("rep", "n", "token", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    banded = first.select("rep", "n", "token", (band + F.col("up")).alias("band"), (F.col("up") == 0).alias("own"))
+    shared = written(_shared(banded, ["token", "band"], num, den))
+    single = shared.filter((F.col("df") <= frequent) | (F.col("n") <= short_sets(num, den))).select(F.xxhash64("token", "band").alias("sig"), "band", "own", "rep")
     grouped = (
-        shared.filter((F.col("df") > frequent) & (F.col("n") > 1))
-        .groupBy("rep", F.pmod(F.xxhash64("token"), F.lit(CLASSES)).alias("class"))
+        shared.filter(F.col("df") > frequent)
+        .groupBy("rep", "band", "own", F.pmod(F.xxhash64("token"), F.lit(CLASSES)).alias("class"))
         .agg(F.sort_array(F.collect_set("token")).alias("ts"))
     )
 
     def pairs(ts: Column) -> Column:
-        return F.flatten(F.transform(ts, lambda a, i: F.transform(F.slice(ts, i + 2, F.size(ts)), lambda b: F.xxhash64(F.lit("pair"), a, b))))
+        return F.flatten(F.transform(ts, lambda a, i: F.transform(F.slice(ts, i + 2, F.size(ts)), lambda b: F.xxhash64(F.lit("pair"), a, b, "band"))))
 
-    return single.unionByName(grouped.select(F.explode(pairs(F.col("ts"))).alias("sig"), "rep"))
+    return single.unionByName(grouped.select(F.explode(pairs(F.col("ts"))).alias("sig"), "band", "own", "rep"))
 
 
 def _blocks(signatures: DataFrame) -> DataFrame:
-    """(block, rep), distinct: sets with a common signature share a block."""
+    """(block, band, own, rep), distinct: sets with a common signature share a
+    block."""
     sig = written(signatures)
-    heads = written(sig.groupBy("sig").agg(F.min("rep").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c"))
-    met = written(sig.join(heads, "sig").select("head", "rep").distinct())
-    home = written(met.groupBy(F.col("rep").alias("head")).agg(F.min("head").alias("block")))
-    return written(met.join(home, "head").select("block", "rep").distinct())
+    heads = written(sig.groupBy("sig").agg(F.min("rep").alias("head"), F.count("*").alias("c"), F.max("own").alias("own")).filter("c > 1 and own").select("sig", "head"))
+    met = written(sig.join(heads, "sig").select("head", "band", "own", "rep").distinct())
+    home = written(met.groupBy(F.col("rep").alias("head"), "band").agg(F.min("head").alias("block")))
+    blocks = written(met.join(home, ["head", "band"]).select("block", "band", "own", "rep").distinct())
+    some = written(blocks.groupBy("block", "band").agg(F.count("*").alias("c"), F.max("own").alias("own")).filter("c > 1 and own").select("block", "band"))
+    return written(blocks.join(some, ["block", "band"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
@@ -185,17 +239,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sizes only reach equal sets, which are one class already
     alone = F.floor(F.col("n") * den / num) == F.col("n")
     prefixes = keyed.filter(~alone).join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2"])
-    tokens = prefixes.select(F.col("id").alias("rep"), "n", F.explode("prefix").alias("token")).distinct()
-    blocks = _blocks(_signatures(tokens, frequent, short_sets(num, den)))
+    tokens = prefixes.select(F.col("id").alias("rep"), "n", F.explode("prefix").alias("token"))
+    blocks = _blocks(_signatures(tokens, num, den, frequent))
 
     wanted = blocks.select(F.col("rep").alias("id")).distinct()
     sets = given.filter("text is not null").join(wanted, "id", "left_semi").mapInArrow(_sets(k), "rep long, tokens binary")
     sized = blocks.join(keyed.select(F.col("id").alias("rep"), "n").distinct(), "rep")
-    tiles = written(sized.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles")))
-    member = blocks.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiles = written(sized.groupBy("block", "band").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles")))
+    member = blocks.join(tiles, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     other = member.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    paired = other.select("block", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "tokens")
-    links = paired.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi").mapInPandas(_verified(num, den), "a long, b long")
+    paired = other.select("block", "band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "own", "rep", "tokens")
+    key = ["block", "band", "lo", "hi"]
+    links = paired.repartition(*key).sortWithinPartitions(*key).mapInPandas(_verified(num, den), "a long, b long")
 
     groups = classes.join(connected(links, "a", "b"), F.col("rep") == F.col("node"), "left")
     named = written(groups.select("h1", "h2", F.coalesce("component", "rep").alias("component_id")))
