@@ -1,48 +1,39 @@
 """Ordered per-entity sequences that stay balanced when one entity is huge.
 
-Window functions partitioned by entity put a whole entity into one task, and
-adaptive execution does not split window partitions.  ``EntitySequence``
-therefore splits *hot* entities (more than ``hot_rows`` events) into
-contiguous time buckets of about ``rows_per_bucket`` events (equi-depth, from
-a per-entity histogram) and windows on ``(entity, bucket)``.  The few facts
-that cross a bucket border (rows before the bucket, the entity's first row,
-the first rows after the bucket, entity totals) come from a small per-bucket
-table, built with partial aggregation over the hot rows only and joined back
-by broadcast when its proven row bound allows.  Entities below the threshold
-use bucket 0, i.e. a plain window.
+A window partitioned by entity puts a whole entity into one task, and adaptive
+execution does not split window partitions.  ``EntitySequence`` finds *heavy*
+entities (more than ``hot_rows`` events) with one bounded sketch over the
+entity column, or takes a list from the caller.  Without any, the plan is the
+plain window.  Rows of heavy entities are range-partitioned by entity and the
+full order key, so the splitters come from a sample of the key itself, and the
+partition number becomes a bucket: windows run on ``(entity, bucket)``.  The
+few facts that cross a bucket border (rows before it, the entity's first row,
+the first rows after it, entity totals) come from a table with one row for
+each bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schema import ORDER_COLUMNS
-from ..session import materialize
+from ..schema import ORDER_COLUMNS, TIE_COLUMNS
+from ..session import stored
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
-DEFAULT_BROADCAST_ROWS = 2_000_000
-SLICES_PER_BUCKET = 16  # histogram resolution of the equi-depth time buckets
-NO_TIME_BUCKET = 1 << 30  # last bucket of a hot entity: its events without a time
+#: Heavy entities reported, and items the sketch tracks: an entity with more
+#: than one in TRACKED_ITEMS of all rows is always found.
+HEAVY_ENTITIES, TRACKED_ITEMS = 1_000, 10_000
 
 
-def time_key(df: DataFrame, time_col: str) -> Column:
-    """Monotone numeric key of the time column, in seconds."""
-    dtype = df.schema[time_col].dataType
-    c = F.col(time_col)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c) / 1_000_000.0
-    if isinstance(dtype, T.TimestampNTZType):
-        # calendar fields are time-zone free for NTZ values
-        return (
-            F.unix_date(F.to_date(c)).cast("double") * 86400.0
-            + F.hour(c) * 3600.0
-            + F.minute(c) * 60.0
-            + F.second(c).cast("double")
-        )
-    return c.cast("double")
+def heavy_entities(df: DataFrame, entity: str = "entity", hot_rows: int = DEFAULT_HOT_ROWS) -> list[tuple[str, int]]:
+    """(entity, rows) of entities with more than ``hot_rows`` rows: one
+    aggregation over the entity column into a sketch of bounded size."""
+    top = df.where(F.col(entity).isNotNull()).agg(F.call_function("approx_top_k", F.col(entity), F.lit(HEAVY_ENTITIES), F.lit(TRACKED_ITEMS)).alias("top")).first()["top"]
+    return [(r["item"], r["count"]) for r in top or [] if r["count"] > hot_rows]
 
 
 class EntitySequence:
@@ -56,112 +47,38 @@ class EntitySequence:
         time_col: str = "time",
         hot_rows: int | None = DEFAULT_HOT_ROWS,
         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-        broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+        heavy: list[tuple[str, int]] | None = None,
     ):
         self.entity = entity
-        self.order = list(order or ORDER_COLUMNS)
+        self.order = list(order or [*ORDER_COLUMNS, *(c for c in TIE_COLUMNS if c in df.columns)])
         self.time_col = time_col
-        self.broadcast_rows = broadcast_rows
-        self.has_hot = False
-        self.bucket_bound = 0
-        self.df = self._assign_buckets(df, hot_rows, rows_per_bucket)
-
-    # -- ordering --------------------------------------------------------------
-    def _order_exprs(self) -> list[Column]:
-        out = []
-        for c in self.order:
-            out.append(F.col(c).asc_nulls_last() if c == self.time_col else F.col(c).asc_nulls_first())
-        return out
-
-    def _order_struct(self) -> Column:
-        return F.struct(*[F.col(c) for c in self.order])
-
-    # -- bucket assignment -----------------------------------------------------
-    def _assign_buckets(self, df: DataFrame, hot_rows: int | None, rows_per_bucket: int) -> DataFrame:
-        plain = df.withColumns({"_b": F.lit(0), "_hot": F.lit(False)})
-        if hot_rows is None:
-            return plain
-        tk = time_key(df, self.time_col)
-        stats = df.groupBy(self.entity).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(tk).alias("_t0"), F.max(tk).alias("_t1")
-        )
-        hot = stats.where(F.col("_n") > hot_rows).select(
-            self.entity,
-            F.coalesce("_t0", F.lit(0.0)).alias("_t0"),
-            F.coalesce("_t1", F.lit(0.0)).alias("_t1"),
-            F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("int").alias("_nb"),
-        )
-        # Small helper tables below are read several times; each is cut from
-        # its lineage (checkpoint in the shared folder) so the input is not
-        # rescanned per reference.
-        hot = materialize(hot)
-        summary = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nb").alias("b")).first()
-        n_hot, n_buckets = int(summary["k"]), int(summary["b"] or 0)
-        if n_hot == 0:
-            return plain
-        self.has_hot = True
-        # Equi-depth buckets from a two-level histogram.  Level 1 cuts each hot
-        # entity's time span into SLICES_PER_BUCKET * _nb equal slices; a slice
-        # holding more than rows_per_bucket rows (a burst) is cut again into
-        # SLICES_PER_BUCKET * ceil(rows / rows_per_bucket) sub-slices.  Slices
-        # are then grouped in time order by cumulative row count.  Missing
-        # times get their own last slice (they sort last).
-        n_slices_total = SLICES_PER_BUCKET * n_buckets + n_hot
-        map_bound = (SLICES_PER_BUCKET + 2) * n_slices_total
-        self.bucket_bound = map_bound
-        side = F.broadcast(hot) if n_hot <= self.broadcast_rows else hot
-        j = df.join(side.withColumn("_hot", F.lit(True)), self.entity, "left")
-        n_sl = F.col("_nb") * SLICES_PER_BUCKET
-        pos = (tk - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0)) * n_sl  # in [0, n_sl)
-        # cold rows get slice -1 (never in the maps): a non-NULL key keeps them
-        # spread by entity if the map joins below have to shuffle
-        slice_ = (
-            F.when(F.col("_hot").isNull(), F.lit(-1))
-            .when(F.col(self.time_col).isNull(), n_sl)
-            .otherwise(F.least(F.floor(pos).cast("int"), n_sl - 1))
-        )
-        j = j.withColumns({"_slice": slice_, "_pos": pos})
-        hot_rows_df = j.where(F.col("_hot"))
-        level1 = hot_rows_df.groupBy(self.entity, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-        big = materialize(
-            level1.where(F.col("_c") > rows_per_bucket).select(
-                self.entity,
-                "_slice",
-                (F.ceil(F.col("_c") / F.lit(rows_per_bucket)) * SLICES_PER_BUCKET).cast("int").alias("_nsub"),
-            )
-        )
-        big_side = F.broadcast(big) if n_slices_total <= self.broadcast_rows else big
-        j = j.join(big_side, [self.entity, "_slice"], "left")
-        sub = F.when(F.col("_nsub").isNull() | F.col("_pos").isNull(), F.lit(0)).otherwise(
-            F.least(
-                F.greatest(F.floor((F.col("_pos") - F.col("_slice")) * F.col("_nsub")).cast("int"), F.lit(0)),
-                F.col("_nsub") - 1,
-            )
-        )
-        j = j.withColumn("_sub", sub).drop("_t0", "_t1", "_nb", "_pos", "_nsub")
-        level2 = j.where(F.col("_hot")).groupBy(self.entity, "_slice", "_sub").agg(F.count(F.lit(1)).alias("_c"))
-        before = F.coalesce(
-            F.sum("_c").over(
-                Window.partitionBy(self.entity).orderBy("_slice", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        )
-        slice_map = materialize(
-            level2.select(
-                self.entity, "_slice", "_sub", F.floor(before / F.lit(rows_per_bucket)).cast("int").alias("_b")
-            )
-        )
-        map_side = F.broadcast(slice_map) if map_bound <= self.broadcast_rows else slice_map
-        out = j.join(map_side, [self.entity, "_slice", "_sub"], "left")
-        # Rows without a time sort last in the window but first inside an
-        # ordering struct; a bucket of their own keeps both orders equal.
-        no_time = F.col("_hot").isNotNull() & F.col(self.time_col).isNull()
-        bucket = F.when(no_time, F.lit(NO_TIME_BUCKET)).otherwise(F.coalesce(F.col("_b"), F.lit(0)))
-        return out.withColumns({"_b": bucket, "_hot": F.coalesce(F.col("_hot"), F.lit(False))}).drop(
-            "_slice", "_sub"
-        )
+        self.plain, self.buckets = df, None
+        if heavy is None and hot_rows is not None:
+            heavy = heavy_entities(df, entity, hot_rows)
+        if heavy:
+            is_heavy = F.coalesce(F.col(entity).isin([e for e, _ in heavy]), F.lit(False))
+            parts = math.ceil(sum(n for _, n in heavy) / rows_per_bucket) + len(heavy)
+            hot = df.where(is_heavy).repartitionByRange(parts, F.col(entity), *self._order())
+            # stored, so that every use sees the same buckets
+            self.buckets = stored(hot.withColumn("_b", F.spark_partition_id()))
+            self.plain = df.where(~is_heavy)
+
+    def _order(self) -> list[Column]:
+        return [F.col(c).asc_nulls_last() if c == self.time_col else F.col(c).asc_nulls_first() for c in self.order]
+
+    def _windowed(self, df: DataFrame, keys: list[str], first: list[str], ahead: dict[str, int], counts: dict[str, Column]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*self._order())
+        whole = Window.partitionBy(*keys)
+        cols: dict[str, Column] = {"e": (F.row_number().over(w) - 1).cast("long"), "n": F.count(F.lit(1)).over(whole)}
+        for c in first:
+            cols[f"first_{c}"] = F.first(F.col(c)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        for c, k in ahead.items():
+            for j in range(1, k + 1):
+                cols[f"next{j}_{c}"] = F.lead(F.col(c), j).over(w)
+        for name, cond in counts.items():
+            cols[name] = F.sum(F.when(cond, 1).otherwise(0)).over(whole).cast("long")
+        return df.withColumns(cols)
 
-    # -- annotation ------------------------------------------------------------
     def annotate(
         self,
         first: list[str] | tuple = (),
@@ -170,97 +87,51 @@ class EntitySequence:
     ) -> DataFrame:
         """Add ``e`` (0-based index), ``n`` (entity size), ``first_<c>``,
         ``next<j>_<c>`` (value j rows ahead) and entity-level conditional counts."""
-        ahead = dict(ahead or {})
-        counts = dict(counts or {})
-        k_max = max(ahead.values(), default=0)
-        ent = self.entity
-        w = Window.partitionBy(ent, "_b").orderBy(*self._order_exprs())
-        w_head = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        w_all = Window.partitionBy(ent, "_b")
-        cols: dict[str, Column] = {
-            "_le": (F.row_number().over(w) - 1).cast("long"),
-            "_ln": F.count(F.lit(1)).over(w_all),
-        }
-        for c in first:
-            cols[f"_lf_{c}"] = F.first(F.col(c)).over(w_head)
-        for c, k in ahead.items():
-            for j in range(1, k + 1):
-                cols[f"_ll{j}_{c}"] = F.lead(F.col(c), j).over(w)
-        for name, cond in counts.items():
-            cols[f"_lc_{name}"] = F.sum(F.when(cond, 1).otherwise(0)).over(w_all).cast("long")
-        x = self.df.withColumns(cols)
-
-        if not self.has_hot:
-            out = {"e": F.col("_le"), "n": F.col("_ln")}
-            for c in first:
-                out[f"first_{c}"] = F.col(f"_lf_{c}")
-            for c, k in ahead.items():
-                for j in range(1, k + 1):
-                    out[f"next{j}_{c}"] = F.col(f"_ll{j}_{c}")
-            for name in counts:
-                out[name] = F.col(f"_lc_{name}")
-            return x.withColumns(out).drop(*cols.keys(), "_b", "_hot")
-
-        bt = self._bucket_table(list(first), list(ahead), counts, k_max)
-        side = F.broadcast(bt) if self.bucket_bound <= self.broadcast_rows else bt
-        x = x.join(side, [ent, "_b"], "left")
-        matched = F.col("_bt").isNotNull()
-        out = {
-            "e": F.col("_le") + F.coalesce(F.col("_prefix"), F.lit(0)).cast("long"),
-            "n": F.when(matched, F.col("_en")).otherwise(F.col("_ln")),
-        }
+        first, ahead, counts = list(first), dict(ahead or {}), dict(counts or {})
+        plain = self._windowed(self.plain, [self.entity], first, ahead, counts)
+        if self.buckets is None:
+            return plain
+        x = self._windowed(self.buckets, [self.entity, "_b"], first, ahead, counts)
+        # both sides are partitioned by (entity, bucket): only the table moves
+        x = x.join(self._bucket_table(first, ahead, counts), [self.entity, "_b"])
+        out = {"e": F.col("e") + F.col("_before"), "n": F.col("_n")}
         for c in first:
-            out[f"first_{c}"] = F.when(matched, F.col("_ef")[c]).otherwise(F.col(f"_lf_{c}"))
+            out[f"first_{c}"] = F.col("_first")[c]
         for c, k in ahead.items():
             for j in range(1, k + 1):
-                crosses = matched & (F.col("_le") + j >= F.col("_ln"))
-                spill = F.get(F.col("_after"), (F.col("_le") + j - F.col("_ln")).cast("int"))
-                out[f"next{j}_{c}"] = F.when(crosses, spill[c]).otherwise(F.col(f"_ll{j}_{c}"))
+                beyond = F.get(F.col("_after"), (F.col("e") + j - F.col("n")).cast("int"))[c]
+                out[f"next{j}_{c}"] = F.when(F.col("e") + j >= F.col("n"), beyond).otherwise(F.col(f"next{j}_{c}"))
         for name in counts:
-            out[name] = F.when(matched, F.col(f"_ec_{name}")).otherwise(F.col(f"_lc_{name}"))
-        drop = list(cols.keys()) + ["_b", "_hot", "_bt", "_prefix", "_en", "_ef", "_after"]
-        drop += [f"_ec_{name}" for name in counts]
-        return x.withColumns(out).drop(*drop)
-
-    def _bucket_table(self, first: list[str], ahead: list[str], counts: dict, k_max: int) -> DataFrame:
-        ent = self.entity
-        needed = list(dict.fromkeys(first + ahead)) or [self.order[0]]
-        vals = F.struct(*[F.col(c) for c in needed])
-        ordx = self._order_struct()
-        hot = self.df.where(F.col("_hot"))
-        aggs = [
-            F.count(F.lit(1)).alias("_cnt"),
-            F.min_by(vals, ordx).alias("_f1"),
-            F.min(ordx).alias("_o1"),
-        ]
-        aggs += [F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"_bc_{n}") for n, cond in counts.items()]
-        table = materialize(hot.groupBy(ent, "_b").agg(*aggs))
-        prev = table.select(ent, "_b", F.col("_o1").alias("_op"))
-        for j in range(2, k_max + 1):
-            side = F.broadcast(prev) if self.bucket_bound <= self.broadcast_rows else prev
-            nxt = (
-                hot.join(side, [ent, "_b"])
-                .where(ordx > F.col("_op"))
-                .groupBy(ent, "_b")
-                .agg(F.min_by(vals, ordx).alias(f"_f{j}"), F.min(ordx).alias(f"_o{j}"))
-            )
-            nxt = materialize(nxt)
-            table = table.join(nxt, [ent, "_b"], "left")
-            prev = nxt.select(ent, "_b", F.col(f"_o{j}").alias("_op"))
-        wb = Window.partitionBy(ent).orderBy("_b")
-        we = Window.partitionBy(ent)
-        sel = [
-            F.col(ent),
-            F.col("_b"),
-            F.lit(True).alias("_bt"),
-            F.coalesce(F.sum("_cnt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_prefix"),
-            F.sum("_cnt").over(we).alias("_en"),
-            F.first("_f1").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_ef"),
-        ]
-        if k_max:
-            following = [F.lead(F.col(f"_f{i}"), j).over(wb) for j in range(1, k_max + 1) for i in range(1, k_max + 1)]
-            sel.append(F.slice(F.filter(F.array(*following), lambda v: v.isNotNull()), 1, k_max).alias("_after"))
-        else:
-            sel.append(F.lit(None).alias("_after"))
-        sel += [F.sum(f"_bc_{n}").over(we).alias(f"_ec_{n}") for n in counts]
-        return materialize(table.select(*sel))
+            out[name] = F.col(f"_all_{name}")
+        return plain.unionByName(x.withColumns(out).select(*plain.columns))
+
+    def _bucket_table(self, first: list[str], ahead: dict[str, int], counts: dict[str, Column]) -> DataFrame:
+        """One row for each bucket: rows before it, and for its entity the
+        total, the first row, and the first rows after the bucket."""
+        ent, k = self.entity, max(ahead.values(), default=0)
+        values = F.struct(*[F.col(c) for c in dict.fromkeys([*first, *ahead, self.order[0]])])
+        by_bucket = Window.partitionBy(ent, "_b").orderBy(*self._order())
+        # the first rows by row number, so that equal order keys all count
+        heads = (
+            self.buckets.withColumn("_rn", F.row_number().over(by_bucket))
+            .where(F.col("_rn") <= max(k, 1))
+            .groupBy(ent, "_b")
+            .agg(F.sort_array(F.collect_list(F.struct("_rn", values.alias("v")))).alias("_heads"))
+        )
+        sizes = self.buckets.groupBy(ent, "_b").agg(
+            F.count(F.lit(1)).alias("_c"), *[F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"_c_{n}") for n, cond in counts.items()]
+        )
+        table = sizes.join(heads, [ent, "_b"]).withColumn("_heads", F.transform("_heads", lambda h: h["v"]))
+        in_order = Window.partitionBy(ent).orderBy("_b")
+        whole = Window.partitionBy(ent)
+        # every bucket has a row, so the next k buckets hold the next k rows
+        after = [F.coalesce(F.lead("_heads", j).over(in_order), F.slice("_heads", 1, 0)) for j in range(1, k + 1)]
+        return table.select(
+            ent,
+            "_b",
+            F.coalesce(F.sum("_c").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+            F.sum("_c").over(whole).alias("_n"),
+            F.first("_heads").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))[0].alias("_first"),
+            (F.concat(*after) if after else F.slice("_heads", 1, 0)).alias("_after"),
+            *[F.sum(f"_c_{n}").over(whole).alias(f"_all_{n}") for n in counts],
+        )

@@ -27,7 +27,7 @@ from ..schema import (
     N_STATES,
     PASSIVE_THRESHOLD,
 )
-from .sequence import DEFAULT_BROADCAST_ROWS, DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, EntitySequence
+from .sequence import DEFAULT_HOT_ROWS, DEFAULT_ROWS_PER_BUCKET, EntitySequence
 
 ACTION_RULES = ("reference", "per_event")
 
@@ -81,15 +81,16 @@ def state_action_pairs(
     default_length: int = DEFAULT_TRAJECTORY_LENGTH,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    heavy: list[tuple[str, int]] | None = None,
 ) -> DataFrame:
     """One row per emitted pair of each entity that passes the thresholds.
 
     Columns added to the timeline row of event e: ``e``, ``n``, ``base``,
     ``action``, ``state`` (= 4*base + action), ``next_state`` (state of pair
     e+1, NULL for the last pair), ``traj_len`` (L), ``n_traj`` (T),
-    ``traj_id``, ``pos`` and ``kept`` (pair lies in a complete trajectory)."""
-    seq = EntitySequence(timeline, hot_rows=hot_rows, rows_per_bucket=rows_per_bucket, broadcast_rows=broadcast_rows)
+    ``traj_id``, ``pos`` and ``kept`` (pair lies in a complete trajectory).  ``heavy``
+    lists (entity, rows) of entities to split; without it a sketch finds them."""
+    seq = EntitySequence(timeline, hot_rows=hot_rows, rows_per_bucket=rows_per_bucket, heavy=heavy)
     x = seq.annotate(
         first=["activity"],
         ahead={"activity": 1, "statuses": 2},

@@ -55,6 +55,8 @@ EVENT_COLUMNS = [
 # Total order of one entity's events.  Time first (missing times last),
 # then active before passive, activity code, referenced tweet, own post id.
 ORDER_COLUMNS = ["time", "kind", "activity", "tweet_id", "post_id"]
+# Counters, the last keys where a table has them: rows that still tie are equal.
+TIE_COLUMNS = ["statuses", "followers", "friends", "favourites", "retweet_count", "tweet_likes", "reply"]
 
 # --- fixed values: activity codes per role table -------------------------
 # role name, owner column, activity code, kind

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,3 +86,11 @@ def materialize(df: DataFrame) -> DataFrame:
     except AttributeError:  # remote session: the server's checkpoint folder applies
         pass
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared checkpoint folder: compressed,
+    prunable by column, and of a size that later joins know."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,17 +72,11 @@ def random_timelines(seed, users):
     return rows, expect
 
 
-@pytest.mark.parametrize(
-    "rule,hot,broadcast",
-    [("reference", None, None), ("per_event", None, None), ("reference", 60, None), ("per_event", 60, 0)],
-)
-def test_window_form_matches_sequential_simulation(spark, rule, hot, broadcast):
-    """``broadcast=0`` forces every hot-entity helper join to shuffle."""
+@pytest.mark.parametrize("rule,hot", [("reference", None), ("per_event", None), ("reference", 60), ("per_event", 60)])
+def test_window_form_matches_sequential_simulation(spark, rule, hot):
     rows, expect = random_timelines(seed=17, users=40)
     df = spark.createDataFrame(rows, SCHEMA)
     kw = {} if hot is None else {"hot_rows": hot, "rows_per_bucket": 20}
-    if broadcast is not None:
-        kw["broadcast_rows"] = broadcast
     got = J.state_action_pairs(df, action_rule=rule, t_active=-1, t_passive=-1, **kw).select(
         "entity", "e", "state", "action", "next_state", "traj_id", "kept"
     )

@@ -97,19 +97,39 @@ def test_hot_entities_split_same_result(spark, modulo):
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
 
 
-def test_bursty_hot_entity_buckets_balance(spark):
-    """Half of the events fall in the last 1% of the time span; equi-depth
-    buckets keep every bucket far below the burst size."""
+T0 = datetime(2024, 1, 1)
+SPANS = {
+    "burst at the end": [T0 + timedelta(minutes=i) for i in range(500)] + [T0 + timedelta(minutes=495, seconds=i // 2) for i in range(500)],
+    "one second": [T0 + timedelta(microseconds=900 * i) for i in range(1000)],
+    "no times": [None] * 600 + [T0 + timedelta(minutes=i) for i in range(400)],
+    "burst in a long span": [T0 + timedelta(days=i) for i in range(300)] + [T0 + timedelta(days=150, milliseconds=i) for i in range(700)],
+    "one time": [T0] * 1000,
+}
+
+
+@pytest.mark.parametrize("name", SPANS)
+@pytest.mark.parametrize("copies", [1, 2])
+def test_buckets_balance_and_change_nothing(spark, name, copies):
+    """Repeated rows included: the next row of an equal one is its copy."""
     from behaviorlens.operators.sequence import EntitySequence
 
-    t0 = datetime(2024, 1, 1)
-    times = [t0 + timedelta(minutes=i) for i in range(500)] + [t0 + timedelta(minutes=495, seconds=i // 2) for i in range(500)]
-    times += [None] * 7  # missing times sort last
-    rows = [("u", t, "a" if i % 2 else "p", 1 if i % 2 else 5, i + 1, 3000 - i, i) for i, t in enumerate(times)]
-    df = spark.createDataFrame(rows, SCHEMA)
+    rows = [("u", t, "a" if i % 2 else "p", 1 if i % 2 else 5, i // 3, 3000 - i, i) for i, t in enumerate(SPANS[name])] * copies
+    rows += [("small", T0, "a", 1, 1, 1, 1), (None, T0, "a", 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     seq = EntitySequence(df, hot_rows=100, rows_per_bucket=100)
-    sizes = [r["count"] for r in seq.df.groupBy("_b").count().collect()]
-    assert sum(sizes) == 1007 and len(sizes) >= 6 and max(sizes) <= 300
-    split = seq.annotate(first=["activity"], ahead={"statuses": 2}).select("post_id", "e", "n", "first_activity", "next1_statuses", "next2_statuses")
-    plain = EntitySequence(df, hot_rows=None).annotate(first=["activity"], ahead={"statuses": 2}).select(*split.columns)
+    sizes = [r["count"] for r in seq.buckets.groupBy("_b").count().collect()]
+    assert sum(sizes) == 1000 * copies and max(sizes) <= 200
+    ask = {"first": ["activity"], "ahead": {"statuses": 2, "activity": 1}, "counts": {"n_active": F.col("kind") == "a"}}
+    split = seq.annotate(**ask)
+    plain = EntitySequence(df, hot_rows=None).annotate(**ask).select(*split.columns)
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+def test_heavy_entities_by_sketch_or_by_list(spark):
+    from behaviorlens.operators.sequence import EntitySequence, heavy_entities
+
+    df = timeline(spark, [1, 5] * 40).unionByName(timeline(spark, [1, 5, 6], entity="v"))
+    assert heavy_entities(df, hot_rows=50) == [("u", 80)]
+    assert heavy_entities(df, hot_rows=80) == [] and heavy_entities(df.limit(0), hot_rows=0) == []
+    assert EntitySequence(df).buckets is None
+    assert EntitySequence(df, heavy=[("v", 3)], rows_per_bucket=1).buckets.count() == 3
