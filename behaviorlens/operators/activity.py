@@ -6,18 +6,47 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import ACTIVE_THRESHOLD, EVENT_COLUMNS, PASSIVE_THRESHOLD, ROLES
 
 
-def parse_time(c: Column | str) -> Column:
-    """Event time from text (P2): ISO forms first, then the classic
-    ``EEE MMM dd HH:mm:ss Z yyyy`` post format with the weekday cut off.
-    Timestamps pass through.  Result is a zone-free timestamp."""
-    c = F.col(c) if isinstance(c, str) else c
-    iso = F.try_to_timestamp(c.cast("string"))
-    classic = F.try_to_timestamp(F.substring(c.cast("string"), 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
-    return F.coalesce(iso, classic).cast("timestamp_ntz")
+#: An offset or zone at the end of an ISO time.
+OFFSET = r"[0-9:]\s*(?:Z|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?)\s*$"
+
+
+def utc(instant: Column) -> Column:
+    """Zone-free UTC time of an instant, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def parse_time(c: Column | str, zone: str = "UTC") -> Column:
+    """Event time in UTC from text (P2): ISO forms first, then the classic
+    ``EEE MMM dd HH:mm:ss Z yyyy`` post format with the weekday cut off.  ISO
+    text without an offset is a time of ``zone``.  The result is zone-free and
+    does not depend on the session's zone; text of another form gives NULL."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    local = c.try_cast("timestamp_ntz")
+    if zone != "UTC":
+        local = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    iso = F.when(c.rlike(OFFSET) & c.contains(":"), utc(F.try_to_timestamp(c))).otherwise(local)
+    classic = utc(F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")))
+    return F.coalesce(iso, classic)
+
+
+def unparsed_times(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """(n_unparsed, n): texts that give no time, and all texts."""
+    text = F.col(column).isNotNull()
+    return df.agg(F.count_if(text & parse_time(column).isNull()).alias("n_unparsed"), F.count_if(text).alias("n"))
+
+
+def utc_time(df: DataFrame, column: str) -> Column:
+    """A time column in zone-free UTC: instants converted, text parsed."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return utc(F.col(column))
+    return F.col(column) if isinstance(kind, T.TimestampNTZType) else parse_time(column)
 
 
 def _zero() -> Column:
@@ -28,7 +57,7 @@ def role_events(df: DataFrame, activity: int) -> DataFrame:
     """Rows of one role table as events of its owner (P1 + P3-P6, P8)."""
     role = next(r for r in ROLES if r[2] == activity)
     _, owner, act, kind = role
-    time = parse_time(F.col("created_at")) if "created_at" in df.columns else F.col("time").cast("timestamp_ntz")
+    time = utc_time(df, "created_at" if "created_at" in df.columns else "time")
     base = {
         "entity": F.col(owner).cast("string"),
         "time": time,
@@ -73,6 +102,37 @@ def role_events(df: DataFrame, activity: int) -> DataFrame:
     return df.where(F.col(owner).isNotNull()).select(*[cols[c].alias(c) for c in EVENT_COLUMNS])
 
 
+def routed_events(routed: DataFrame) -> DataFrame:
+    """Events of posts with their ``owner`` and ``activity`` code, in one
+    projection: the same columns as ``role_events`` of each role."""
+    act = F.col("activity")
+    own = act <= 4
+
+    def pick(of_own: str, of_repost: str) -> Column:
+        return F.when(own, F.col(of_own)).when(act == 5, F.col(of_repost)).otherwise(_zero()).cast("long")
+
+    def engagement(c: str) -> Column:
+        return F.when(act == 5, F.col(c)).otherwise(_zero()).cast("long")
+
+    reply = F.when(act.isin(6, 7), F.col("in_reply_to_status_id_str")).otherwise(_zero())
+    cols = {
+        "entity": F.col("owner").cast("string"),
+        "time": utc_time(routed, "created_at"),
+        "kind": F.when(own, F.lit("a")).otherwise(F.lit("p")),
+        "activity": act.cast("int"),
+        "tweet_id": F.when(own, F.col("id_str")).when(act == 5, F.col("retweet_id_str")).otherwise(reply).cast("long"),
+        "post_id": F.col("id_str").cast("long"),
+        "statuses": pick("user_statuses_count", "user_retweeted_statuses_count"),
+        "followers": pick("user_followers_count", "user_retweeted_followers"),
+        "friends": pick("user_friends_count", "user_retweeted_friends"),
+        "favourites": pick("user_favourites_count", "user_retweeted_favourites_count"),
+        "retweet_count": engagement("retweet_count"),
+        "tweet_likes": engagement("retweet_favorite_count"),
+        "reply": engagement("retweet_reply_count"),
+    }
+    return routed.select(*[cols[c].alias(c) for c in EVENT_COLUMNS])
+
+
 def build_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     """Union all (no dedup) of the role tables as events.
 

@@ -74,9 +74,8 @@ def log_odds(
     background has documents, else y_i + y_j."""
     counts = token_counts(docs, lower_case, rm_stopwords, rm_punctuations, tokenizer)
     alpha = None
-    if background:
-        bg_docs = docs.agg(F.count_if(F.col("in_bg")).alias("bg_docs")).first()["bg_docs"]
-        alpha = F.col("y_bg") if bg_docs else F.col("y_i") + F.col("y_j")
+    if background and not docs.where(F.col("in_bg")).isEmpty():  # stops at the first one
+        alpha = F.col("y_bg")
     return score_counts(counts, F.col("y_i"), F.col("y_j"), alpha, on_undefined)
 
 
@@ -131,19 +130,17 @@ def label_token_counts(docs: DataFrame, label_col: str, labels: list[int], **pre
 
 
 def top_tokens(scores: DataFrame, k: int = 10, bottom: bool = False) -> DataFrame:
-    """Top-k (or bottom-k) tokens by z, ties broken by token (L9).  Fails when
-    k exceeds the vocabulary.  Plans as a bounded per-partition top-k."""
+    """Top-k (or bottom-k) tokens by z, ties broken by token (L9); undefined
+    scores are not ranked.  Fails when k exceeds the vocabulary, an empty one
+    included.  Plans as a bounded per-partition top-k."""
     order = [F.col("z").asc(), F.col("token").asc()] if bottom else [F.col("z").desc(), F.col("token").asc()]
-    picked = scores.orderBy(*order).limit(k)
     if "vocab_size" in scores.columns:  # carried from the one-row totals
-        checked = picked.withColumn("_vocab", F.col("vocab_size"))
+        row = scores.select("vocab_size").first()
+        vocab = row[0] if row else 0
     else:
-        checked = picked.withColumn("_vocab", scores.agg(F.count(F.lit(1))).scalar())
-    checked = checked.withColumn(
-        "z",
-        F.when(
-            F.col("_vocab") < k, F.raise_error(F.lit(f"top-k size {k} exceeds the vocabulary")).cast("double")
-        ).otherwise(F.col("z")),
-    )
+        vocab = scores.count()
+    if vocab < k:
+        raise ValueError(f"top-k size {k} exceeds the vocabulary of {vocab} tokens")
+    picked = scores.where(F.col("z").isNotNull()).orderBy(*order).limit(k)
     rank = F.row_number().over(Window.orderBy(*order))
-    return checked.select(rank.cast("long").alias("rank"), "token", "z")
+    return picked.select(rank.cast("long").alias("rank"), "token", "z")

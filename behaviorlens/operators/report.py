@@ -94,9 +94,9 @@ def heatmap(stats: DataFrame, group: str = "user_type", digits: int = 3) -> Data
 
 
 def pivot(heat: DataFrame, group: str = "user_type") -> DataFrame:
-    """State x action table of means (O-A9), states sorted n, p+, p-, t."""
-    out = heat.groupBy(group, "State").pivot("Action", ACTION_NAMES).agg(F.first("mean"))
-    return out.orderBy(group, "State")
+    """State x action table of means (O-A9), by conditional aggregates."""
+    each = [F.max(F.when(F.col("Action") == a, F.col("mean"))).alias(a) for a in ACTION_NAMES]
+    return heat.groupBy(group, "State").agg(*each).orderBy(group, "State")
 
 
 def weight_means(wlong: DataFrame, group: str = "user_type", closed: bool = True) -> DataFrame:

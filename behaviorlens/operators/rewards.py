@@ -12,7 +12,6 @@ other three actions have all-zero rows and contribute 0 to every expectation.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,12 @@ from ..schema import (
     PINV28,
     VALUE_THRESHOLD,
 )
+from ..session import default_parallelism, stored
 
 F_MAT = np.asarray(FEATURE_MATRIX, dtype=float)  # (16, 6)
 SEEN_ACTION = np.arange(N_STATES) % N_ACTIONS
 KERNEL_CHUNK = 4096  # entities per tensor block inside one Arrow batch
-GROUP_MIN_BATCH = 512  # batches at least this large are solved per action group
+ACCOUNTS_PER_TASK = 500  # solver rows of one partition: some tens of seconds at the default epochs
 
 
 # --- dense model --------------------------------------------------------------
@@ -127,16 +127,12 @@ def swept_states(tp: np.ndarray) -> list[int]:
     return np.flatnonzero(tp.any(axis=(0, 2))).tolist()
 
 
-def action_groups(tp: np.ndarray, min_batch: int = GROUP_MIN_BATCH) -> list[np.ndarray]:
+def action_groups(tp: np.ndarray) -> list[np.ndarray]:
     """Entity index groups by which of the rp / rt actions they ever take.
 
     Under the default action rule most accounts only take tw / nt, so half of
     their states have all-zero rows; solving such accounts together lets the
-    sweeps skip those states.  Small batches stay whole (per-call overhead
-    would outweigh the saving).  Results do not depend on the grouping."""
-    b = tp.shape[0]
-    if b < min_batch:
-        return [np.arange(b)]
+    sweeps skip those states.  Results do not depend on the grouping."""
     seen = tp.any(axis=2)  # (B, 16)
     key = seen[:, SEEN_ACTION == 1].any(axis=1).astype(int) + 2 * seen[:, SEEN_ACTION == 2].any(axis=1)
     return [np.flatnonzero(key == k) for k in range(4) if (key == k).any()]
@@ -200,15 +196,6 @@ def expected_svf(tp, policy, p0, length) -> np.ndarray:
     return total
 
 
-def initial_weights(entities) -> np.ndarray:
-    """Uniform(0,1) start weights, seeded per entity so reruns agree."""
-    out = np.empty((len(entities), F_MAT.shape[1]))
-    for i, e in enumerate(entities):
-        seed = zlib.crc32(str(e).encode("utf-8"))
-        out[i] = np.random.default_rng(seed).uniform(size=F_MAT.shape[1])
-    return out
-
-
 def maxent_irl(tp, p0, fe, length, alpha0, epochs=EPOCHS, learning_rate=LEARNING_RATE, discount=DISCOUNT, threshold=VALUE_THRESHOLD):
     """Maximum-entropy IRL by gradient ascent on feature weights (M1).
 
@@ -235,12 +222,27 @@ def _list_array(mat: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(mat.reshape(-1)), mat.shape[1]).cast(pa.list_(pa.float64()))
 
 
-def _spread(model: DataFrame) -> DataFrame:
-    """Spread solver rows over all cores: the model table is tiny in bytes but
-    heavy in CPU, so adaptive coalescing must not fold it into one task."""
-    from ..session import default_parallelism
+def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix, from its flat buffer."""
+    return pc.list_flatten(batch.column(batch.schema.get_field_index(name))).to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
 
-    return model.repartition(max(default_parallelism(model.sparkSession), 1), "entity")
+def start_weights(entity: Column) -> Column:
+    """Start weights of the solver: uniform in [0, 1), from a hash of the
+    entity and the feature, so reruns and retried tasks agree."""
+    unit = 2**53
+    return F.array(*[F.pmod(F.xxhash64(entity, F.lit(i)), F.lit(unit)) / F.lit(float(unit)) for i in range(F_MAT.shape[1])])
+
+
+def _spread(model: DataFrame) -> DataFrame:
+    """Solver rows in partitions of at most ``ACCOUNTS_PER_TASK`` accounts and
+    at least one for each core.  The table is small in bytes but heavy in CPU:
+    a numbered round-robin exchange is neither dropped nor coalesced, and the
+    stored rows give the count and spare a retry the work before."""
+    rows = stored(model)
+    accounts = rows.count()
+    parts = max(min(accounts, default_parallelism(model.sparkSession)), -(-accounts // ACCOUNTS_PER_TASK), 1)
+    return rows.repartition(parts)
 
 
 def fit_rewards(
@@ -252,13 +254,12 @@ def fit_rewards(
 ) -> DataFrame:
     """Reward vector per entity: ``(entity, r array<double>)`` (M1).
 
-    With ``checkpoint`` the result is written to the shared checkpoint folder
-    before it is returned, so later stages that lose an executor re-read it
-    instead of re-running the solver."""
+    ``model`` may carry ``alpha0``, start weights of its own.  With
+    ``checkpoint`` the result is stored in the shared checkpoint folder before
+    it is returned, so later stages that lose an executor re-read it instead
+    of re-running the solver."""
     if checkpoint:
-        from ..session import materialize
-
-        return materialize(fit_rewards(model, epochs, learning_rate, discount))
+        return stored(fit_rewards(model, epochs, learning_rate, discount))
 
     def run(batches):
         for big in batches:
@@ -266,16 +267,16 @@ def fit_rewards(
                 if batch.num_rows == 0:
                     continue
                 tp, p0, fe, length = dense_model(batch)
-                ents = batch.column(batch.schema.get_field_index("entity")).to_pylist()
-                alpha0 = initial_weights(ents)
-                r = np.empty((len(ents), N_STATES))
+                alpha0 = _matrix(batch, "alpha0", F_MAT.shape[1])
+                r = np.empty((batch.num_rows, N_STATES))
                 for idx in action_groups(tp):
                     r[idx], _ = maxent_irl(tp[idx], p0[idx], fe[idx], length[idx], alpha0[idx], epochs, learning_rate, discount)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("entity")), _list_array(r)], names=["entity", "r"]
                 )
 
-    return _spread(model).mapInArrow(run, "entity string, r array<double>")
+    given = model if "alpha0" in model.columns else model.withColumn("alpha0", start_weights(F.col("entity")))
+    return _spread(given).mapInArrow(run, "entity string, r array<double>")
 
 
 def weights_from_rewards(r: Column) -> Column:
@@ -315,7 +316,7 @@ def _solve_job(model_with_rewards: DataFrame, kind: str, out_schema: str, discou
                     continue
                 tp, p0, _, length = dense_model(batch)
                 ent = batch.column(batch.schema.get_field_index("entity"))
-                r = np.asarray(batch.column(batch.schema.get_field_index("r")).to_pylist(), dtype=float).reshape(-1, N_STATES)
+                r = _matrix(batch, "r", N_STATES)
                 yield _emit(kind, ent, tp, p0, length, r, batch, discount)
 
     return _spread(model_with_rewards).mapInArrow(run, out_schema)
@@ -356,7 +357,7 @@ def _emit(kind, ent, tp, p0, length, r, batch, discount):
         g = greedy_policy(tp, r, v, discount)
         return _long_states(ent, policy_values(tp, g, r, discount), "value")
     if kind == "evd":
-        true_r = np.asarray(batch.column(batch.schema.get_field_index("true_r")).to_pylist(), dtype=float).reshape(-1, N_STATES)
+        true_r = _matrix(batch, "true_r", N_STATES)
         pol = stochastic_policy(tp, r, v, discount)
         g = np.argmax(pol, axis=2)
         opt_true = optimal_values(tp, true_r, discount)

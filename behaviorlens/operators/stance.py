@@ -28,14 +28,24 @@ def remap_labels(labels: Column) -> Column:
     return F.when(labels.isin(OPPOSE, NEITHER), F.lit(0)).otherwise(labels).cast("long")
 
 
+SPLIT_BUCKETS = 10_000
+
+
 def split_bucket(key: Column) -> Column:
-    """Deterministic 0..9 bucket of a key from its MD5 digest."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int") % 10
+    """Deterministic bucket below ``SPLIT_BUCKETS`` of a key from its MD5
+    digest: the first 16 bits give the tenth, the next 16 the place in it.  A
+    NULL key has the bucket of an empty one."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+    def part(start: int, size: int) -> Column:
+        return F.conv(F.substring(digest, start, 4), 16, 10).cast("int") % size
+
+    return part(1, 10) * (SPLIT_BUCKETS // 10) + part(5, SPLIT_BUCKETS // 10)
 
 
 def hash_split(key: Column, test_share: float = 0.3) -> Column:
     """'test' for about ``test_share`` of the keys, else 'train' (P16)."""
-    cut = int(round(test_share * 10))
+    cut = round(test_share * SPLIT_BUCKETS)
     return F.when(split_bucket(key) < cut, F.lit("test")).otherwise(F.lit("train"))
 
 
@@ -66,13 +76,15 @@ def train_classifier(
     vocabulary: list[str],
     text_col: str = "text",
     label_col: str = "label",
-    num_features: int = 1 << 16,
+    num_features: int = 1 << 18,
     classifier: str = "naive_bayes",
     max_iter: int = 30,
     reg_param: float = 0.01,
 ) -> PipelineModel:
     """Fit the stance pipeline (B1-B3): hashed TF-IDF plus a count block over
-    the stance-token vocabulary, then a binary classifier (1 vs rest).
+    the stance-token vocabulary, then a binary classifier (1 vs rest).  Tokens
+    that hash to one of ``num_features`` buckets share its weight: take several
+    times the corpus's distinct tokens.
 
     ``naive_bayes`` (multinomial) trains in one aggregation pass over the
     features; ``logistic`` runs one distributed pass per optimiser step, with

@@ -66,7 +66,7 @@ def feature_expectations(pairs: DataFrame) -> DataFrame:
     return wide.select("entity", stack.alias("x")).select("entity", "x.feature", "x.expectation")
 
 
-def model_table(pairs: DataFrame) -> DataFrame:
+def model_table(pairs: DataFrame, value_col: str | None = None) -> DataFrame:
     """One row per entity with everything the decision-model kernel needs:
     ``traj_len`` L, ``n_traj`` T and ``cells``, a list of aggregated counts
     ``(k, s, ns, cnt)``: k = 0 transitions s -> ns, k = 1 trajectory starts in
@@ -74,24 +74,34 @@ def model_table(pairs: DataFrame) -> DataFrame:
     into P (row-normalised transitions of the only seen action s % 4), the
     start distribution and the feature expectations.
 
+    With ``value_col`` also ``r``, for each state the sum of that column over
+    the entity's pairs in it (0 when unseen), from the same pass.
+
     Built from one aggregated cell table and one bounded group per entity (at
-    most 16 * 16 + 16 + 16 = 288 cells)."""
-    cell = F.explode(
-        F.array(
-            F.when(F.col("next_state").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("state").alias("s"), F.col("next_state").alias("ns"))),
-            F.when(F.col("kept") & (F.col("pos") == 0), F.struct(F.lit(1).alias("k"), F.col("state").alias("s"), F.lit(-1).alias("ns"))),
-            F.when(F.col("kept"), F.struct(F.lit(2).alias("k"), F.col("state").alias("s"), F.lit(-1).alias("ns"))),
-        )
-    )
+    most 16 * 16 + 16 + 16 + 16 = 304 cells)."""
+
+    def kind(k: int, ns=F.lit(-1)):
+        return F.struct(F.lit(k).alias("k"), F.col("state").alias("s"), ns.alias("ns"))
+
+    kinds = [
+        F.when(F.col("next_state").isNotNull(), kind(0, F.col("next_state"))),
+        F.when(F.col("kept") & (F.col("pos") == 0), kind(1)),
+        F.when(F.col("kept"), kind(2)),
+    ]
+    if value_col:
+        kinds.append(kind(3))
+    value = F.col(value_col).cast("double") if value_col else F.lit(0.0)
     cells = (
-        pairs.select("entity", "traj_len", "n_traj", cell.alias("c"))
+        pairs.select("entity", "traj_len", "n_traj", value.alias("value"), F.explode(F.array(*kinds)).alias("c"))
         .where(F.col("c").isNotNull())
         .groupBy("entity", "c.k", "c.s", "c.ns")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.max("traj_len").alias("L"), F.max("n_traj").alias("T"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.max("traj_len").alias("L"), F.max("n_traj").alias("T"), F.sum("value").alias("value"))
     )
+    rewards = [F.coalesce(F.sum(F.when((F.col("k") == 3) & (F.col("s") == s), F.col("value"))), F.lit(0.0)) for s in range(N_STATES)] if value_col else []
     grouped = cells.groupBy("entity").agg(
         F.max("L").alias("traj_len"),
         F.max("T").alias("n_traj"),
-        F.collect_list(F.struct("k", "s", "ns", "cnt")).alias("cells"),
+        F.collect_list(F.when(F.col("k") < 3, F.struct("k", "s", "ns", "cnt"))).alias("cells"),
+        *([F.array(*rewards).alias("r")] if value_col else []),
     )
-    return grouped.select("entity", "traj_len", "n_traj", "cells")
+    return grouped.select("entity", "traj_len", "n_traj", "cells", *(["r"] if value_col else []))

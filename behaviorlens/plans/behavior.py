@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, trajectories, transitions
-from ..sources import fixtures
+from ..sources import files, fixtures
 
 # thresholds high enough that some entities fail at sf0.01
 STRICT_ACTIVE = 33
@@ -36,6 +36,14 @@ def q_event_timeline(spark, sf_dir):
     return t.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTERS})
 
 
+def q_routed_timeline(spark, sf_dir):
+    """Raw posts routed to the roles of the accounts with an even id."""
+    e = events(spark, sf_dir)
+    accounts = e.where(F.col("user_id") % 2 == 0).select(F.col("user_id").cast("string").alias("name")).distinct()
+    t = files.routed_timeline(fixtures.posts_from_events(e), accounts)
+    return t.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTERS})
+
+
 def q_entity_thresholds(spark, sf_dir):
     return activity.entity_thresholds(timeline(spark, sf_dir), STRICT_ACTIVE, STRICT_PASSIVE)
 
@@ -123,6 +131,7 @@ def q_transition_counts_split(spark, sf_dir):
 
 QUERIES = {
     "event_timeline": q_event_timeline,
+    "routed_timeline": q_routed_timeline,
     "entity_thresholds": q_entity_thresholds,
     "active_entities": q_active_entities,
     "state_action_pairs": q_state_action_pairs,

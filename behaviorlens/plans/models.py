@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rewards, transitions
+from ..session import stored
 from . import behavior
 
 
-def valued_pairs(spark, sf_dir, modulo=None) -> DataFrame:
-    """Pairs carrying the event ``value`` (one sequence build shared by the
-    model table and the data-derived rewards)."""
-    return behavior.pairs(spark, sf_dir, modulo=modulo, extra=["value"])
+def model(spark, sf_dir, modulo=None) -> DataFrame:
+    return transitions.model_table(behavior.pairs(spark, sf_dir, modulo=modulo))
 
 
-def model(spark, sf_dir, modulo=None, pairs: DataFrame | None = None) -> DataFrame:
-    p = pairs if pairs is not None else behavior.pairs(spark, sf_dir, modulo=modulo)
-    return transitions.model_table(p)
+def model_with_rewards(spark, sf_dir) -> DataFrame:
+    """Model table with rewards from the events: per state the sum of
+    ``value``; model and rewards come from one pass over the pairs."""
+    return transitions.model_table(behavior.pairs(spark, sf_dir, extra=["value"]), value_col="value")
 
 
-def data_rewards(spark, sf_dir, modulo=None, pairs: DataFrame | None = None) -> DataFrame:
+def data_rewards(spark, sf_dir, modulo=None) -> DataFrame:
     """Deterministic rewards from the events: per state the sum of ``value``."""
-    p = pairs if pairs is not None else valued_pairs(spark, sf_dir, modulo)
-    return rewards.event_rewards(p)
+    return rewards.event_rewards(behavior.pairs(spark, sf_dir, modulo=modulo, extra=["value"]))
 
 
 def fitted(spark, sf_dir) -> DataFrame:
@@ -36,44 +35,46 @@ def q_reward_weights(spark, sf_dir):
 
 
 def q_reward_residual(spark, sf_dir):
+    """Largest distance of a recovered reward from F w; NULL without accounts."""
     f = fitted(spark, sf_dir)
     res = f.select(rewards.reward_residual(F.col("r"), F.col("w")).alias("x"))
-    return res.agg(F.round(F.coalesce(F.max("x"), F.lit(0.0)), 6).alias("max_residual"))
-
-
-def _with_data_rewards(spark, sf_dir) -> DataFrame:
-    p = valued_pairs(spark, sf_dir)
-    return model(spark, sf_dir, pairs=p).join(data_rewards(spark, sf_dir, pairs=p), "entity")
+    return res.agg(F.round(F.max("x"), 6).alias("max_residual"))
 
 
 def q_optimal_values(spark, sf_dir):
-    return rewards.optimal_value_table(_with_data_rewards(spark, sf_dir))
+    values = rewards.optimal_value_table(model_with_rewards(spark, sf_dir))
+    return values.withColumn("value", F.round("value", 6))
 
 
 def q_policy(spark, sf_dir):
-    return rewards.policy_table(_with_data_rewards(spark, sf_dir))
+    return rewards.policy_table(model_with_rewards(spark, sf_dir)).withColumn("p", F.round("p", 6))
 
 
 def q_greedy_policy(spark, sf_dir):
-    return rewards.greedy_policy_table(_with_data_rewards(spark, sf_dir))
+    return rewards.greedy_policy_table(model_with_rewards(spark, sf_dir))
 
 
 def q_policy_value(spark, sf_dir):
-    return rewards.policy_value_table(_with_data_rewards(spark, sf_dir))
+    return rewards.policy_value_table(model_with_rewards(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 def q_value_difference(spark, sf_dir):
-    p = valued_pairs(spark, sf_dir)
-    m = model(spark, sf_dir, pairs=p)
+    m = stored(model_with_rewards(spark, sf_dir).withColumnRenamed("r", "true_r"))
     recovered = rewards.fit_rewards(m, checkpoint=True)  # solver output feeds a second kernel job
-    true_r = data_rewards(spark, sf_dir, pairs=p).withColumnRenamed("r", "true_r")
-    return rewards.value_difference_table(m.join(recovered, "entity").join(true_r, "entity"))
+    return rewards.value_difference_table(m.join(recovered, "entity"))
+
+
+def q_value_difference_data(spark, sf_dir):
+    """Value lost on the data's rewards by acting greedily on their negative."""
+    m = model_with_rewards(spark, sf_dir).withColumnRenamed("r", "true_r")
+    opposite = m.withColumn("r", F.transform("true_r", lambda x: -x))
+    return rewards.value_difference_table(opposite).withColumn("evd", F.round("evd", 6))
 
 
 def q_expected_visitation(spark, sf_dir):
     m = model(spark, sf_dir).withColumn("r", F.array_repeat(F.lit(0.0), 16))
     svf = rewards.expected_visitation_table(m, policy="uniform")
-    return svf.where(F.col("svf") > 0).select("entity", "state", F.round("svf", 6).alias("svf"))
+    return svf.select("entity", "state", F.round("svf", 6).alias("svf"))
 
 
 QUERIES = {
@@ -84,5 +85,6 @@ QUERIES = {
     "greedy_policy": q_greedy_policy,
     "policy_value": q_policy_value,
     "value_difference": q_value_difference,
+    "value_difference_data": q_value_difference_data,
     "expected_visitation": q_expected_visitation,
 }

@@ -49,12 +49,13 @@ def q_reward_panels(spark, sf_dir):
 
 
 def _exact_stats(spark, sf_dir) -> DataFrame:
-    """Group means from whole cents: the event values carry two decimals, so
-    means often sit exactly on a rounding half; integer sums make them
-    independent of summation order before the 3-digit rounding."""
+    """Group means from decimal rewards: means of values with two decimals
+    often sit exactly on a rounding half; decimal sums (ten digits behind the
+    point) make them independent of summation order before the 3-digit
+    rounding."""
     long = report.rewards_long(results(spark, sf_dir).drop("w"))
-    cents = long.withColumn("reward", F.round(F.col("reward") * 100).cast("long"))
-    return report.pair_stats(cents).withColumn("mean", F.col("mean") / F.lit(100.0))
+    exact = long.withColumn("reward", F.col("reward").cast("decimal(24,10)"))
+    return report.pair_stats(exact).withColumn("mean", F.col("mean").cast("double"))
 
 
 def q_reward_heatmap(spark, sf_dir):

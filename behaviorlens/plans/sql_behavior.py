@@ -100,6 +100,8 @@ EVENT_TIMELINE = (
     "retweet_count, tweet_likes, reply)"
 )
 
+ROUTED_TIMELINE = EVENT_TIMELINE + "\nWHERE CAST(entity AS BIGINT) % 2 = 0"
+
 ENTITY_THRESHOLDS = f"""WITH {ev_cte()}
 SELECT entity, count(*) FILTER (WHERE kind = 'a') AS n_active, count(*) FILTER (WHERE kind = 'p') AS n_passive
 FROM ev GROUP BY entity
@@ -175,6 +177,7 @@ FROM pairs WHERE next_state IS NOT NULL GROUP BY entity, state, action, next_sta
 
 SQL = {
     "event_timeline": EVENT_TIMELINE,
+    "routed_timeline": ROUTED_TIMELINE,
     "entity_thresholds": ENTITY_THRESHOLDS,
     "active_entities": ACTIVE_ENTITIES,
     "state_action_pairs": STATE_ACTION_PAIRS,

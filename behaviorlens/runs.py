@@ -17,8 +17,10 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.text import PLACEHOLDERS
 from .operators import activity, logodds, rewards, stance, trajectories, transitions
 from .schema import ACTIVE_THRESHOLD, EPOCHS, PASSIVE_THRESHOLD
+from .session import stored
 from .sources import files
 
 
@@ -63,7 +65,11 @@ def distinctive_words(
     is given: ``vocabs_{i,j,alpha}_<name_i>``, ``delta_/sigma_2_/z_scores_<name_i>``,
     ``top_words_<name_i>`` (top k) and ``top_words_<name_j>`` (bottom k)."""
     docs = logodds.corpus_table(corpus_i, corpus_j, background)
-    scores = logodds.log_odds(docs, background=background is not None, **prep)
+    on_undefined = prep.pop("on_undefined", "error")
+    counted = stored(logodds.token_counts(docs, **prep))
+    use_background = background is not None and not background.isEmpty()
+    alpha = F.col("y_bg") if use_background else F.col("y_i") + F.col("y_j")
+    scores = logodds.score_counts(counted, F.col("y_i"), F.col("y_j"), alpha, on_undefined)
     top = logodds.top_tokens(scores, top_k)
     bottom = logodds.top_tokens(scores, top_k, bottom=True)
     out = {"scores": scores, "top": top, "bottom": bottom}
@@ -71,7 +77,9 @@ def distinctive_words(
         counts = scores.select("token", "y_i", "y_j", "alpha")
         files.write_counts(counts.where(F.col("y_i") > 0), os.path.join(out_dir, f"vocabs_i_{name_i}"), "y_i")
         files.write_counts(counts.where(F.col("y_j") > 0), os.path.join(out_dir, f"vocabs_j_{name_i}"), "y_j")
-        files.write_counts(counts, os.path.join(out_dir, f"vocabs_alpha_{name_i}"), "alpha")
+        # the whole prior, background-only tokens included
+        prior = counted.select("token", alpha.alias("alpha")).where(F.col("alpha") > 0)
+        files.write_counts(prior, os.path.join(out_dir, f"vocabs_alpha_{name_i}"), "alpha")
         for col, prefix in (("delta", "delta_"), ("sigma_2", "sigma_2_"), ("z", "z_scores_")):
             files.write_counts(scores, os.path.join(out_dir, f"{prefix}{name_i}"), col)
         files.write_words(top, os.path.join(out_dir, f"top_words_{name_i}"), single_file=True)
@@ -91,6 +99,8 @@ def stance_scores(
     labelled posts (``labels`` 1/2/3, ``text``; remapped to 1 vs rest, hash
     split by text), scores for ``posts`` (``author_id``, ``body``)."""
     tokens = stance.stance_tokens(word_lists)
+    # the token file holds the lists' own words; placeholders are added for the model
+    own_placeholders = [r["word"] for r in word_lists.where(F.col("word").isin(PLACEHOLDERS)).select("word").distinct().collect()]
     vocabulary = sorted(r["token"] for r in tokens.collect())  # a few top-k lists
     lab = labelled.select(
         "text", stance.remap_labels(F.col("labels")).alias("label"), stance.hash_split(F.col("text")).alias("split")
@@ -101,7 +111,8 @@ def stance_scores(
     raw = stance.score_posts(model, posts)
     by_author = stance.author_mean(raw)
     if out_dir:
-        files.write_words(tokens, os.path.join(out_dir, "stance_tokens"), single_file=True)
+        listed = tokens.where(~F.col("token").isin(PLACEHOLDERS) | F.col("token").isin(own_placeholders))
+        files.write_words(listed, os.path.join(out_dir, "stance_tokens"))
         files.write_scores(raw, os.path.join(out_dir, "raw_predicted_stance"))
         files.write_scores(by_author, os.path.join(out_dir, "by_user_predicted_stance"))
     return {"tokens": tokens, "accuracy": acc, "scores": raw, "by_author": by_author}

@@ -1,32 +1,82 @@
 """File sources and sinks (S1-S8, K1-K6) and role routing.
 
-Readers always pass an explicit schema (no inference); writers are plain
-DataFrame writers, so output is written in parallel by the executors.
+CSV columns are read as text and selected by header name; numbers are
+converted explicitly, so a cell that does not convert is an error (or counted)
+and never a silent NULL.  Writers are plain DataFrame writers, so output is
+written in parallel by the executors.  A CSV file with quoted line breaks
+cannot be split and is read by one task: deliver large tables as many files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_text
+from ..operators.activity import routed_events
 from ..operators.report import parse_array_text
 from ..schema import ACTIVITY_RAW, ROLES
 
 # --- S1: activity tables --------------------------------------------------------
 
 
+#: Texts that stand for a missing number.
+MISSING = ["", "nan", "none", "null", "<na>"]
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a CSV file with a header, as text."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def integer_text(c: Column) -> Column:
+    """Integer of its text: plain digits exactly, else a decimal form whose
+    value is whole (``77.0``, ``1.53e+18``); NULL for other text."""
+    plain = F.trim(c)
+    decimal = plain.try_cast("decimal(38,6)")
+    whole = F.when(decimal == F.floor(decimal), decimal.try_cast("long"))
+    return F.coalesce(F.when(plain.rlike(r"^[+-]?\d+$"), plain.try_cast("long")), whole)
+
+
+def missing_text(c: Column) -> Column:
+    return c.isNull() | F.lower(F.trim(c)).isin(MISSING)
+
+
+def named_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in order; fails on one that is not there."""
+    lacking = [n for n in names if n not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def typed_activity(text: DataFrame) -> DataFrame:
+    """Raw activity columns from text columns, by name.  A cell that is no
+    integer where one is due fails the job with the column and the text."""
+    text = named_columns(text, ACTIVITY_RAW.fieldNames())
+
+    def typed(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        if not isinstance(f.dataType, T.LongType):
+            return c.alias(f.name)
+        bad = F.raise_error(F.concat(F.lit(f"{f.name}: not an integer: "), c)).cast("long")
+        return F.when(missing_text(c), F.lit(None).cast("long")).otherwise(F.coalesce(integer_text(c), bad)).alias(f.name)
+
+    return text.select(*[typed(f) for f in ACTIVITY_RAW.fields])
+
+
+def bad_cells(text: DataFrame) -> DataFrame:
+    """(column, n) of integer cells of an activity table that do not convert."""
+    integers = [f.name for f in ACTIVITY_RAW.fields if isinstance(f.dataType, T.LongType)]
+    text = named_columns(text, integers)
+    counts = text.agg(*[F.count_if(~missing_text(F.col(n)) & integer_text(F.col(n)).isNull()).alias(n) for n in integers])
+    return counts.unpivot([], integers, "column", "n")
+
+
 def read_activity_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One role table from CSV with the raw activity schema."""
-    return (
-        spark.read.schema(ACTIVITY_RAW)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    """One role table from CSV, columns by name."""
+    return typed_activity(read_text_csv(spark, path))
 
 
 def read_activity_tables(spark: SparkSession, base: str, user_type: str = "users", fmt: str = "csv") -> dict[str, DataFrame]:
@@ -39,33 +89,45 @@ def read_activity_tables(spark: SparkSession, base: str, user_type: str = "users
     return out
 
 
-def route_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance") -> dict[str, DataFrame]:
-    """Split raw posts into the eight role tables of an account set.
-
-    Own posts (``screen_name`` in the set) become reposts, replies, mentions
-    or original posts; posts of others that repost, reply to (by reply
-    stance: 1 supports, 2 opposes) or mention an account become the
-    passive roles.  Membership is a left-semi join, planned by Catalyst
-    (broadcast when the account set is small enough, shuffle otherwise)."""
-    acc = accounts.select(F.col(accounts.columns[0]).alias("_acc")).distinct()
-
-    def member(col: str) -> DataFrame:
-        return posts.join(acc, F.col(col) == F.col("_acc"), "left_semi")
+def routed_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance") -> DataFrame:
+    """Raw posts once for each role they play for an account of the set (S2):
+    ``role`` and ``owner`` are added.
 
-    own = member("screen_name")
+    Own posts (``screen_name`` in the set) are reposts, replies, mentions or
+    original posts; posts of others that repost, reply to (by reply stance: 1
+    supports, 2 opposes) or mention an account play the passive roles.  One
+    scan, one row for each (role, owner), one left-semi join on the owner."""
+    acc = accounts.select(F.col(accounts.columns[0]).cast("string").alias("_acc")).distinct()
     is_rt = F.col("user_retweeted").isNotNull()
     is_rp = F.col("in_reply_to_screen_name").isNotNull()
     is_m = F.col("mention").isNotNull()
-    return {
-        "tw_a": own.where(~is_rt & ~is_rp & ~is_m),
-        "rt_a": own.where(is_rt),
-        "rp_a": own.where(is_rp),
-        "m_a": own.where(is_m),
-        "rt_s": member("user_retweeted"),
-        "rp_pro_s": member("in_reply_to_screen_name").where(F.col(stance_col) == 1),
-        "rp_con_s": member("in_reply_to_screen_name").where(F.col(stance_col) == 2),
-        "m_s": member("mention"),
+    applies = {
+        "tw_a": ~is_rt & ~is_rp & ~is_m,
+        "rt_a": is_rt,
+        "rp_a": is_rp,
+        "m_a": is_m,
+        "rt_s": is_rt,
+        "rp_pro_s": is_rp & (F.col(stance_col) == 1),
+        "rp_con_s": is_rp & (F.col(stance_col) == 2),
+        "m_s": is_m,
     }
+    roles = [F.when(applies[name], F.struct(F.lit(name).alias("role"), F.col(owner).alias("owner"))) for name, owner, *_ in ROLES]
+    each = posts.withColumn("_r", F.explode(F.filter(F.array(*roles), lambda r: r.isNotNull() & r["owner"].isNotNull())))
+    each = each.withColumns({"role": F.col("_r.role"), "owner": F.col("_r.owner")}).drop("_r")
+    return each.join(acc, F.col("owner") == F.col("_acc"), "left_semi")
+
+
+def route_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance") -> dict[str, DataFrame]:
+    """The eight role tables of an account set (S2), as filters of one routed
+    table; ``routed_timeline`` reads it once for all of them."""
+    routed = routed_posts(posts, accounts, stance_col)
+    return {name: routed.where(F.col("role") == name).select(*posts.columns) for name, *_ in ROLES}
+
+
+def routed_timeline(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance") -> DataFrame:
+    """The event timeline of an account set from raw posts, in one pass."""
+    routed = routed_posts(posts, accounts, stance_col)
+    return routed_events(routed.withColumn("activity", F.create_map(*[F.lit(x) for name, _, code, _ in ROLES for x in (name, code)])[F.col("role")]))
 
 
 # --- S3-S8: other inputs -------------------------------------------------------
@@ -73,15 +135,24 @@ def route_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance
 
 def read_corpus(spark: SparkSession, path: str, column: str = "text_normalized") -> DataFrame:
     """Corpus CSV, one document per row, whitespace-stripped; rows without
-    text are dropped (S3)."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    text are dropped (S3): ``corpus_rows`` counts them."""
+    df = named_columns(read_text_csv(spark, path), [column])
     return df.select(strip_text(F.col(column)).alias("text")).where(F.col("text").isNotNull())
 
 
+def corpus_rows(spark: SparkSession, path: str, column: str = "text_normalized") -> DataFrame:
+    """(n, n_dropped): rows of a corpus file, and those without text."""
+    df = named_columns(read_text_csv(spark, path), [column])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column).isNull()).alias("n_dropped"))
+
+
 def read_labelled_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled posts with the two used columns."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(F.col("labels").cast("int").alias("labels"), F.col("text"))
+    """Labelled posts with the two used columns (S4); a label that is no
+    integer fails the job."""
+    df = named_columns(read_text_csv(spark, path), ["labels", "text"])
+    bad = F.raise_error(F.concat(F.lit("labels: not an integer: "), F.col("labels"))).cast("long")
+    label = F.when(missing_text(F.col("labels")), F.lit(None).cast("long")).otherwise(F.coalesce(integer_text(F.col("labels")), bad))
+    return df.select(label.cast("int").alias("labels"), F.col("text"))
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:

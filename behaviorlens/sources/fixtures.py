@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.activity import utc_time
 from ..schema import ACTIVITY_RAW, EVENT_COLUMNS, ROLES
 
 TABLES = [
@@ -42,7 +43,7 @@ def role_tables_from_events(events: DataFrame, modulo: int | None = None) -> dic
     """The eight raw role tables (``ACTIVITY_RAW`` layout) made from ``events``."""
     act = _activity()
     ent = _entity(modulo)
-    created = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    created = F.date_format(utc_time(events, "ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     statuses = F.floor(F.col("value")).cast("long")
     post = (F.col("event_id") + 1).cast("long")
     k = F.get_json_object(F.col("props"), "$.k").cast("long")
@@ -66,6 +67,31 @@ def role_tables_from_events(events: DataFrame, modulo: int | None = None) -> dic
     return out
 
 
+def posts_from_events(events: DataFrame) -> DataFrame:
+    """The same rows as the role tables in one raw post table, with the reply
+    stance that routes replies (1 supports, 2 opposes).  A post by an account
+    carries the mark of its kind with an owner outside of any account set."""
+    act = _activity()
+    ent, other = _entity(None), F.lit("someone else")
+    post = (F.col("event_id") + 1).cast("long")
+    statuses = F.floor(F.col("value")).cast("long")
+    cols = {f.name: F.lit(None).cast(f.dataType) for f in ACTIVITY_RAW.fields}
+    cols |= {
+        "created_at": F.date_format(utc_time(events, "ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "id_str": F.when(act <= 4, post).otherwise(F.col("event_id").cast("long")),
+        "screen_name": F.when(act <= 4, ent),
+        "user_retweeted": F.when(act == 2, other).when(act == 5, ent),
+        "in_reply_to_screen_name": F.when(act == 3, other).when(act.isin(6, 7), ent),
+        "mention": F.when(act == 4, other).when(act == 8, ent),
+        "user_statuses_count": F.when(act <= 4, statuses),
+        "retweet_id_str": F.when(act == 5, post),
+        "user_retweeted_statuses_count": F.when(act == 5, statuses),
+        "retweet_count": F.when(act == 5, F.get_json_object(F.col("props"), "$.k").cast("long")),
+        "in_reply_to_status_id_str": F.when(act.isin(6, 7), post),
+    }
+    return events.select(*[cols[f.name].alias(f.name) for f in ACTIVITY_RAW.fields], F.when(act == 6, 1).when(act == 7, 2).alias("stance"))
+
+
 def timeline_from_events(events: DataFrame, modulo: int | None = None, extra: list[str] | None = None) -> DataFrame:
     """The event timeline in one projection of ``events`` (same rows as the
     role-table route, one scan).  ``extra`` columns of ``events`` are kept."""
@@ -74,7 +100,7 @@ def timeline_from_events(events: DataFrame, modulo: int | None = None, extra: li
     statuses = F.when(act <= 5, F.floor(F.col("value"))).otherwise(F.lit(0)).cast("long")
     cols = {
         "entity": _entity(modulo),
-        "time": F.col("ts").cast("timestamp_ntz"),
+        "time": utc_time(events, "ts"),
         "kind": F.when(active, F.lit("a")).otherwise(F.lit("p")),
         "activity": act,
         "tweet_id": F.when(act == 8, F.lit(0)).otherwise(F.col("event_id") + 1).cast("long"),

@@ -12,10 +12,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.activity import role_events
 from ..schema import ACTIVITY_RAW, ROLES
+from ..sources.files import typed_activity
 
 
 def activity_stream(spark: SparkSession, role_dirs: dict[str, str], fmt: str = "csv") -> DataFrame:
@@ -24,11 +26,13 @@ def activity_stream(spark: SparkSession, role_dirs: dict[str, str], fmt: str = "
     for name, _, act, _ in ROLES:
         if name not in role_dirs:
             continue
-        reader = spark.readStream.schema(ACTIVITY_RAW)
         if fmt == "csv":
-            src = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(role_dirs[name])
+            # text columns whose names must agree with each file's header
+            text = T.StructType([T.StructField(c, T.StringType()) for c in ACTIVITY_RAW.fieldNames()])
+            reader = spark.readStream.schema(text).option("enforceSchema", False)
+            src = typed_activity(reader.option("header", True).option("multiLine", True).option("escape", '"').csv(role_dirs[name]))
         else:
-            src = reader.parquet(role_dirs[name])
+            src = spark.readStream.schema(ACTIVITY_RAW).parquet(role_dirs[name])
         parts.append(role_events(src, act))
     if not parts:
         raise ValueError("no role directories given")

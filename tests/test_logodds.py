@@ -1,6 +1,7 @@
 """Log-odds scores: symmetry, undefined tokens, top-k guard."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from behaviorlens.operators import logodds as L
 
@@ -50,3 +51,26 @@ def test_top_k_guard_and_order(spark):
     assert [r["z"] for r in bottom] == sorted(r["z"] for r in bottom)
     with pytest.raises(Exception):
         L.top_tokens(sc, 1000).collect()
+
+
+def test_undefined_scores_are_not_ranked(spark):
+    scores = spark.createDataFrame([("zz", None), ("a", 1.0), ("b", -1.0)], "token string, z double")
+    assert [r["token"] for r in L.top_tokens(scores, 2, bottom=True).collect()] == ["b", "a"]
+    assert [r["token"] for r in L.top_tokens(scores, 3).collect()] == ["a", "b"]
+
+
+def test_empty_vocabulary_fails(spark):
+    none = spark.createDataFrame([], "token string, z double, vocab_size long")
+    with pytest.raises(ValueError):
+        L.top_tokens(none, 5)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.04, 0.25, 0.3, 1.0])
+def test_split_share(spark, share):
+    from behaviorlens.operators.stance import hash_split
+
+    keys = spark.range(20000).select(hash_split(F.col("id"), share).alias("split"))
+    n = keys.where("split = 'test'").count()
+    assert abs(n / 20000 - share) < 0.012
+    lost = spark.range(1).select(hash_split(F.lit(None).cast("string"), 1.0).alias("split"))
+    assert lost.first()["split"] == "test"

@@ -43,3 +43,20 @@ def test_stance_scores(spark, tmpdir_path):
     assert by["a"] > 0.5 > by["b"]
     assert out["accuracy"].first()["accuracy"] == 1.0
     assert spark.read.parquet(os.path.join(tmpdir_path, "by_user_predicted_stance")).count() == 2
+
+
+def test_prior_file_has_background_only_tokens(spark, tmpdir_path):
+    i = spark.createDataFrame([("war tanks",)], "text string")
+    j = spark.createDataFrame([("peace tanks",)], "text string")
+    bg = spark.createDataFrame([("war tanks peace border border",)], "text string")
+    runs.distinctive_words(i, j, bg, out_dir=tmpdir_path, name_i="a", name_j="b", top_k=1)
+    prior = {r[0]: int(r[1]) for r in spark.read.csv(os.path.join(tmpdir_path, "vocabs_alpha_a")).collect()}
+    assert prior == {"war": 1, "tanks": 1, "peace": 1, "border": 2}
+
+
+def test_token_file_has_the_lists_words_only(spark, tmpdir_path):
+    words = spark.createDataFrame([("war",), ("peace",)], "word string")
+    labelled = spark.createDataFrame([(1 if k % 2 else 2, ("war" if k % 2 else "peace") + f" n{k}") for k in range(40)], "labels int, text string")
+    posts = spark.createDataFrame([("a", "war")], "author_id string, body string")
+    runs.stance_scores(words, labelled, posts, out_dir=tmpdir_path)
+    assert sorted(r[0] for r in spark.read.text(os.path.join(tmpdir_path, "stance_tokens")).collect()) == ["peace", "war"]

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.operators import activity
@@ -113,3 +114,84 @@ def test_corpus_and_labelled_readers(spark, tmpdir_path):
         f.write('labels,text,extra\n1,"a, b",u\n3,c,v\n')
     rows = files.read_labelled_posts(spark, q).collect()
     assert [tuple(r) for r in rows] == [(1, "a, b"), (3, "c")]
+
+
+def _activity_csv(path, header, rows):
+    with open(path, "w") as f:
+        f.write("\n".join([",".join(header), *(",".join(r) for r in rows)]) + "\n")
+
+
+def test_activity_csv_by_name_with_float_text(spark, tmpdir_path):
+    """Another column order, an extra column, integers as a data-frame library
+    writes them beside missing values."""
+    names = ["extra", *reversed(ACTIVITY_RAW.fieldNames())]
+    cells = {"screen_name": "a", "created_at": "2020-01-01 00:00:00", "extra": "z"}
+    counts = ["77.0", "1.53e+18", "", "nan", " 5 ", "1530101424356347904"]
+    p = os.path.join(tmpdir_path, "a.csv")
+    _activity_csv(p, names, [[{**cells, "id_str": str(i), "user_statuses_count": c}.get(n, "") for n in names] for i, c in enumerate(counts)])
+    df = files.read_activity_csv(spark, p)
+    assert df.schema == ACTIVITY_RAW
+    got = [(r["screen_name"], r["id_str"], r["user_statuses_count"]) for r in df.orderBy("id_str").collect()]
+    assert got == [("a", i, c) for i, c in enumerate([77, 1530000000000000000, None, None, 5, 1530101424356347904])]
+    assert files.bad_cells(files.read_text_csv(spark, p)).where("n > 0").count() == 0
+
+
+def test_activity_csv_rejects(spark, tmpdir_path):
+    names = ACTIVITY_RAW.fieldNames()
+    p = os.path.join(tmpdir_path, "bad.csv")
+    _activity_csv(p, names, [["7.5" if n == "id_str" else "" for n in names], ["many" if n == "retweet_count" else "" for n in names]])
+    with pytest.raises(Exception, match="not an integer"):
+        files.read_activity_csv(spark, p).collect()
+    bad = {r["column"]: r["n"] for r in files.bad_cells(files.read_text_csv(spark, p)).where("n > 0").collect()}
+    assert bad == {"id_str": 1, "retweet_count": 1}
+    q = os.path.join(tmpdir_path, "lacking.csv")
+    _activity_csv(q, names[1:], [])
+    with pytest.raises(ValueError, match="screen_name"):
+        files.read_activity_csv(spark, q)
+
+
+def test_corpus_counts_what_it_drops(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "corpus.csv")
+    with open(p, "w") as f:
+        f.write("id,text_normalized\n1,a\n2,\n3,b\n")
+    assert tuple(files.corpus_rows(spark, p).first()) == (3, 1)
+    with pytest.raises(ValueError, match="no_such"):
+        files.read_corpus(spark, p, column="no_such")
+
+
+def test_routed_timeline_is_the_union_of_role_tables(spark):
+    """A post that plays several roles, for several accounts, in one pass."""
+    posts = spark.createDataFrame(
+        [
+            _post(screen_name="a", id_str=1, created_at="2018-10-10 20:19:24", user_retweeted="b", retweet_id_str=7, mention="a", in_reply_to_screen_name="b", user_statuses_count=3, retweet_count=2),
+            _post(screen_name="b", id_str=2, created_at="2018-10-10 20:20:00", user_statuses_count=4),
+            _post(screen_name="x", id_str=3, created_at=None, in_reply_to_screen_name="a"),
+            _post(screen_name=None, id_str=4, created_at="2018-10-10 20:20:00", mention="x"),
+        ],
+        ACTIVITY_RAW,
+    ).withColumn("stance", F.when(F.col("id_str") == 1, 1))
+    accounts = spark.createDataFrame([("a",), ("b",), ("a",)], "name string")
+    one = files.routed_timeline(posts, accounts)
+    each = activity.build_timeline(files.route_posts(posts, accounts))
+    assert one.columns == each.columns and one.count() == 7
+    assert one.exceptAll(each).count() == 0 and each.exceptAll(one).count() == 0
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    """Across the change to winter time: order and values are those in UTC."""
+    texts = ["2018-10-28 00:30:00+00:00", "2018-10-28T01:10:00Z", "Sun Oct 28 01:20:00 +0000 2018", "2018-10-28 02:30:00", "2018-10-28 03:30:00 +0100", "2018-10-28", "when", None]
+    want = ["2018-10-28 00:30:00", "2018-10-28 01:10:00", "2018-10-28 01:20:00", "2018-10-28 02:30:00", "2018-10-28 02:30:00", "2018-10-28 00:00:00", None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, created_at string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Zurich", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            out = df.select("i", activity.parse_time("created_at").cast("string").alias("t"), activity.parse_time("created_at", "Europe/Zurich").cast("string").alias("z"))
+            rows = out.orderBy("i").collect()
+            assert [r["t"] for r in rows] == want, zone
+            assert [r["z"] for r in rows][:6] == [*want[:3], "2018-10-28 00:30:00", want[4], "2018-10-27 22:00:00"], zone
+            instant = spark.range(1).select(F.timestamp_micros(F.lit(1540685400000000)).alias("time"))
+            assert instant.select(activity.utc_time(instant, "time").cast("string")).first()[0] == "2018-10-28 00:10:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(activity.unparsed_times(df).first()) == (1, 7)
