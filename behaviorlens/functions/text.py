@@ -150,10 +150,16 @@ def decontract(c: Column) -> Column:
     return fold_replace(c, DECONTRACTIONS)
 
 
+def shorten_runs(c: Column) -> Column:
+    """Four or more of one symbol (other than ASCII letters and digits)
+    become three."""
+    return F.regexp_replace(c, r"([^a-zA-Z0-9])\1{3,}", "$1$1$1")
+
+
 def tokenize(c: Column, pattern: str = TOKEN_PATTERN) -> Column:
     """Tokens of a text as ``array<string>`` (T3), after decoding the common
-    named HTML entities."""
-    return F.regexp_extract_all(fold_replace(c, HTML_ENTITIES), F.lit(pattern), 0)
+    named HTML entities and shortening long runs of one symbol."""
+    return F.regexp_extract_all(shorten_runs(fold_replace(c, HTML_ENTITIES)), F.lit(pattern), 0)
 
 
 def drop_tokens(tokens: Column, words: list[str]) -> Column:

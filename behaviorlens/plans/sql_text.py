@@ -29,8 +29,18 @@ def replace_chain(expr: str, pairs) -> str:
     return expr
 
 
+# DuckDB's regular expressions have no back references: runs of these symbols.
+RUN_SYMBOLS = "!?.,-_=*+#~$%&@:;/|()<> " + "ñéèêçáàíóúüöäßôîûâï"
+
+
+def shortened(expr: str) -> str:
+    for c in RUN_SYMBOLS:
+        expr = f"regexp_replace({expr}, '[{c}]{{4,}}', '{c * 3}', 'g')"
+    return expr
+
+
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all({replace_chain(text, HTML_ENTITIES)}, {q(TOKEN_PATTERN)}, 0)"
+    return f"regexp_extract_all({shortened(replace_chain(text, HTML_ENTITIES))}, {q(TOKEN_PATTERN)}, 0)"
 
 
 def preprocess_sql(text: str) -> str:

@@ -80,3 +80,8 @@ def test_random_split_is_seeded_and_complete(spark):
     assert train.count() + test.count() == 2000
     assert 450 < test.count() < 750
     assert sorted(r.id for r in test.collect()) == sorted(r.id for r in test2.collect())
+
+
+def test_long_runs_are_shortened(spark):
+    toks = one(spark, T.tokenize, "no!!!!!!! aaaaa 11111 wow??? ..... 😀😀😀😀😀😀 -----")
+    assert toks == ["no", "!", "!", "!", "aaaaa", "11111", "wow", "?", "?", "?", "...", "😀", "😀", "😀", "-", "-", "-"]
