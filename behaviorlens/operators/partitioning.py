@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 
 from ..session import default_parallelism
 
-_SHUFFLE = re.compile(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
-
-
-def scan_partitions(df: DataFrame) -> int | None:
-    """Input splits of the file scans feeding ``df``, read from the physical
-    plan without running a job (file listing only).  ``None`` when the plan
-    already shuffles (its output is spread by the shuffle) or cannot be
-    inspected."""
-    try:
-        plan = df._jdf.queryExecution().executedPlan()
-        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            plan = plan.initialPlan()
-        if _SHUFFLE.search(plan.toString()):
-            return None
-        leaves = plan.collectLeaves().iterator()
-        splits = 0
-        while leaves.hasNext():
-            leaf = leaves.next()
-            if leaf.getClass().getSimpleName() != "FileSourceScanExec":
-                return None
-            splits = max(splits, leaf.inputRDD().getNumPartitions())
-        return splits
-    except Exception:  # noqa: BLE001 - plan introspection is best effort
-        return None
-
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that has fewer splits than the cluster has cores,
-    before CPU-heavy per-row work (tokenising, scoring).
+    """Round-robin an input of fewer files than the cluster has cores, before
+    CPU-heavy per-row work (tokenising, scoring).
 
-    A large input already has far more splits than cores and is returned
-    unchanged, so no extra shuffle happens at scale; a small file with one
-    row group would otherwise run in a single task.  The decision reads the
-    plan only; nothing upstream is executed."""
+    A large input has far more files than cores and is returned unchanged, so
+    no extra shuffle happens at scale; a small file with one row group would
+    otherwise run in a single task.  Frames without files are left alone."""
     target = min_partitions or default_parallelism(df.sparkSession)
-    splits = scan_partitions(df)
-    if splits is None or splits >= target:
-        return df
-    return df.repartition(target)
+    return df.repartition(target) if 0 < len(df.inputFiles()) < target else df

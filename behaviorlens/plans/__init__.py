@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import behavior, models, report, sql_behavior, sql_models, sql_report, sql_text, text
+from . import behavior, io, models, report, sql_behavior, sql_io, sql_models, sql_report, sql_text, text
 
-_QUERY_MODULES = [behavior, models, text, report]
-_SQL_MODULES = [sql_behavior, sql_models, sql_text, sql_report]
+_QUERY_MODULES = [behavior, models, text, report, io]
+_SQL_MODULES = [sql_behavior, sql_models, sql_text, sql_report, sql_io]
 
 
 def queries() -> dict:
