@@ -67,15 +67,16 @@ def scores_ctes(prefix: str, flags_select: str, background: bool) -> str:
 {prefix}tot AS (SELECT sum(y_i) AS n_i, sum(y_j) AS n_j, sum(alpha) AS a0 FROM {prefix}c2),
 {prefix}sc AS (
   SELECT token, y_i, y_j, alpha,
-         log10((y_i + alpha) / (n_i + a0 - y_i - alpha)) - log10((y_j + alpha) / (n_j + a0 - y_j - alpha)) AS delta,
-         1.0 / (y_i + alpha) + 1.0 / (y_j + alpha) AS sigma_2,
-         (log10((y_i + alpha) / (n_i + a0 - y_i - alpha)) - log10((y_j + alpha) / (n_j + a0 - y_j - alpha)))
-           / sqrt(1.0 / (y_i + alpha) + 1.0 / (y_j + alpha)) AS z
-  FROM {prefix}c2, {prefix}tot WHERE y_i > 0 OR y_j > 0)"""
+         CASE WHEN defined THEN log10((y_i + alpha) / (n_i + a0 - y_i - alpha)) - log10((y_j + alpha) / (n_j + a0 - y_j - alpha)) END AS delta,
+         CASE WHEN defined THEN 1.0 / (y_i + alpha) + 1.0 / (y_j + alpha) END AS sigma_2,
+         CASE WHEN defined THEN (log10((y_i + alpha) / (n_i + a0 - y_i - alpha)) - log10((y_j + alpha) / (n_j + a0 - y_j - alpha)))
+           / sqrt(1.0 / (y_i + alpha) + 1.0 / (y_j + alpha)) END AS z
+  FROM (SELECT *, y_i + alpha > 0 AND y_j + alpha > 0 AND n_i + a0 - y_i - alpha > 0 AND n_j + a0 - y_j - alpha > 0 AS defined
+        FROM {prefix}c2, {prefix}tot) WHERE y_i > 0 OR y_j > 0)"""
 
 
-def toxic_flags_select(background: bool) -> str:
-    bg = "TRUE" if background else "FALSE"
+def toxic_flags_select(background: bool | str) -> str:
+    bg = background if isinstance(background, str) else "TRUE" if background else "FALSE"
     return f"SELECT text, coalesce(toxic = 1, FALSE) AS in_i, coalesce(toxic = 0, FALSE) AS in_j, {bg} AS in_bg FROM docs"
 
 
@@ -112,6 +113,8 @@ NORMALIZED_POSTS = f"SELECT conv_id, turn, {_normalize_sql('text')} AS text_norm
 ROUNDED = "token, y_i, y_j, alpha, round(delta, 6) AS delta, round(sigma_2, 6) AS sigma_2, round(z, 6) AS z"
 
 LOG_ODDS = f"WITH {DOCS}, {scores_ctes('', toxic_flags_select(False), False)} SELECT {ROUNDED} FROM sc"
+# Documents of one source as background: tokens it lacks may be undefined.
+LOG_ODDS_UNDEFINED = f"WITH {DOCS}, {scores_ctes('', toxic_flags_select("source = 'src1'"), True)} SELECT {ROUNDED} FROM sc"
 LOG_ODDS_BACKGROUND = f"WITH {DOCS}, {scores_ctes('', toxic_flags_select(True), True)} SELECT {ROUNDED} FROM sc"
 
 
@@ -156,6 +159,7 @@ SQL = {
     "normalized_posts": NORMALIZED_POSTS,
     "log_odds": LOG_ODDS,
     "log_odds_background": LOG_ODDS_BACKGROUND,
+    "log_odds_undefined": LOG_ODDS_UNDEFINED,
     "log_odds_top": _top_sql(False),
     "log_odds_bottom": _top_sql(True),
     "stance_tokens": _stance_tokens_sql(),

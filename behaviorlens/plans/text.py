@@ -75,6 +75,14 @@ def q_log_odds_background(spark, sf_dir):
     return _rounded(logodds.log_odds(toxic_flags(spark, sf_dir, True), background=True))
 
 
+def q_log_odds_undefined(spark, sf_dir):
+    """Prior from the documents of one source: tokens that lack in it and in
+    one of the corpora have no score (L8)."""
+    d = docs(spark, sf_dir).withColumn("in_bg", F.coalesce(F.col("source") == "src1", F.lit(False)))
+    flags = d.select("text", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("in_i"), F.coalesce(F.col("toxic") == 0, F.lit(False)).alias("in_j"), "in_bg")
+    return _rounded(logodds.log_odds(flags, background=True, on_undefined="null"))
+
+
 def _top(spark, sf_dir, bottom):
     t = logodds.top_tokens(logodds.log_odds(toxic_flags(spark, sf_dir, False)), TOP_K, bottom=bottom)
     return t.select("rank", "token", F.round("z", 6).alias("z"))
@@ -166,6 +174,7 @@ QUERIES = {
     "normalized_posts": q_normalized_posts,
     "log_odds": q_log_odds,
     "log_odds_background": q_log_odds_background,
+    "log_odds_undefined": q_log_odds_undefined,
     "log_odds_top": q_log_odds_top,
     "log_odds_bottom": q_log_odds_bottom,
     "stance_tokens": q_stance_tokens,
