@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize
-
-#: Entries a task's word table may hold before it is emptied (about 200 MB).
-WORD_TABLE_ENTRIES = 1_000_000
+from ..session import materialize
+from ..session import stored as written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared checkpoint folder and read
-    back: cuts the lineage, survives lost executors, keeps columns prunable."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -38,19 +25,6 @@ def utf8(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept while the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORD_TABLE_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Powers of an odd base modulo 2**64, and of its inverse.
 BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

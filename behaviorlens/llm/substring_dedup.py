@@ -33,37 +33,26 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, run_bounds, run_starts, shuffle_partitions, utf8
+from .common import mixed, powers, run_bounds, run_starts, shuffle_partitions, utf8, word_hashes
 
 CHUNK = 1_000_000
 #: Buckets for each shuffle partition, so that hash partitioning is even.
 SPREAD = 2
-BASE = 0x9E3779B97F4A7C15
 #: Multiplier and modulus that deal document ids to blocks.
 LEHMER = (48_271, 2**31 - 1)
 _HEAD = struct.Struct("<II")
 _LOW = np.uint64((1 << 56) - 1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 SLOT = "slot int, body binary"
 ANSWER = "block int, spans boolean, body binary"
 
 
-def _grown(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
-
-
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     """Hash of every window, in order of its first word."""
     n = len(words) - window + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    up, down = _grown(len(words))
+    up, down = powers(len(words))
     prefix = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * down[: len(words)], out=prefix[1:])
     return mixed((prefix[window:] - prefix[:n]) * up[:n])
@@ -152,7 +141,7 @@ def _packs(docs: list[tuple[int, np.ndarray]], window: int, buckets: int) -> Ite
 
 def _windows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, docs, held = WordHashes(), [], 0
+        docs, held = [], 0
 
         def out() -> pa.RecordBatch:
             slots, bodies = zip(*_packs(docs, window, buckets), strict=True)
@@ -161,7 +150,7 @@ def _windows(window: int, buckets: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes = words.of(text.as_py().split())
+                hashes, _ = word_hashes(text.as_py())
                 if len(hashes) >= window:
                     docs.append((doc, hashes))
                     held += len(hashes) - window + 1
@@ -203,7 +192,7 @@ def _cut(window: int, id_col: str):
         for b, s in zip(answers["body"], answers["spans"], strict=True):
             for doc, mark, a, z in struct.iter_unpack("<qQqq", b) if s else ():
                 known.setdefault((doc, mark), []).append((a, z))
-        words, out = WordHashes(), {"id": [], "n_words": [], "spans": [], "kept": []}
+        out = {"id": [], "n_words": [], "spans": [], "kept": []}
         with_spans = {doc for doc, _ in known}
         for doc, text in zip(docs["__id"], docs["__text"], strict=True):
             each = text.split() if text is not None else []
@@ -211,7 +200,7 @@ def _cut(window: int, id_col: str):
             if doc is not None and not pd.isna(doc):
                 a, b = np.searchsorted(ids, [doc, int(doc) + 1])
                 if b > a or doc in with_spans:
-                    own = words.of(each)
+                    own, _ = word_hashes(text)
                     for x, z in known.get((int(doc), int(own.sum(dtype=np.uint64))), ()):
                         drop[x] += 1
                         drop[z] -= 1
