@@ -20,8 +20,10 @@ are no UTF-8 decode to U+FFFD.  Other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +38,10 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: What an uncovered character costs below the lowest score.
 PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
-#: Parts that a task remembers, and the longest of them in characters.
-REMEMBERED, PART = 300_000, 48
+#: Parts that a worker remembers (twice over), and the longest in characters.
+REMEMBERED, PART = 250_000, 48
+#: Rows that a worker turns over at once.
+ROWS = 1_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -114,6 +118,7 @@ class Model:
     kinds: list[int]
     dummy_prefix: bool = True
     squeeze: bool = False
+    name: str = ""
     trie: tuple = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -141,7 +146,7 @@ def load(data: bytes) -> Model:
             normalizer = dict(_fields(value))
     if normalizer.get(2):
         raise ValueError("only models without a character map (identity normalisation) are supported")
-    return Model(pieces, scores, kinds, bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)))
+    return Model(pieces, scores, kinds, bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)), hashlib.sha256(data).hexdigest())
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
@@ -158,64 +163,70 @@ class Encoder:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.base, self.check, self.value = (x.tolist() for x in model.trie)
+        self.longest = max((len(p.encode()) for p in model.pieces), default=0)
         self.known: dict[str, bytes] = {}
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.before: dict[str, bytes] = {}
+        # a line feed that no longer piece holds is a part of its own
+        feed = "" if any("\n" in p for p, k in zip(model.pieces, model.kinds, strict=True) if len(p) > 1 and k in (NORMAL, USER)) else "\n"
+        self.parts = re.compile(f"{MARK}*[^{MARK}{feed}]+|{MARK}+" + (f"|{feed}" if feed else ""))
 
     def _uncovered(self, char: bytes) -> list[int]:
         table = self.model.bytes
         return [table[b] for b in char] if len(table) == 256 else [self.model.unknown]
 
     def search(self, part: str) -> list[int]:
-        """Ids of the best segmentation of a normalised text."""
+        """Ids of the best segmentation of a normalised text.  A character may
+        always be left uncovered; that loses to any piece of it."""
         base, check, value, weight = self.base, self.check, self.value, self.model.weight
+        unknown = self.model.lowest - PENALTY
         data = part.encode()
         n = len(data)
-        best = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        never = float("-inf")
+        best = [never] * (n + 1)
+        begin, which = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        unknown = self.model.lowest - PENALTY
-        at = 0
-        while at < n:
-            lead = data[at]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        for at in range(n):
             score = best[at]
-            single = False
+            if score == never:  # inside a character
+                continue
+            lead = data[at]
+            end = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            total = score + unknown
+            if total > best[end]:
+                best[end], begin[end], which[end] = total, at, -1
             state, end = 0, at
-            while end < n:
-                following = base[state] + data[end]
+            for byte in data[at : at + self.longest]:
+                following = base[state] + byte
                 if check[following] != state:
                     break
-                state, end = following, end + 1
+                state = following
+                end += 1
                 piece = value[state]
                 if piece >= 0:
-                    if end - at == width:
-                        single = True
                     total = score + weight[piece]
-                    if best[end] is None or total > best[end]:
-                        best[end], back[end] = total, (at, piece)
-            if not single:
-                end, total = at + width, score + unknown
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (at, -1)
-            at += width
+                    if total > best[end]:
+                        best[end] = total
+                        begin[end] = at
+                        which[end] = piece
         out: list[int] = []
         end = n
         while end:
-            at, piece = back[end]
+            at, piece = begin[end], which[end]
             out.extend([piece] if piece >= 0 else self._uncovered(data[at:end])[::-1])
             end = at
         return out[::-1]
 
     def _part(self, part: str) -> bytes:
-        ids = np.array(self.search(part), np.int32).tobytes()
+        ids = self.before.get(part) or array("i", self.search(part)).tobytes()
         if len(part) <= PART:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.before = {}, self.known
             self.known[part] = ids
         return ids
 
     def _marked(self, text: str) -> bytes:
-        known, parts = self.known, self.parts.findall(text) if self.model.parts_apart else [text]
+        parts = self.parts.findall(text) if self.model.parts_apart else [text]
+        known = self.known
         return b"".join([known.get(p) or self._part(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
@@ -232,6 +243,17 @@ class Encoder:
         return literal.join(self._marked(x) if x else b"" for x in [first, *(x.replace(" ", MARK) for x in own[1:])])
 
 
+#: Of a worker process, by model: what it remembers serves its later tasks.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(model: Model) -> Encoder:
+    if model.name not in _encoders:
+        _encoders.clear()
+        _encoders[model.name] = Encoder(model)
+    return _encoders[model.name]
+
+
 def surfaces(model: Model) -> list[bytes]:
     """What each id decodes to."""
     out = []
@@ -244,52 +266,52 @@ def surfaces(model: Model) -> list[bytes]:
 
 
 def _encode(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            ids = [encoder.encode(t.as_py()) if t.is_valid else b"" for t in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=texts.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "ids"])
+    def run(texts: pa.Array) -> pa.Array:
+        encoder = encoder_of(model)
+        ids = [encoder.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=texts.is_null())
 
     return run
 
 
 def _decode(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = surfaces(model)
-        n = len(table)
-        for batch in batches:
-            texts = []
-            for value in batch.column(batch.num_columns - 1):
-                if not value.is_valid:
-                    texts.append(None)
-                    continue
-                ids = value.values.drop_null().to_numpy(zero_copy_only=False)
-                ids = ids[(ids >= 0) & (ids < n)].tolist()
-                text = b"".join([table[i] for i in ids])
-                if model.dummy_prefix and text.startswith(b" "):
-                    text = text[1:]
-                texts.append(text.decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+    table = surfaces(model)
+    n = len(table)
+
+    def one(value: pa.Scalar) -> str | None:
+        if not value.is_valid:
+            return None
+        ids = value.values.drop_null().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= n):
+            ids = ids[(ids >= 0) & (ids < n)]
+        text = b"".join([table[i] for i in ids.tolist()])
+        return (text[1:] if model.dummy_prefix and text.startswith(b" ") else text).decode(errors="replace")
+
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in lists], pa.string())
 
     return run
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, run) -> DataFrame:
     """``df`` with ``target`` (replaced if there) computed from ``source``.
-    Columns travel under positions, so no name can clash."""
-    kept = [f for f in df.schema.fields if f.name.lower() != target.lower()]
-    plain = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{source}`").alias("source"))
-    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField("out", kind)])
+    Columns travel under positions, so no name can clash, the source last."""
+    own = next(f for f in df.schema.fields if f.name == source)
+    others = [f for f in df.schema.fields if f.name.lower() not in (source.lower(), target.lower())]
+    fields = [*others, own]
+    plain = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)])
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField("out", kind)])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns, [f.name for f in schema.fields])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*some.columns, run(some.column(some.num_columns - 1))], schema.fieldNames())
 
     out = plain.mapInArrow(named, schema)
-    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], F.col("out").alias(target))
+    back = {f.name: F.col(f"c{i}") for i, f in enumerate(fields)}
+    return out.select(*[back[f.name].alias(f.name) for f in df.schema.fields if f.name.lower() != target.lower()], F.col("out").alias(target))
 
 
 def encode(df: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
