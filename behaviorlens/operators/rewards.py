@@ -127,17 +127,6 @@ def swept_states(tp: np.ndarray) -> list[int]:
     return np.flatnonzero(tp.any(axis=(0, 2))).tolist()
 
 
-def action_groups(tp: np.ndarray) -> list[np.ndarray]:
-    """Entity index groups by which of the rp / rt actions they ever take.
-
-    Under the default action rule most accounts only take tw / nt, so half of
-    their states have all-zero rows; solving such accounts together lets the
-    sweeps skip those states.  Results do not depend on the grouping."""
-    seen = tp.any(axis=2)  # (B, 16)
-    key = seen[:, SEEN_ACTION == 1].any(axis=1).astype(int) + 2 * seen[:, SEEN_ACTION == 2].any(axis=1)
-    return [np.flatnonzero(key == k) for k in range(4) if (key == k).any()]
-
-
 def _state_major(tp: np.ndarray, r: np.ndarray, discount: float):
     gpt = np.ascontiguousarray((discount * tp).transpose(1, 2, 0))  # (s, k, B)
     pr = np.ascontiguousarray(np.einsum("bsk,bk->sb", tp, r))
@@ -268,9 +257,7 @@ def fit_rewards(
                     continue
                 tp, p0, fe, length = dense_model(batch)
                 alpha0 = _matrix(batch, "alpha0", F_MAT.shape[1])
-                r = np.empty((batch.num_rows, N_STATES))
-                for idx in action_groups(tp):
-                    r[idx], _ = maxent_irl(tp[idx], p0[idx], fe[idx], length[idx], alpha0[idx], epochs, learning_rate, discount)
+                r, _ = maxent_irl(tp, p0, fe, length, alpha0, epochs, learning_rate, discount)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("entity")), _list_array(r)], names=["entity", "r"]
                 )

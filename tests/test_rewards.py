@@ -124,7 +124,8 @@ def test_action_groups_do_not_change_results():
     tp[:2, 2::4] = 0.0  # and no rt rows for two of them
     a0 = rng.random((8, 6))
     whole, _ = R.maxent_irl(tp, p0, fe, length, a0, epochs=10)
-    groups = R.action_groups(tp)
+    key = tp.any(axis=2)[:, R.SEEN_ACTION == 1].any(axis=1).astype(int) + 2 * tp.any(axis=2)[:, R.SEEN_ACTION == 2].any(axis=1)
+    groups = [np.flatnonzero(key == k) for k in np.unique(key)]
     assert len(groups) >= 2 and sorted(np.concatenate(groups).tolist()) == list(range(8))
     for idx in groups:
         part, _ = R.maxent_irl(tp[idx], p0[idx], fe[idx], length[idx], a0[idx], epochs=10)
