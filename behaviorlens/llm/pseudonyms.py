@@ -15,6 +15,11 @@ North American phone numbers, IPv4 addresses, dates (ISO, dotted and slashed;
 the day number 1900 to 2099 is permuted, the notation kept) and e-mail
 addresses (letters and digits of the local part, class by class).
 
+A card or an IBAN may be followed by numbers or capital words: the digits or
+characters that belong to it are those in its usual groups or of its country's
+length, else the longest valid ones up to a separator; the choice is the same
+for the pseudonym, so it stays reversible.
+
 Separators and all other text stay byte for byte.  Defined results: NULL text
 stays NULL with no findings; empty text has none; other columns pass through.
 Work is one pass over each text, without a shuffle.
@@ -85,12 +90,51 @@ def _only_digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def _card(f: Feistel, text: str, back: bool) -> str | None:
+CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
+_CARD = re.compile(CARD)
+#: The groups that cards are usually written in; at most one way fits a place.
+_CARD_USUAL = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)")
+
+
+def _card_valid(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits[:-1]) == int(digits[-1])
+
+
+def _card_end(text: str, begin: int, stop: int) -> int | None:
+    """End of the card at ``begin``: one in the usual groups, else the longest
+    valid one that ends at a separator and has none in the usual groups begin
+    inside it."""
+
+    def usual(at: int) -> int | None:
+        m = _CARD_USUAL.match(text, at, stop)
+        return m.end() if m and _card_valid(_only_digits(m.group())) else None
+
+    m = _CARD.match(text, begin, stop)
+    if not m or (end := usual(begin)):
+        return end if m else None
+    for end in range(m.end(), begin + 12, -1):
+        whole = text[end - 1] not in " -" and (end == m.end() or text[end] in " -")
+        if whole and _card_valid(_only_digits(text[begin:end])) and not any(text[at - 1] in " -" and usual(at) for at in range(begin + 1, end)):
+            return end
+    return None
+
+
+def _card(f: Feistel, text: str, back: bool, rest: str) -> str:
+    """``rest`` is what follows; a card stays one that is found at the same
+    place, and one of more than 16 digits stays with or without a card in
+    its first 16."""
     digits = _only_digits(text)
-    if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn(digits[:-1]) != int(digits[-1]):
-        return None
     n = len(digits) - 1
-    body = str(f.permute(int(digits[:-1]), 10**n, f"card{n}", lambda x: len(set(s := str(x).zfill(n))) > 1 or luhn(s) != int(s[0]), back)).zfill(n)
+    usual = _CARD_USUAL.fullmatch(text)
+
+    def valid(x: int) -> bool:
+        body = str(x).zfill(n)
+        new = body + str(luhn(body))
+        if len(set(new)) == 1 or n > 15 and _card_valid(new[:16]) != _card_valid(digits[:16]):
+            return False
+        return bool(usual) or _card_end(_placed(new, text) + rest, 0, len(text) + len(rest)) == len(text)
+
+    body = str(f.permute(int(digits[:-1]), 10**n, f"card{n}", valid, back)).zfill(n)
     return _placed(body + str(luhn(body)), text)
 
 
@@ -98,28 +142,64 @@ def _iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
 
 
-def _classes(f: Feistel, text: str, tag: str, back: bool) -> str:
+def _classes(f: Feistel, text: str, tag: str, back: bool, valid: Callable[[str], bool] | None = None) -> str:
     """Letters and digits permuted together, each within its class."""
     sets = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text]
     value, size = 0, 1
     for c, s in zip(text, sets, strict=True):
         value, size = value * len(s) + s.index(c), size * len(s)
     shape = "".join(s[0] for s in sets)
-    value = f.permute(value, size, tag + shape, back=back)
-    out = []
-    for s in reversed(sets):
-        value, at = divmod(value, len(s))
-        out.append(s[at])
-    return "".join(reversed(out))
-
 
-def _iban(f: Feistel, text: str, back: bool) -> str | None:
-    plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_number(plain) % 97 != 1:
+    def spelled(value: int) -> str:
+        out = []
+        for s in reversed(sets):
+            value, at = divmod(value, len(s))
+            out.append(s[at])
+        return "".join(reversed(out))
+
+    return spelled(f.permute(value, size, tag + shape, lambda x: valid is None or valid(spelled(x)), back))
+
+
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_IBAN = re.compile(IBAN)
+#: Characters of a country's IBANs.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban_end(text: str, begin: int, stop: int) -> int | None:
+    """End of the IBAN at ``begin``: of the country's length, else the longest
+    valid one that ends at a separator."""
+    m = _IBAN.match(text, begin, stop)
+    if not m:
         return None
-    body = _classes(f, plain[4:], "iban" + plain[:2], back)
-    check = 98 - _iban_number(plain[:2] + "00" + body) % 97
-    return _placed(f"{plain[:2]}{check:02d}{body}", text)
+    ends = [e for e in range(m.end(), begin + 14, -1) if e == m.end() or text[e] == " "]
+    length = IBAN_LENGTHS.get(text[begin : begin + 2])
+    for end in sorted(ends, key=lambda e: len(text[begin:e].replace(" ", "")) != length):
+        plain = text[begin:end].replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_number(plain) % 97 == 1:
+            return end
+    return None
+
+
+def _iban(f: Feistel, text: str, back: bool, rest: str) -> str:
+    """``rest`` is what follows; an IBAN stays one that is found at the same
+    place."""
+    plain = text.replace(" ", "")
+
+    def made(body: str) -> str:
+        check = 98 - _iban_number(plain[:2] + "00" + body) % 97
+        return _placed(f"{plain[:2]}{check:02d}{body}", text)
+
+    usual = len(plain) == IBAN_LENGTHS.get(plain[:2])
+    return made(_classes(f, plain[4:], "iban" + plain[:2], back, lambda body: usual or _iban_end(made(body) + rest, 0, len(text) + len(rest)) == len(text)))
 
 
 def _ssn_valid(x: int) -> bool:
@@ -187,17 +267,21 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 #: Name, pattern and rule; an earlier one wins where two begin together.
 FORMATS: list[tuple[str, str, Callable]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    ("iban", IBAN, _iban),
     ("ip", r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", _ip),
     ("date", r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2})(?![\d])", _date),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    ("card", r"\d(?:[ -]?\d){12,18}(?!\d)", _card),
+    ("card", CARD, _card),
     ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", _phone),
 ]
 _MAIL, _NUMBERS = (
     [(n, re.compile(r"(?<![A-Za-z0-9])" + p), rule) for n, p, rule in FORMATS[:1]],
     [(n, re.compile(p), rule) for n, p, rule in FORMATS[1:]],
 )
+#: Formats whose matches can hold what follows a value: where the value ends.
+_ENDS = {"iban": _iban_end, "card": _card_end}
+#: What follows a value, as far as it can tell where the value ends.
+_REST = 50
 #: Where a number format may begin: a digit run's start, with what may lead it.
 _START = re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.])(?:[A-Z]{2}(?=\d{2})|[+(]?(?=\d))")
 
@@ -227,10 +311,17 @@ class Pseudonyms:
                 continue
             at = max(start.end(), begin + 1)
             for name, pattern, rule in _NUMBERS:
-                m = pattern.match(text, begin)
-                if m and m.end() <= mail[0] and (new := rule(self.feistel, m.group(), back)) is not None:
-                    found.append((begin, m.end(), name, new))
-                    at = m.end()
+                stop = min(mail[0], len(text))
+                if name in _ENDS:
+                    end = _ENDS[name](text, begin, stop)
+                    new = rule(self.feistel, text[begin:end], back, text[end : min(end + _REST, stop)]) if end else None
+                else:
+                    m = pattern.match(text, begin)
+                    end = m.end() if m else 0
+                    new = rule(self.feistel, m.group(), back) if m and end <= stop else None
+                if new is not None:
+                    found.append((begin, end, name, new))
+                    at = end
                     break
         found.sort()
         out, done = [], 0
