@@ -110,6 +110,58 @@ def test_window_spans(spark):
     assert [(w.n_context, w.n_new, w.tokens, len(w.loss), w.over) for w in out] == [(0, 3, 7, 1, False), (2, 1, 7, 0, False), (2, 1, 14, 1, True), (1, 1, 3, 0, False)]
 
 
+def brute_windows(turns, budget, history):
+    """(indices, n_new) of each window of [(role, tokens)]."""
+    system = int(turns[0][0] == "system")
+    room = max(1, budget - history - (turns[0][1] if system else 0))
+    groups, used = [[0] if system else []], None
+    for i in range(system, len(turns)):
+        if used is not None and used + turns[i][1] > room:
+            groups.append([])
+            used = 0
+        groups[-1].append(i)
+        used = (used or 0) + turns[i][1]
+    out = []
+    for w, new in enumerate(groups):
+        context, tokens, i = [], 0, new[0] - 1
+        while w and i >= system and tokens + turns[i][1] <= history:
+            tokens += turns[i][1]
+            context.append(i)
+            i -= 1
+        out.append(([0] * (system and w > 0) + context[::-1] + new, len(new)))
+    return out
+
+
+@pytest.mark.parametrize("long", [chat_windows.LONG, 3])
+def test_windows_against_a_loop(spark, monkeypatch, long):
+    monkeypatch.setattr(chat_windows, "LONG", long)
+    r = random.Random(9)
+    convs = {c: [("system" if i == 0 and c % 2 == 0 else r.choice(["user", "assistant"]), r.choice([0, 0, 1, 2, 5, 9, 40])) for i in range(r.randrange(1, 40))] for c in range(40)}
+    convs[None] = convs.pop(7)
+    rows = [(c, i, role, f"t{i} " + "w " * (n - 1) if n else "") for c, turns in convs.items() for i, (role, n) in enumerate(turns)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for budget, history in [(30, 8), (30, 0), (12, 12), (60, 50)]:
+        got = {}
+        for x in chat_windows.windows(given, budget=budget, history=history).orderBy("window").collect():
+            got.setdefault(x.conv_id, []).append(x)
+        for c, turns in convs.items():
+            pieces = [f"[TURN {x[2]}]{x[3]}[/TURN]" for x in rows if x[0] == c]
+            brute = brute_windows(turns, budget, history)
+            assert [x.window for x in got[c]] == list(range(len(brute)))
+            assert [(x.formatted, x.n_new, x.n_context, x.tokens) for x in got[c]] == [
+                ("<s>" + "".join(pieces[i] for i in of) + "</s>", n_new, len(of) - n_new, sum(turns[i][1] for i in of)) for of, n_new in brute
+            ]
+
+
+def test_long_conversation(spark):
+    """Windows of a conversation that would meet thousands of times in one row."""
+    turns = spark.range(60_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.repeat(F.lit("word "), (1 + F.col("id") * 7 % 90).cast("int")).alias("text"))
+    out = chat_windows.windows(turns).select("window", "n_context", "n_new", "tokens").orderBy("window").collect()
+    sizes = [("system" if i == 0 else "", 1 + i * 7 % 90) for i in range(60_000)]
+    brute = brute_windows(sizes, chat_windows.BUDGET, chat_windows.HISTORY)
+    assert [tuple(x) for x in out] == [(w, len(of) - n, n, sum(sizes[i][1] for i in of)) for w, (of, n) in enumerate(brute)]
+
+
 def test_conversation_query(spark, tmp_path):
     rows = [x[:4] for x in conversations()]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
