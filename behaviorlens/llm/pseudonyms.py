@@ -11,7 +11,8 @@ table of values; with the key it is reversible (``decrypt``).
 
 Formats: payment cards (13 to 19 digits, Luhn; the check digit is set anew),
 IBANs (mod 97, country kept, check digits set anew), social security numbers,
-North American phone numbers, IPv4 addresses, dates (ISO, dotted and slashed;
+North American phone numbers (area code and exchange from 200 on; written as
+``+1 (ddd) ddd-dddd`` any, the others among themselves), IPv4 addresses, dates (ISO, dotted and slashed;
 the day number 1900 to 2099 is permuted, the notation kept) and e-mail
 addresses (letters and digits of the local part, class by class).
 
@@ -216,12 +217,18 @@ def _phone_valid(x: int) -> bool:
     return x // 10**9 > 1 and x // 10**6 % 10 > 1
 
 
+#: Told to be a phone number by its notation, whatever its digits.
+_PHONE_FULL = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}")
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     digits = _only_digits(text)
     x = int(digits[-10:])
-    if not _phone_valid(x):
+    valid = _phone_valid(x)
+    if not valid and not _PHONE_FULL.fullmatch(text):
         return None
-    return _placed(digits[:-10] + str(f.permute(x, 10**10, "phone", _phone_valid, back)), text)
+    new = f.permute(x, 10**10, "phone", lambda y: _phone_valid(y) == valid, back)
+    return _placed(digits[:-10] + str(new).zfill(10), text)
 
 
 def _ip(f: Feistel, text: str, back: bool) -> str | None:

@@ -161,6 +161,17 @@ def test_values_before_numbers_and_capital_words(value, name):
         assert pseudonyms.decrypt(new, b"k") == value + after
 
 
+def test_phones_with_other_area_codes():
+    own = pseudonyms.Pseudonyms(b"k")
+    text = "+1 (017) 555-7713, +1 (156) 055-2186 and +1 (017) 555-7713, not (017) 555-7713"
+    new, found = own.replace(text)
+    assert [f for f, _, _ in found] == ["phone"] * 3 and pseudonyms.decrypt(new, b"k") == text
+    assert new[:17] == new[41:58] != text[:17] and new.endswith(", not (017) 555-7713")
+    again, found_again = own.replace(new)
+    assert found_again == found
+    assert own.replace("+1 (212) 555-7713")[0][4] in "23456789"
+
+
 def test_card_behind_a_number():
     own = pseudonyms.Pseudonyms(b"k")
     for value in ("4111 1111 1111 1111", "4111111111111111"):
