@@ -13,8 +13,7 @@ Everything is DataFrame functions.
 
 Defined results: a NULL or empty text is one empty line; an empty key (with
 ``min_key_chars`` >= 1) never drops; rows with equal ``doc_id`` count as one
-document, and each gets the bitmap of its own text only if the texts agree
-(give rows distinct ids); rows with a NULL id are kept whole.  Columns other
+document, and each text of it has a bitmap of its own; rows with a NULL id are kept whole.  Columns other
 than id and text pass through ``apply_bitmaps`` whatever their names.
 """
 
@@ -46,20 +45,25 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only | ~F.rlike(key, F.lit(OTHER_UPPER)), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
+def text_mark(text: Column) -> Column:
+    """Tells the texts of one document id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_key_chars: int) -> DataFrame:
-    """(doc, pos, h1, h2) of every line whose key is long enough."""
-    line = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    key = line.select("doc", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_key_chars)
-    return key.select("doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    """(doc, mark, pos, h1, h2) of every line whose key is long enough."""
+    line = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_mark(F.col(text_col)).alias("mark"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    key = line.select("doc", "mark", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_key_chars)
+    return key.select("doc", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, first) of keys in at least ``min_docs`` documents; first is
-    the smallest (doc, pos)."""
+    the smallest (doc, pos, mark)."""
     spark = lines.sparkSession
     dealt = lines.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(BLOCKS)).cast("int")).repartitionByRange(shuffle_partitions(spark), "h1", "h2", "block")
     order = W.partitionBy("h1", "h2", "block").orderBy("doc", "pos")
-    stream = dealt.select("h1", "h2", "block", F.struct("doc", "pos").alias("at"), F.lag("doc").over(order).alias("prev"))
+    stream = dealt.select("h1", "h2", "block", F.struct("doc", "pos", "mark").alias("at"), F.lag("doc").over(order).alias("prev"))
     runs = stream.groupBy("h1", "h2", "block").agg(
         F.sum(F.when(F.col("prev").isNull() | (F.col("prev") != F.col("at.doc")), 1).otherwise(0)).alias("n"),
         F.min("at").alias("first"),
@@ -69,22 +73,23 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_key_chars: int = 1, keep_first: bool = True) -> DataFrame:
-    """One row for each document that loses a line: (id, n_dropped, dropped),
-    ``dropped`` a map from word number to 64 bits, bit ``pos % 64`` of word
+    """One row for each text of a document that loses a line: (id, n_dropped,
+    dropped, __mark), ``__mark`` a hash of the text and ``dropped`` a map from word number to 64 bits, bit ``pos % 64`` of word
     ``pos div 64`` set when line ``pos`` goes.  ``keep_first`` keeps the first
     occurrence in (document, position) order; otherwise all go."""
     lines = written(keyed_lines(docs, id_col, text_col, min_key_chars))  # texts are split once
     # a table, so that its size is known and a hot key's lines can be split in the join
     hit = lines.join(written(repeated_keys(lines, min_docs)), ["h1", "h2"])
     if keep_first:
-        hit = hit.filter((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
+        hit = hit.filter((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")) | (F.col("mark") != F.col("first.mark")))
     # a function, since shiftleft takes its distance as a Python integer only
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))
-    word = hit.groupBy("doc", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return word.groupBy(F.col("doc").alias(id_col)).agg(
+    word = hit.groupBy("doc", "mark", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    maps = word.groupBy("doc", "mark").agg(
         F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"),
     )
+    return maps.select(F.col("doc").alias(id_col), "n_dropped", "dropped", F.col("mark").alias("__mark"))
 
 
 def kept_lines(text: Column, dropped: Column) -> Column:
@@ -103,8 +108,8 @@ def kept_lines(text: Column, dropped: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus ``__n_lines``, ``__n_dropped``
     and ``__kept``, the text of the lines that stay."""
-    maps = bitmaps.select(F.col(id_col).alias("__id"), F.col("n_dropped").alias("__n_dropped"), F.col("dropped").alias("__dropped"))
-    both = docs.join(maps.hint("shuffle_hash"), docs[id_col] == F.col("__id"), "left")
+    maps = bitmaps.select(F.col(id_col).alias("__id"), F.col("n_dropped").alias("__n_dropped"), F.col("dropped").alias("__dropped"), "__mark").hint("shuffle_hash")
+    both = docs.join(maps, (docs[id_col] == maps["__id"]) & (text_mark(docs[text_col]) == maps["__mark"]), "left")
     lines = F.size(lines_of(docs[text_col])).cast("long")
     kept = F.array_join(kept_lines(docs[text_col], F.col("__dropped")), "\n")
     return both.select(

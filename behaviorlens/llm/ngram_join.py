@@ -191,8 +191,9 @@ def _shared(tokens: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     shared = written(tokens.join(count, by).drop(*([] if again else ["df"])))
     similar_size = F.ceil(F.col("n") * num / den)
     need = F.least(similar_size, F.col("n") - similar_size + 1 + CLASSES)
-    enough = written(shared.groupBy("rep", *again).agg(F.count("*").alias("have"), F.first("n").alias("n")).filter(F.col("have") >= need).select("rep", *again))
-    return shared.join(enough, ["rep", *again], "left_semi")
+    # by size too: rows with equal ids can have several sets
+    enough = written(shared.groupBy("rep", "n", *again).agg(F.count("*").alias("have")).filter(F.col("have") >= need).select("rep", "n", *again))
+    return shared.join(enough, ["rep", "n", *again], "left_semi")
 
 
 def _signatures(tokens: DataFrame, num: int, den: int, frequent: int) -> DataFrame:

@@ -87,6 +87,28 @@ def test_lines(rows, docs, keep_first, min_docs):
     assert got == brute_lines(rows, min_docs, keep_first)
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_lines_of_texts_with_one_id(spark, keep_first):
+    given = [(1, "hot\nA"), (1, "B\nhot"), (1, "B\nhot"), (2, "C\nD\nhot"), (3, None), (None, "hot")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    out = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs, min_docs=2, keep_first=keep_first)).collect()
+    got = sorted((r.doc_id or 0, r.text or "", r["__n_dropped"], r["__kept"]) for r in out)
+    first = (1, "hot\nA", 0, "hot\nA") if keep_first else (1, "hot\nA", 1, "A")
+    assert got == sorted([(0, "hot", 0, "hot"), (1, "B\nhot", 1, "B"), (1, "B\nhot", 1, "B"), first, (2, "C\nD\nhot", 1, "C\nD"), (3, "", 0, "")])
+
+
+def test_sets_of_different_size_with_one_id(spark):
+    rows = []
+    for i in range(12):
+        small = [f"s{i}x{j}" for j in range(40)]
+        large = [f"l{i}x{j}" for j in range(1500)]
+        rows += [(i, " ".join(large)), (i, " ".join(small))][:: 1 if i % 2 else -1]
+        rows += [(100 + i, " ".join(small + ["more"])), (200 + i, " ".join(large[:300] + [f"o{i}x{j}" for j in range(1200)]))]
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=8, den=10)
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert all(got[100 + i] == i and got[200 + i] == 200 + i for i in range(12)), got
+
+
 def test_hot_line_is_cut_into_runs(spark):
     """One line that all documents share, in many more documents than blocks."""
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Hot \nown"), F.col("id").cast("string"), F.lit("\nhot")).alias("text"))
