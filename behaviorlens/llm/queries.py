@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, embedding_dedup, line_dedup, ngram_join, ordinal, pseudonyms, substring_dedup, unigram, url_filter
+from ..session import checkpoint_dir
+from . import chat_windows, decontaminate, embedding_dedup, lexical_search, line_dedup, ngram_join, ordinal, pseudonyms, spelling, substring_dedup, unigram, url_filter, warc
 from .common import table
 
 
@@ -94,6 +97,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_chars=7, min_count=2, ratio=10)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.resolved(warc.read_archives(spark, path))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,5 +124,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_embedding_dedup,
         op10_line_dedup,
+        op11_lexical_search,
+        op12_spelling_variants,
+        op13_warc,
     )
 }

@@ -142,6 +142,89 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+LEXICAL_SEARCH = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+doc AS (SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+stat AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM doc),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+posting AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM doc)
+  SEMI JOIN (SELECT DISTINCT term FROM asked) USING (term) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, stat GROUP BY term),
+part AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS part
+  FROM posting JOIN weight USING (term), stat),
+scored AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY ALL HAVING score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored)
+WHERE rank <= 10
+"""
+
+
+def crc_table() -> list[int]:
+    """Remainders of the bytes under the reflected polynomial of crc32."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, folded byte by byte."""
+    byte = f"list_transform(range(1, 2 * strlen({text}) + 1, 2), lambda p: ('0x' || substr(hex({text}), p, 2))::BIGINT)"
+    step = f"xor(c >> 8, ({crc_table()}::BIGINT[])[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {crc32("(doc_id || ':' || run)")} AS h FROM run),
+spelt AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+word AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT DISTINCT word, n, other, other_n FROM (
+    SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION ALL SELECT x.word, x.n, y.word, y.n FROM less x JOIN word y ON x.rest = y.word
+    UNION ALL SELECT y.word, y.n, x.word, x.n FROM less x JOIN word y ON x.rest = y.word)),
+best AS (
+  SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+form AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+         CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM word LEFT JOIN best USING (word)),
+up AS (
+  SELECT word, word AS last, 0 AS steps FROM form
+  UNION ALL SELECT up.word, form.form, steps + 1 FROM up JOIN form ON form.word = up.last WHERE form.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM form JOIN (SELECT word, arg_max(last, steps) AS root FROM up GROUP BY word) USING (word)
+"""
+
+WARC = """
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+told AS (
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY h) AS first,
+         array_to_string(list_transform(list_transform(range(0, 8), lambda g: ('0x' || substr(h, 5 * g + 1, 5))::BIGINT),
+           lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest
+  FROM page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM told
+"""
+
 SQL = {
     "op3_url_filter": URL_FILTER,
     "op4_chat_windows": CHAT_WINDOWS,
@@ -149,4 +232,7 @@ SQL = {
     "op8_substring_dedup": SUBSTRING_DEDUP,
     "op9_embedding_dedup": EMBEDDING_DEDUP,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_spelling_variants": SPELLING_VARIANTS,
+    "op13_warc": WARC,
 }
