@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import (
+    CODE_PAGE,
     DECONTRACTIONS,
-    HTML_ENTITIES,
+    EMOJI_NAMES,
+    ENTITY,
+    ENTITY_NAMES,
     NORMALIZE_POST,
     NORMALIZE_PRE,
     PLACEHOLDERS,
@@ -12,6 +17,8 @@ from ..functions.text import (
     SQUEEZE_PATTERN,
     STOPWORDS_EN,
     TOKEN_PATTERN,
+    WORD_PASSES,
+    WORD_PASSES_PADDED,
 )
 
 
@@ -39,13 +46,42 @@ def shortened(expr: str) -> str:
     return expr
 
 
+def map_sql(values: dict, key) -> str:
+    return f"map([{', '.join(map(key, values))}], {sql_list(list(values.values()))})"
+
+
+def entities_decoded(text: str) -> str:
+    part = [f"regexp_extract(p, {q(ENTITY)}, {i})" for i in range(4)]
+    code = f"TRY_CAST(CASE WHEN {part[2]} = 'x' THEN '0x' || {part[3]} ELSE {part[3]} END AS BIGINT)"
+    point = f"CASE WHEN {code} NOT BETWEEN 0 AND 1114111 OR {code} BETWEEN 55296 AND 57343 THEN '' ELSE chr({code}::INT) END"
+    number = f"coalesce({map_sql(CODE_PAGE, str)}[{code}], {point}, '')"
+    name = f"coalesce({map_sql(ENTITY_NAMES, q)}[{part[3]}], '')"
+    entity = f"CASE WHEN {part[3]} = '' THEN '&' || p ELSE (CASE WHEN {part[1]} = '#' OR {part[2]} = 'x' THEN {number} ELSE {name} END) || substr(p, length({part[0]}) + 1) END"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {entity} END), '')"
+
+
+# RE2 is linear at any length; its programs are too small for the bounds.
+UNBOUNDED = re.sub(r"\{1,\d+\}", "+", TOKEN_PATTERN)
+
+
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all({shortened(replace_chain(text, HTML_ENTITIES))}, {q(TOKEN_PATTERN)}, 0)"
+    return f"regexp_extract_all({shortened(entities_decoded(text))}, {q(UNBOUNDED)}, 0)"
 
 
-def preprocess_sql(text: str) -> str:
-    t = replace_chain(f"lower({text})", DECONTRACTIONS)
-    toks = tokens_sql(t)
+def rewritten(text: str, passes) -> str:
+    for pattern, new in passes:
+        new = re.sub(r"\$(\d)", r"\\\1", new)
+        text = f"regexp_replace({text}, {q(pattern)}, {q(new)}, 'g')"
+    return text
+
+
+def words_sql(text: str) -> str:
+    padded = f"' ' || {rewritten(text, WORD_PASSES)} || ' '"
+    return f"list_filter(string_split_regex({rewritten(padded, WORD_PASSES_PADDED)}, {q(SQUEEZE_PATTERN)}), lambda x: x <> '')"
+
+
+def preprocess_sql(text: str, tokens=tokens_sql) -> str:
+    toks = tokens(replace_chain(f"lower({text})", DECONTRACTIONS))
     toks = f"list_filter({toks}, lambda x: NOT list_contains({sql_list(PLACEHOLDERS)}, x))"
     toks = f"list_filter({toks}, lambda x: NOT list_contains({sql_list(STOPWORDS_EN)}, x))"
     toks = f"list_filter({toks}, lambda x: NOT contains({q(PUNCTUATION)}, x))"
@@ -91,6 +127,9 @@ def stance_flags_select(side: int) -> str:
 DECONTRACT_TOKENS = f"""WITH {DOCS}, p AS (SELECT doc_id, {preprocess_sql('text')} AS toks FROM docs)
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM p"""
 
+WORD_TOKENS = f"""WITH p AS (SELECT doc_id, {preprocess_sql('text', words_sql)} AS toks FROM documents)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM p"""
+
 TOKEN_COUNTS = f"""WITH {DOCS}, {scores_ctes('', toxic_flags_select(True), True)}
 SELECT token, y_i, y_j, y_bg FROM counts"""
 
@@ -100,7 +139,7 @@ def _normalize_sql(text: str) -> str:
     case = (
         "CASE WHEN starts_with(t, '@') THEN '@USER' "
         "WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' "
-        "WHEN length(t) = 1 THEN t "
+        f"WHEN length(t) = 1 THEN coalesce({map_sql(EMOJI_NAMES, q)}[t], t) "
         "WHEN t = '’' THEN '''' WHEN t = '…' THEN '...' ELSE t END"
     )
     joined = f"array_to_string(list_transform({tokens_sql(pre)}, lambda t: {case}), ' ')"
@@ -155,6 +194,7 @@ FROM lab GROUP BY split"""
 
 SQL = {
     "decontract_tokens": DECONTRACT_TOKENS,
+    "word_tokens": WORD_TOKENS,
     "token_counts": TOKEN_COUNTS,
     "normalized_posts": NORMALIZED_POSTS,
     "log_odds": LOG_ODDS,

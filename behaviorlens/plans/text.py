@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_post, preprocess
+from ..functions.text import normalize_post, preprocess, tokenize_words
 from ..operators import logodds, stance
 from ..operators.partitioning import spread
 from ..session import materialize
@@ -58,6 +58,13 @@ def q_decontract_tokens(spark, sf_dir):
     )
 
 
+def q_word_tokens(spark, sf_dir):
+    """The preparation with the default word tokenizer."""
+    toks = preprocess(F.col("text"), tokenizer=tokenize_words)
+    d = spread(fixtures.table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
+
+
 def q_token_counts(spark, sf_dir):
     return logodds.token_counts(toxic_flags(spark, sf_dir, background=True))
 
@@ -170,6 +177,7 @@ def q_stance_model_accuracy(spark, sf_dir):
 
 QUERIES = {
     "decontract_tokens": q_decontract_tokens,
+    "word_tokens": q_word_tokens,
     "token_counts": q_token_counts,
     "normalized_posts": q_normalized_posts,
     "log_odds": q_log_odds,
