@@ -31,6 +31,7 @@ from ..schema import (
     VALUE_THRESHOLD,
 )
 from ..session import default_parallelism, stored
+from . import policy
 
 F_MAT = np.asarray(FEATURE_MATRIX, dtype=float)  # (16, 6)
 SEEN_ACTION = np.arange(N_STATES) % N_ACTIONS
@@ -322,24 +323,6 @@ def _emit(kind, ent, tp, p0, length, r, batch, discount):
     if kind == "optimal_values":
         return _long_states(ent, optimal_values(tp, r, discount), "value")
     v = optimal_values(tp, r, discount)
-    if kind == "policy":
-        pol = stochastic_policy(tp, r, v, discount)
-        b = pol.shape[0]
-        idx = np.repeat(np.arange(b), N_STATES * N_ACTIONS)
-        st = np.tile(np.repeat(np.arange(N_STATES, dtype=np.int32), N_ACTIONS), b)
-        ac = np.tile(np.tile(np.arange(N_ACTIONS, dtype=np.int32), N_STATES), b)
-        return pa.RecordBatch.from_arrays(
-            [ent.take(pa.array(idx)), pa.array(st), pa.array(ac), pa.array(pol.reshape(-1))],
-            names=["entity", "state", "action", "p"],
-        )
-    if kind == "greedy_policy":
-        g = greedy_policy(tp, r, v, discount).astype(np.int32)
-        b = g.shape[0]
-        idx = np.repeat(np.arange(b), N_STATES)
-        return pa.RecordBatch.from_arrays(
-            [ent.take(pa.array(idx)), pa.array(np.tile(np.arange(N_STATES, dtype=np.int32), b)), pa.array(g.reshape(-1))],
-            names=["entity", "state", "action"],
-        )
     if kind == "policy_value":
         g = greedy_policy(tp, r, v, discount)
         return _long_states(ent, policy_values(tp, g, r, discount), "value")
@@ -351,12 +334,6 @@ def _emit(kind, ent, tp, p0, length, r, batch, discount):
         val = policy_values(tp, g, true_r, discount)
         evd = np.einsum("bs,bs->b", opt_true, p0) - np.einsum("bs,bs->b", val, p0)
         return pa.RecordBatch.from_arrays([ent, pa.array(evd)], names=["entity", "evd"])
-    if kind == "svf_uniform":
-        pol = np.full((r.shape[0], N_STATES, N_ACTIONS), 1.0 / N_ACTIONS)
-        return _long_states(ent, expected_svf(tp, pol, p0, length), "svf")
-    if kind == "svf_optimal":
-        pol = stochastic_policy(tp, r, v, discount)
-        return _long_states(ent, expected_svf(tp, pol, p0, length), "svf")
     raise ValueError(kind)
 
 
@@ -364,12 +341,29 @@ def optimal_value_table(model_r: DataFrame) -> DataFrame:
     return _solve_job(model_r, "optimal_values", "entity string, state int, value double")
 
 
+def with_values(model_r: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """The model table with rewards and their optimal state values ``v``, which
+    the columns of ``policy`` read."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in model_r.schema.fields)
+
+    def run(batches):
+        for big in batches:
+            for batch in _chunks(big):
+                if batch.num_rows == 0:
+                    continue
+                tp, *_ = dense_model(batch)
+                v = optimal_values(tp, _matrix(batch, "r", N_STATES), discount)
+                yield pa.RecordBatch.from_arrays([*batch.columns, _list_array(v)], names=[*batch.schema.names, "v"])
+
+    return _spread(model_r).mapInArrow(run, f"{fields}, v array<double>")
+
+
 def policy_table(model_r: DataFrame) -> DataFrame:
-    return _solve_job(model_r, "policy", "entity string, state int, action int, p double")
+    return policy.policy_table(with_values(model_r))
 
 
 def greedy_policy_table(model_r: DataFrame) -> DataFrame:
-    return _solve_job(model_r, "greedy_policy", "entity string, state int, action int")
+    return policy.greedy_policy_table(with_values(model_r))
 
 
 def policy_value_table(model_r: DataFrame) -> DataFrame:
@@ -383,9 +377,23 @@ def value_difference_table(model_r: DataFrame) -> DataFrame:
     return _solve_job(model_r, "evd", "entity string, evd double")
 
 
-def expected_visitation_table(model_r: DataFrame, policy: str = "uniform") -> DataFrame:
-    kind = "svf_uniform" if policy == "uniform" else "svf_optimal"
-    return _solve_job(model_r, kind, "entity string, state int, svf double")
+def expected_visitation_table(model_r: DataFrame, policy_name: str = "uniform") -> DataFrame:
+    """Under the uniform policy, or the soft one of ``r`` (``optimal``)."""
+    return policy.visitation_table(model_r if policy_name == "uniform" else with_values(model_r), policy_name)
+
+
+def step_errors(model: DataFrame, epochs: int, learning_rate: float = LEARNING_RATE) -> DataFrame:
+    """(entity, error, moved): whether the solver's step from ``epochs`` to
+    ``epochs + 1`` is its gradient, computed anew by columns: the largest
+    difference of any reward, and whether one changed at all."""
+    given = stored(model if "alpha0" in model.columns else model.withColumn("alpha0", start_weights(F.col("entity"))))
+    before = fit_rewards(given, epochs, learning_rate, checkpoint=True)
+    after = fit_rewards(given, epochs + 1, learning_rate, checkpoint=True).withColumnRenamed("r", "after")
+    solved = with_values(given.drop("alpha0").join(before, "entity"))
+    step = policy.gradient_table(solved).withColumn("step", policy.rewards_of(F.transform("gradient", lambda g: g * learning_rate)))
+    both = step.join(after, "entity")
+    differences = F.zip_with(F.zip_with("r", "step", lambda a, b: a + b), "after", lambda a, b: F.abs(a - b))
+    return both.select("entity", F.array_max(differences).alias("error"), (F.col("r") != F.col("after")).alias("moved"))
 
 
 def event_rewards(pairs: DataFrame, value_col: str = "value") -> DataFrame:

@@ -73,10 +73,38 @@ def q_value_difference_data(spark, sf_dir):
 
 def q_expected_visitation(spark, sf_dir):
     m = model(spark, sf_dir).withColumn("r", F.array_repeat(F.lit(0.0), 16))
-    svf = rewards.expected_visitation_table(m, policy="uniform")
+    svf = rewards.expected_visitation_table(m, policy_name="uniform")
     return svf.select("entity", "state", F.round("svf", 6).alias("svf"))
 
 
+def q_expected_visitation_optimal(spark, sf_dir):
+    """Under the soft policy of the data's rewards."""
+    svf = rewards.expected_visitation_table(model_with_rewards(spark, sf_dir), policy_name="optimal")
+    return svf.select("entity", "state", F.round("svf", 6).alias("svf"))
+
+
+# The solver where SQL can follow it: start weights and step given, two epochs.
+STEP_START = [0.6, -0.3, 0.2, 0.5, 0.1, 0.4]
+STEP_RATE = 0.5
+STEP_EPOCHS = 2
+
+
+def q_reward_steps(spark, sf_dir):
+    m = model(spark, sf_dir).withColumn("alpha0", F.array(*map(F.lit, STEP_START)))
+    r = rewards.fit_rewards(m, epochs=STEP_EPOCHS, learning_rate=STEP_RATE)
+    return r.select("entity", F.posexplode("r").alias("state", "reward")).withColumn("reward", F.round("reward", 6))
+
+
+CERTIFIED_EPOCHS = 100
+
+
+def q_reward_step_errors(spark, sf_dir):
+    """The solver's step behind ``CERTIFIED_EPOCHS`` epochs against its
+    gradient."""
+    out = rewards.step_errors(model(spark, sf_dir), CERTIFIED_EPOCHS)
+    return out.withColumn("error", F.round("error", 6))
+
+
 QUERIES = {
     "reward_weights": q_reward_weights,
     "reward_residual": q_reward_residual,
@@ -87,4 +115,7 @@ QUERIES = {
     "value_difference": q_value_difference,
     "value_difference_data": q_value_difference_data,
     "expected_visitation": q_expected_visitation,
+    "expected_visitation_optimal": q_expected_visitation_optimal,
+    "reward_steps": q_reward_steps,
+    "reward_step_errors": q_reward_step_errors,
 }

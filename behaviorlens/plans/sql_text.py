@@ -17,6 +17,7 @@ from ..functions.text import (
     SQUEEZE_PATTERN,
     STOPWORDS_EN,
     TOKEN_PATTERN,
+    WHITESPACE,
     WORD_PASSES,
     WORD_PASSES_PADDED,
 )
@@ -192,6 +193,81 @@ SELECT split, count(*) AS n,
        round(avg(CASE WHEN (CASE WHEN CAST(quality AS DOUBLE) > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 9) AS accuracy
 FROM lab GROUP BY split"""
 
+def _post_tokens(text: str) -> str:
+    whole = f"coalesce({text}, '')"
+    return tokens_sql(f"lower(trim({whole}, {q(WHITESPACE)}))")
+
+
+# The exact-vocabulary model: tokens of the training posts and the stance words.
+TABLE_MODEL = f"""words AS MATERIALIZED ({_stance_tokens_sql()}), {LABELLED},
+train AS MATERIALIZED (SELECT doc_id AS post, label, {_post_tokens("text")} AS toks FROM lab WHERE split = 'train'),
+counts AS (
+  SELECT token, count(*) FILTER (WHERE label = 1) AS n_1, count(*) FILTER (WHERE label <> 1) AS n_0
+  FROM (SELECT label, unnest(toks) AS token FROM train) GROUP BY token),
+vocabulary AS MATERIALIZED (
+  SELECT coalesce(c.token, w.token) AS token, coalesce(n_1, 0) AS n_1, coalesce(n_0, 0) AS n_0,
+         (c.token IS NOT NULL)::INT + (w.token IS NOT NULL)::INT AS copies
+  FROM counts c FULL JOIN words w ON c.token = w.token),
+feature_totals AS (SELECT sum(n_1 * copies) + sum(copies) AS all_1, sum(n_0 * copies) + sum(copies) AS all_0 FROM vocabulary),
+model AS MATERIALIZED (
+  SELECT token, copies * (ln((n_1 + 1) / all_1) - ln((n_0 + 1) / all_0)) AS weight FROM vocabulary, feature_totals),
+prior AS (SELECT ln(count(*) FILTER (WHERE label = 1) + 1) - ln(count(*) FILTER (WHERE label <> 1) + 1) AS intercept FROM train)"""
+
+
+def _scored(posts: str) -> str:
+    """Rows of ``posts`` (post, text, ...) with ``score``."""
+    return f"""{TABLE_MODEL},
+post AS MATERIALIZED ({posts}),
+margin AS (
+  SELECT post, sum(weight) AS margin FROM (SELECT post, unnest({_post_tokens("text")}) AS token FROM post) JOIN model USING (token) GROUP BY post),
+scored AS (
+  SELECT post.*, 1 / (1 + exp(-(intercept + coalesce(margin, 0)))) AS score FROM post LEFT JOIN margin USING (post), prior)"""
+
+
+STANCE_TABLE_SCORES = f"""WITH {_scored("SELECT row_number() OVER () AS post, conv_id, turn, text FROM conversations")}
+SELECT conv_id, turn, round(score, 6) AS stance_propaganda FROM scored"""
+STANCE_TABLE_AUTHORS = f"""WITH {_scored("SELECT row_number() OVER () AS post, source AS author_id, text FROM documents")}
+SELECT author_id, round(avg(score), 6) AS stance_propaganda FROM scored WHERE author_id IS NOT NULL GROUP BY author_id"""
+STANCE_TABLE_ACCURACY = f"""WITH {_scored("SELECT doc_id AS post, label, text FROM lab WHERE split = 'test'")}
+SELECT count(*) AS n, round(avg(((score > 0.5)::INT = label)::INT), 9) AS accuracy FROM scored"""
+
+
+def _epochs_sql(epochs: int, rate: float) -> str:
+    """Gradient steps written out one after the other."""
+
+    def margins(k: int, of: str) -> str:
+        return f"""SELECT p.post, label, coalesce(sum(x * weight), 0) + (SELECT b FROM bias{k}) AS margin
+  FROM {of}_post p LEFT JOIN (SELECT post, x, weight FROM {of}_feature JOIN weight{k} USING (token)) f ON f.post = p.post GROUP BY p.post, label"""
+
+    def feature(of: str) -> str:
+        return f"""{of}_feature AS MATERIALIZED (
+  SELECT post, token, count(*) / any_value(size)::DOUBLE AS x FROM (SELECT post, len(toks) AS size, unnest(toks) AS token FROM {of}_post) GROUP BY post, token)"""
+
+    ctes = [
+        TABLE_MODEL,
+        "train_post AS (SELECT * FROM train)",
+        f"test_post AS MATERIALIZED (SELECT doc_id AS post, label, {_post_tokens('text')} AS toks FROM lab WHERE split = 'test')",
+        feature("train"),
+        feature("test"),
+        "weight0 AS (SELECT token, copies, 0::DOUBLE AS weight FROM vocabulary)",
+        "bias0 AS (SELECT 0::DOUBLE AS b)",
+    ]
+    for k in range(epochs):
+        ctes += [
+            f"error{k} AS MATERIALIZED (SELECT post, (label = 1)::INT - 1 / (1 + exp(-margin)) AS error FROM ({margins(k, 'train')}))",
+            f"step{k} AS (SELECT token, sum(x * error) * ({rate}::DOUBLE / (SELECT count(*) FROM train)) AS step FROM train_feature JOIN error{k} USING (post) GROUP BY token)",
+            f"weight{k + 1} AS MATERIALIZED (SELECT token, copies, weight + coalesce(step, 0) * copies * copies AS weight FROM weight{k} LEFT JOIN step{k} USING (token))",
+            f"bias{k + 1} AS MATERIALIZED (SELECT (SELECT b FROM bias{k}) + {rate}::DOUBLE / (SELECT count(*) FROM train) * sum(error) AS b FROM error{k})",
+        ]
+    parts = [
+        f"""SELECT {k} AS epoch, count(*) AS n, round(avg(((score > 0.5)::INT = label)::INT), 9) AS accuracy,
+       round(-avg(ln(CASE WHEN label = 1 THEN score ELSE 1 - score END)), 6) AS log_loss
+FROM (SELECT label, 1 / (1 + exp(-margin)) AS score FROM ({margins(k, 'test')}))"""
+        for k in range(1, epochs + 1)
+    ]
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
 SQL = {
     "decontract_tokens": DECONTRACT_TOKENS,
     "word_tokens": WORD_TOKENS,
@@ -207,4 +283,8 @@ SQL = {
     "stance_split": STANCE_SPLIT,
     "stance_author_mean": STANCE_AUTHOR_MEAN,
     "stance_accuracy": STANCE_ACCURACY,
+    "stance_table_scores": STANCE_TABLE_SCORES,
+    "stance_table_authors": STANCE_TABLE_AUTHORS,
+    "stance_table_accuracy": STANCE_TABLE_ACCURACY,
+    "stance_epochs": _epochs_sql(3, 50.0),
 }

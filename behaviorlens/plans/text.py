@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_post, preprocess, tokenize_words
-from ..operators import logodds, stance
+from ..operators import logodds, stance, stance_tables
 from ..operators.partitioning import spread
 from ..session import materialize
 from ..sources import fixtures
@@ -175,6 +175,50 @@ def q_stance_model_accuracy(spark, sf_dir):
     return stance.accuracy(pred)
 
 
+def _table_model(spark, sf_dir):
+    lab = labelled(spark, sf_dir).withColumn("split", stance.hash_split(F.col("doc_id")))
+    words = materialize(q_stance_tokens(spark, sf_dir))
+    return stance_tables.fit_counts(lab.where(F.col("split") == "train"), words), lab
+
+
+def q_stance_table_scores(spark, sf_dir):
+    """Score of every turn of the conversations by the exact-vocabulary model."""
+    model, _ = _table_model(spark, sf_dir)
+    conv = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
+    return stance_tables.score_posts(model, conv).withColumn("stance_propaganda", F.round("stance_propaganda", 6))
+
+
+def q_stance_table_authors(spark, sf_dir):
+    """Mean score of every source over all documents."""
+    model, _ = _table_model(spark, sf_dir)
+    posts = fixtures.table(spark, sf_dir, "documents").select(F.col("source").alias("author_id"), F.col("text").alias("body"))
+    out = stance.author_mean(stance_tables.score_posts(model, posts))
+    return out.withColumn("stance_propaganda", F.round("stance_propaganda", 6))
+
+
+def q_stance_table_accuracy(spark, sf_dir):
+    model, lab = _table_model(spark, sf_dir)
+    test = lab.where(F.col("split") == "test").select("label", F.col("text").alias("body"))
+    out = stance_tables.evaluate(stance_tables.score_posts(model, test, score_col="score"), score_col="score")
+    return out.withColumn("accuracy", F.round("accuracy", 9))
+
+
+EPOCHS = 3
+
+
+def log_loss(label, prediction, score):
+    return -F.avg(F.log(F.when(label == 1, score).otherwise(1 - score)))
+
+
+def q_stance_epochs(spark, sf_dir):
+    """Held-out accuracy and mean log loss after each epoch."""
+    lab = labelled(spark, sf_dir).withColumn("split", stance.hash_split(F.col("doc_id")))
+    words = materialize(q_stance_tokens(spark, sf_dir))
+    metrics = {"accuracy": stance_tables.accuracy_metric, "log_loss": log_loss}
+    run = stance_tables.fit_epochs(lab.where(F.col("split") == "train"), words, epochs=EPOCHS, held_out=lab.where(F.col("split") == "test"), metrics=metrics)
+    return run.evaluation.select("epoch", "n", F.round("accuracy", 9).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"))
+
+
 QUERIES = {
     "decontract_tokens": q_decontract_tokens,
     "word_tokens": q_word_tokens,
@@ -192,4 +236,8 @@ QUERIES = {
     "stance_accuracy": q_stance_accuracy,
     "stance_model_scores": q_stance_model_scores,
     "stance_model_accuracy": q_stance_model_accuracy,
+    "stance_table_scores": q_stance_table_scores,
+    "stance_table_authors": q_stance_table_authors,
+    "stance_table_accuracy": q_stance_table_accuracy,
+    "stance_epochs": q_stance_epochs,
 }
