@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import literal_map
 from ..schema import ACTIVE_THRESHOLD, EVENT_COLUMNS, PASSIVE_THRESHOLD, ROLES
 
 
@@ -21,18 +22,73 @@ def utc(instant: Column) -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
+# --- fixed values: offsets of the zone names that mail dates may carry
+MAIL_ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
+def _shifted(local: Column, zone: str) -> Column:
+    return local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+
+
+def _iso(c: Column, zone: str) -> Column:
+    return F.when(c.rlike(OFFSET) & c.contains(":"), utc(F.try_to_timestamp(c))).otherwise(_shifted(c.try_cast("timestamp_ntz"), zone))
+
+
+def _classic(c: Column, zone: str) -> Column:
+    """``EEE MMM dd HH:mm:ss Z yyyy`` with the weekday cut off."""
+    return utc(F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")))
+
+
+def _mail(c: Column, zone: str) -> Column:
+    """``EEE, d MMM yyyy HH:mm[:ss] Z`` of mail headers, weekday and seconds
+    optional, offset or zone name."""
+    text = F.trim(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""))
+    zones = r" ([A-Z]{2,3})$"
+    offset = F.element_at(literal_map(MAIL_ZONES), F.regexp_extract(text, zones, 1))
+    text = F.coalesce(F.concat(F.regexp_replace(text, zones, " "), offset), text)
+    return utc(F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm[:ss] Z")))
+
+
+def _slashed(c: Column, zone: str) -> Column:
+    """``M/d/yyyy``, with or without a time of 24 or of 12 hours."""
+    text = F.concat(F.trim(c), F.lit(" +0000"))
+    forms = ["M/d/yyyy H:mm[:ss][.SSSSSS] Z", "M/d/yyyy h:mm[:ss] a Z", "M/d/yyyy Z"]
+    return _shifted(F.when(c.contains("/"), F.coalesce(*[utc(F.try_to_timestamp(text, F.lit(f))) for f in forms])), zone)
+
+
+def _epoch(c: Column, zone: str) -> Column:
+    """Seconds, milli- or microseconds since 1970, told apart by their digits."""
+    text = F.trim(c)
+    number = F.when(text.rlike(r"^-?[0-9]{9,17}$"), text.try_cast("long"))
+    digits = F.length(F.ltrim(text, F.lit("-")))
+    micros = F.when(digits <= 11, number * 1_000_000).when(digits <= 14, number * 1000).otherwise(number)
+    return utc(F.timestamp_micros(micros))
+
+
+#: Forms of time texts in the order in which they are tried.
+TIME_FORMATS = {"iso": _iso, "classic": _classic, "mail": _mail, "slashed": _slashed, "epoch": _epoch}
+
+
+def _text(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
 def parse_time(c: Column | str, zone: str = "UTC") -> Column:
-    """Event time in UTC from text (P2): ISO forms first, then the classic
-    ``EEE MMM dd HH:mm:ss Z yyyy`` post format with the weekday cut off.  ISO
-    text without an offset is a time of ``zone``.  The result is zone-free and
-    does not depend on the session's zone; text of another form gives NULL."""
-    c = (F.col(c) if isinstance(c, str) else c).cast("string")
-    local = c.try_cast("timestamp_ntz")
-    if zone != "UTC":
-        local = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    iso = F.when(c.rlike(OFFSET) & c.contains(":"), utc(F.try_to_timestamp(c))).otherwise(local)
-    classic = utc(F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")))
-    return F.coalesce(iso, classic)
+    """Event time in UTC from text (P2), by the first of ``TIME_FORMATS`` that
+    gives one.  Text without an offset is a time of ``zone``.  The result is
+    zone-free and does not depend on the session's zone; text of another form
+    gives NULL."""
+    return F.coalesce(*[parse(_text(c), zone) for parse in TIME_FORMATS.values()])
+
+
+def time_format(c: Column | str, zone: str = "UTC") -> Column:
+    """Name of the form that ``parse_time`` reads a text by; NULL if none."""
+    return F.coalesce(*[F.when(parse(_text(c), zone).isNotNull(), F.lit(name)) for name, parse in TIME_FORMATS.items()])
+
+
+def time_formats(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """(format, n) of the texts of a column; format is NULL for unread ones."""
+    return df.where(F.col(column).isNotNull()).groupBy(time_format(column).alias("format")).agg(F.count("*").alias("n"))
 
 
 def unparsed_times(df: DataFrame, column: str = "created_at") -> DataFrame:

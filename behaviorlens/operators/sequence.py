@@ -2,7 +2,7 @@
 
 A window partitioned by entity puts a whole entity into one task, and adaptive
 execution does not split window partitions.  ``EntitySequence`` finds *heavy*
-entities (more than ``hot_rows`` events) with one bounded sketch over the
+entities (more than ``hot_rows`` events) with one aggregation over the
 entity column, or takes a list from the caller.  Without any, the plan is the
 plain window.  Rows of heavy entities are range-partitioned by entity and the
 full order key, so the splitters come from a sample of the key itself, and the
@@ -24,16 +24,21 @@ from ..session import stored
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
-#: Heavy entities reported, and items the sketch tracks: an entity with more
-#: than one in TRACKED_ITEMS of all rows is always found.
-HEAVY_ENTITIES, TRACKED_ITEMS = 1_000, 10_000
+#: Heavy entities that are told apart by a list of literals; more by a join.
+LISTED_ENTITIES = 1_000
+
+
+def heavy_counts(df: DataFrame, entity: str = "entity", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """(entity, rows) of entities with more than ``hot_rows`` rows, exactly: one
+    aggregation over the entity column, in which a hot entity is one row for
+    each task.  At most one row for each ``hot_rows`` rows comes out."""
+    counts = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.where(F.col("rows") > hot_rows)
 
 
 def heavy_entities(df: DataFrame, entity: str = "entity", hot_rows: int = DEFAULT_HOT_ROWS) -> list[tuple[str, int]]:
-    """(entity, rows) of entities with more than ``hot_rows`` rows: one
-    aggregation over the entity column into a sketch of bounded size."""
-    top = df.where(F.col(entity).isNotNull()).agg(F.call_function("approx_top_k", F.col(entity), F.lit(HEAVY_ENTITIES), F.lit(TRACKED_ITEMS)).alias("top")).first()["top"]
-    return [(r["item"], r["count"]) for r in top or [] if r["count"] > hot_rows]
+    """The same as a list, which ends one past ``LISTED_ENTITIES``."""
+    return [tuple(r) for r in heavy_counts(df, entity, hot_rows).limit(LISTED_ENTITIES + 1).collect()]
 
 
 class EntitySequence:
@@ -53,15 +58,24 @@ class EntitySequence:
         self.order = list(order or [*ORDER_COLUMNS, *(c for c in TIE_COLUMNS if c in df.columns)])
         self.time_col = time_col
         self.plain, self.buckets = df, None
-        if heavy is None and hot_rows is not None:
+        given = heavy is not None or hot_rows is None
+        if not given:
             heavy = heavy_entities(df, entity, hot_rows)
         if heavy:
-            is_heavy = F.coalesce(F.col(entity).isin([e for e, _ in heavy]), F.lit(False))
-            parts = math.ceil(sum(n for _, n in heavy) / rows_per_bucket) + len(heavy)
-            hot = df.where(is_heavy).repartitionByRange(parts, F.col(entity), *self._order())
+            if given or len(heavy) <= LISTED_ENTITIES:
+                is_heavy = F.coalesce(F.col(entity).isin([e for e, _ in heavy]), F.lit(False))
+                hot, self.plain = df.where(is_heavy), df.where(~is_heavy)
+                rows, entities = sum(n for _, n in heavy), len(heavy)
+            else:  # a table of known size, which the planner broadcasts if it is small
+                found = stored(heavy_counts(df, entity, hot_rows))
+                rows, entities = found.agg(F.sum("rows"), F.count("*")).first()
+                keys = found.select(F.col(entity).alias("_heavy"))
+                hot = df.join(keys, F.col(entity) == F.col("_heavy"), "left_semi")
+                self.plain = df.join(keys, F.col(entity) == F.col("_heavy"), "left_anti")
+            parts = math.ceil(rows / rows_per_bucket) + entities
+            hot = hot.repartitionByRange(parts, F.col(entity), *self._order())
             # stored, so that every use sees the same buckets
             self.buckets = stored(hot.withColumn("_b", F.spark_partition_id()))
-            self.plain = df.where(~is_heavy)
 
     def _order(self) -> list[Column]:
         return [F.col(c).asc_nulls_last() if c == self.time_col else F.col(c).asc_nulls_first() for c in self.order]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, trajectories, transitions
+from ..operators import activity, stance_tables, trajectories, transitions
 from ..sources import files, fixtures
+from . import text
 
 # thresholds high enough that some entities fail at sf0.01
 STRICT_ACTIVE = 33
@@ -37,13 +38,30 @@ def q_event_timeline(spark, sf_dir):
 
 
 def q_routed_timeline(spark, sf_dir):
-    """Raw posts routed to the roles of the accounts with an even id."""
+    """Raw posts routed to the roles of all accounts."""
     e = events(spark, sf_dir)
-    accounts = e.where(F.col("user_id") % 2 == 0).select(F.col("user_id").cast("string").alias("name")).distinct()
+    accounts = e.select(F.col("user_id").cast("string").alias("name")).distinct()
     t = files.routed_timeline(fixtures.posts_from_events(e), accounts)
     return t.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTERS})
 
 
+def q_scored_timeline(spark, sf_dir):
+    """The same with each reply's stance from the score of its text by the
+    exact-vocabulary model, joined by post."""
+    e = events(spark, sf_dir)
+    accounts = e.select(F.col("user_id").cast("string").alias("name")).distinct()
+    posts = fixtures.posts_from_events(e)
+    scores = stance_tables.score_posts(text.table_model(spark, sf_dir), fixtures.reply_texts(spark, sf_dir))
+    t = files.routed_timeline(files.stance_by_score(posts, scores), accounts)
+    return t.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTERS})
+
+
+def q_parsed_times(spark, sf_dir):
+    """Each event's time written in one of the forms and read again."""
+    texts = fixtures.time_texts(events(spark, sf_dir))
+    return texts.select("event_id", activity.time_format("created_at").alias("format"), activity.parse_time("created_at").alias("time"))
+
+
 def q_entity_thresholds(spark, sf_dir):
     return activity.entity_thresholds(timeline(spark, sf_dir), STRICT_ACTIVE, STRICT_PASSIVE)
 
@@ -76,8 +94,8 @@ def q_trajectories(spark, sf_dir):
     return trajectories.trajectory_summary(pairs(spark, sf_dir))
 
 
-def q_trajectories_long(spark, sf_dir):
-    p = pairs(spark, sf_dir, modulo=LONG_MODULO)
+def q_trajectories_long(spark, sf_dir, modulo=LONG_MODULO):
+    p = pairs(spark, sf_dir, modulo=modulo)
     return p.select(
         "entity", "e", "traj_id", "pos", "state", "action", F.col("kept").cast("int").alias("kept"),
     )
@@ -92,20 +110,20 @@ def q_transition_probabilities(spark, sf_dir):
     return t.select("entity", "state", "action", "next_state", "n", F.round("p", 9).alias("p"))
 
 
-def q_start_distribution(spark, sf_dir):
-    return transitions.start_distribution(pairs(spark, sf_dir, modulo=LONG_MODULO)).select(
+def q_start_distribution(spark, sf_dir, modulo=LONG_MODULO):
+    return transitions.start_distribution(pairs(spark, sf_dir, modulo=modulo)).select(
         "entity", "state", F.round("p", 9).alias("p")
     )
 
 
-def q_state_visitation_frequency(spark, sf_dir):
-    return transitions.state_visitation_frequency(pairs(spark, sf_dir, modulo=LONG_MODULO)).select(
+def q_state_visitation_frequency(spark, sf_dir, modulo=LONG_MODULO):
+    return transitions.state_visitation_frequency(pairs(spark, sf_dir, modulo=modulo)).select(
         "entity", "state", F.round("svf", 9).alias("svf")
     )
 
 
-def q_feature_expectations(spark, sf_dir):
-    return transitions.feature_expectations(pairs(spark, sf_dir, modulo=LONG_MODULO)).select(
+def q_feature_expectations(spark, sf_dir, modulo=LONG_MODULO):
+    return transitions.feature_expectations(pairs(spark, sf_dir, modulo=modulo)).select(
         "entity", "feature", F.round("expectation", 9).alias("expectation")
     )
 
@@ -129,9 +147,16 @@ def q_transition_counts_split(spark, sf_dir):
     return transitions.transition_counts(p)
 
 
+def per_account(query):
+    """A query of the merged accounts over the real ones."""
+    return lambda spark, sf_dir: query(spark, sf_dir, modulo=None)
+
+
 QUERIES = {
     "event_timeline": q_event_timeline,
     "routed_timeline": q_routed_timeline,
+    "scored_timeline": q_scored_timeline,
+    "parsed_times": q_parsed_times,
     "entity_thresholds": q_entity_thresholds,
     "active_entities": q_active_entities,
     "state_action_pairs": q_state_action_pairs,
@@ -144,6 +169,10 @@ QUERIES = {
     "start_distribution": q_start_distribution,
     "state_visitation_frequency": q_state_visitation_frequency,
     "feature_expectations": q_feature_expectations,
+    "trajectories_accounts": per_account(q_trajectories_long),
+    "start_distribution_accounts": per_account(q_start_distribution),
+    "state_visitation_accounts": per_account(q_state_visitation_frequency),
+    "feature_expectations_accounts": per_account(q_feature_expectations),
     "trajectories_long_split": q_trajectories_long_split,
     "transition_counts_split": q_transition_counts_split,
 }

@@ -6,6 +6,8 @@ return the same rows, column names and values as the matching Spark query.
 
 from __future__ import annotations
 
+from .sql_text import scored as scored_sql
+
 ACT = "CAST(event_id % 8 + 1 AS INTEGER)"
 ORDER = (
     "time ASC NULLS LAST, kind ASC NULLS FIRST, activity ASC NULLS FIRST, "
@@ -100,7 +102,13 @@ EVENT_TIMELINE = (
     "retweet_count, tweet_likes, reply)"
 )
 
-ROUTED_TIMELINE = EVENT_TIMELINE + "\nWHERE CAST(entity AS BIGINT) % 2 = 0"
+# The rows of both reply tables with the table by score.
+SCORED_TIMELINE = f"""WITH {scored_sql("SELECT event_id AS post, d.text FROM events JOIN documents d ON d.doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE " + ACT + " IN (6, 7)")}
+SELECT t.* REPLACE (CASE WHEN t.activity IN (6, 7) THEN CASE WHEN s.score > 0.5 THEN 6 ELSE 7 END ELSE t.activity END::INTEGER AS activity)
+FROM ({EVENT_TIMELINE}) t LEFT JOIN scored s ON t.activity IN (6, 7) AND s.post = t.post_id"""
+
+TIME_FORM = "['iso', 'classic', 'mail', 'slashed', 'slashed', 'epoch', 'epoch', 'iso'][event_id % 8 + 1]"
+PARSED_TIMES = f"SELECT event_id, {TIME_FORM} AS format, CASE WHEN event_id % 8 = 0 THEN ts ELSE date_trunc('second', ts) END AS time FROM events"
 
 ENTITY_THRESHOLDS = f"""WITH {ev_cte()}
 SELECT entity, count(*) FILTER (WHERE kind = 'a') AS n_active, count(*) FILTER (WHERE kind = 'p') AS n_passive
@@ -125,8 +133,8 @@ SELECT entity, max(n) AS n_events, max(traj_len) AS traj_len, max(n_traj) AS n_t
        count(*) FILTER (WHERE kept) AS kept_pairs, count(*) FILTER (WHERE NOT kept) AS rest_pairs
 FROM pairs GROUP BY entity"""
 
-TRAJECTORIES_LONG = f"""WITH {pairs_ctes(modulo=5)}
-SELECT entity, e, traj_id, pos, state, action, CAST(kept AS INTEGER) AS kept FROM pairs"""
+TRAJECTORIES_LONG, TRAJECTORIES_LONG_ACCOUNTS = (f"""WITH {pairs_ctes(modulo=modulo)}
+SELECT entity, e, traj_id, pos, state, action, CAST(kept AS INTEGER) AS kept FROM pairs""" for modulo in (5, None))
 
 TRANSITION_COUNTS = f"""WITH {pairs_ctes()}
 SELECT entity, state, action, next_state, count(*) AS n
@@ -139,13 +147,13 @@ SELECT entity, state, action, next_state, n,
        round(n / sum(n) OVER (PARTITION BY entity, state, action), 9) AS p
 FROM c"""
 
-START_DISTRIBUTION = f"""WITH {pairs_ctes(modulo=5)}
+START_DISTRIBUTION, START_DISTRIBUTION_ACCOUNTS = (f"""WITH {pairs_ctes(modulo=modulo)}
 SELECT entity, state, round(count(*) / max(n_traj), 9) AS p
-FROM pairs WHERE kept AND pos = 0 GROUP BY entity, state"""
+FROM pairs WHERE kept AND pos = 0 GROUP BY entity, state""" for modulo in (5, None))
 
-STATE_VISITATION_FREQUENCY = f"""WITH {pairs_ctes(modulo=5)}
+STATE_VISITATION_FREQUENCY, STATE_VISITATION_FREQUENCY_ACCOUNTS = (f"""WITH {pairs_ctes(modulo=modulo)}
 SELECT entity, state, round(count(*) / max(n_traj), 9) AS svf
-FROM pairs WHERE kept GROUP BY entity, state"""
+FROM pairs WHERE kept GROUP BY entity, state""" for modulo in (5, None))
 
 
 def _feature_expr(i: int) -> str:
@@ -155,21 +163,21 @@ def _feature_expr(i: int) -> str:
     return f"[{vals}][state + 1]"
 
 
-def _feature_expectations() -> str:
+def _feature_expectations(modulo: int | None) -> str:
     from ..schema import FEATURE_NAMES
 
     sums = ",\n       ".join(f"sum({_feature_expr(i)}) AS f{i}" for i in range(6))
     parts = "\nUNION ALL ".join(
         f"SELECT entity, '{name}' AS feature, round(f{i} / t, 9) AS expectation FROM w" for i, name in enumerate(FEATURE_NAMES)
     )
-    return f"""WITH {pairs_ctes(modulo=5)},
+    return f"""WITH {pairs_ctes(modulo=modulo)},
 w AS (SELECT entity, max(n_traj) AS t,
        {sums}
       FROM pairs WHERE kept GROUP BY entity)
 {parts}"""
 
 
-FEATURE_EXPECTATIONS = _feature_expectations()
+FEATURE_EXPECTATIONS = _feature_expectations(5)
 
 TRANSITION_COUNTS_LONG = f"""WITH {pairs_ctes(modulo=5)}
 SELECT entity, state, action, next_state, count(*) AS n
@@ -177,7 +185,9 @@ FROM pairs WHERE next_state IS NOT NULL GROUP BY entity, state, action, next_sta
 
 SQL = {
     "event_timeline": EVENT_TIMELINE,
-    "routed_timeline": ROUTED_TIMELINE,
+    "routed_timeline": EVENT_TIMELINE,
+    "scored_timeline": SCORED_TIMELINE,
+    "parsed_times": PARSED_TIMES,
     "entity_thresholds": ENTITY_THRESHOLDS,
     "active_entities": ACTIVE_ENTITIES,
     "state_action_pairs": STATE_ACTION_PAIRS,
@@ -185,6 +195,10 @@ SQL = {
     "state_visits": STATE_VISITS,
     "trajectories": TRAJECTORIES,
     "trajectories_long": TRAJECTORIES_LONG,
+    "trajectories_accounts": TRAJECTORIES_LONG_ACCOUNTS,
+    "start_distribution_accounts": START_DISTRIBUTION_ACCOUNTS,
+    "state_visitation_accounts": STATE_VISITATION_FREQUENCY_ACCOUNTS,
+    "feature_expectations_accounts": _feature_expectations(None),
     "transition_counts": TRANSITION_COUNTS,
     "transition_probabilities": TRANSITION_PROBABILITIES,
     "start_distribution": START_DISTRIBUTION,

@@ -214,7 +214,7 @@ model AS MATERIALIZED (
 prior AS (SELECT ln(count(*) FILTER (WHERE label = 1) + 1) - ln(count(*) FILTER (WHERE label <> 1) + 1) AS intercept FROM train)"""
 
 
-def _scored(posts: str) -> str:
+def scored(posts: str) -> str:
     """Rows of ``posts`` (post, text, ...) with ``score``."""
     return f"""{TABLE_MODEL},
 post AS MATERIALIZED ({posts}),
@@ -224,11 +224,11 @@ scored AS (
   SELECT post.*, 1 / (1 + exp(-(intercept + coalesce(margin, 0)))) AS score FROM post LEFT JOIN margin USING (post), prior)"""
 
 
-STANCE_TABLE_SCORES = f"""WITH {_scored("SELECT row_number() OVER () AS post, conv_id, turn, text FROM conversations")}
+STANCE_TABLE_SCORES = f"""WITH {scored("SELECT row_number() OVER () AS post, conv_id, turn, text FROM conversations")}
 SELECT conv_id, turn, round(score, 6) AS stance_propaganda FROM scored"""
-STANCE_TABLE_AUTHORS = f"""WITH {_scored("SELECT row_number() OVER () AS post, source AS author_id, text FROM documents")}
+STANCE_TABLE_AUTHORS = f"""WITH {scored("SELECT row_number() OVER () AS post, source AS author_id, text FROM documents")}
 SELECT author_id, round(avg(score), 6) AS stance_propaganda FROM scored WHERE author_id IS NOT NULL GROUP BY author_id"""
-STANCE_TABLE_ACCURACY = f"""WITH {_scored("SELECT doc_id AS post, label, text FROM lab WHERE split = 'test'")}
+STANCE_TABLE_ACCURACY = f"""WITH {scored("SELECT doc_id AS post, label, text FROM lab WHERE split = 'test'")}
 SELECT count(*) AS n, round(avg(((score > 0.5)::INT = label)::INT), 9) AS accuracy FROM scored"""
 
 
@@ -271,6 +271,7 @@ FROM (SELECT label, 1 / (1 + exp(-margin)) AS score FROM ({margins(k, 'test')}))
 SQL = {
     "decontract_tokens": DECONTRACT_TOKENS,
     "word_tokens": WORD_TOKENS,
+    "post_tokens": f"SELECT conv_id, turn, array_to_string({_post_tokens('text')}, ' ') AS tokens FROM conversations",
     "token_counts": TOKEN_COUNTS,
     "normalized_posts": NORMALIZED_POSTS,
     "log_odds": LOG_ODDS,

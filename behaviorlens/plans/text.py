@@ -65,6 +65,12 @@ def q_word_tokens(spark, sf_dir):
     return d.select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
 
 
+def q_post_tokens(spark, sf_dir):
+    """Posts without their text, with the tokens that the models read."""
+    posts = spread(fixtures.table(spark, sf_dir, "conversations"))
+    return posts.select("conv_id", "turn", F.array_join(stance.post_tokens(F.col("text")), " ").alias("tokens"))
+
+
 def q_token_counts(spark, sf_dir):
     return logodds.token_counts(toxic_flags(spark, sf_dir, background=True))
 
@@ -175,30 +181,33 @@ def q_stance_model_accuracy(spark, sf_dir):
     return stance.accuracy(pred)
 
 
-def _table_model(spark, sf_dir):
-    lab = labelled(spark, sf_dir).withColumn("split", stance.hash_split(F.col("doc_id")))
+def split_documents(spark, sf_dir) -> DataFrame:
+    return labelled(spark, sf_dir).withColumn("split", stance.hash_split(F.col("doc_id")))
+
+
+def table_model(spark, sf_dir) -> stance_tables.TableModel:
     words = materialize(q_stance_tokens(spark, sf_dir))
-    return stance_tables.fit_counts(lab.where(F.col("split") == "train"), words), lab
+    return stance_tables.fit_counts(split_documents(spark, sf_dir).where(F.col("split") == "train"), words)
 
 
 def q_stance_table_scores(spark, sf_dir):
     """Score of every turn of the conversations by the exact-vocabulary model."""
-    model, _ = _table_model(spark, sf_dir)
+    model = table_model(spark, sf_dir)
     conv = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
     return stance_tables.score_posts(model, conv).withColumn("stance_propaganda", F.round("stance_propaganda", 6))
 
 
 def q_stance_table_authors(spark, sf_dir):
     """Mean score of every source over all documents."""
-    model, _ = _table_model(spark, sf_dir)
+    model = table_model(spark, sf_dir)
     posts = fixtures.table(spark, sf_dir, "documents").select(F.col("source").alias("author_id"), F.col("text").alias("body"))
     out = stance.author_mean(stance_tables.score_posts(model, posts))
     return out.withColumn("stance_propaganda", F.round("stance_propaganda", 6))
 
 
 def q_stance_table_accuracy(spark, sf_dir):
-    model, lab = _table_model(spark, sf_dir)
-    test = lab.where(F.col("split") == "test").select("label", F.col("text").alias("body"))
+    model = table_model(spark, sf_dir)
+    test = split_documents(spark, sf_dir).where(F.col("split") == "test").select("label", F.col("text").alias("body"))
     out = stance_tables.evaluate(stance_tables.score_posts(model, test, score_col="score"), score_col="score")
     return out.withColumn("accuracy", F.round("accuracy", 9))
 
@@ -212,7 +221,7 @@ def log_loss(label, prediction, score):
 
 def q_stance_epochs(spark, sf_dir):
     """Held-out accuracy and mean log loss after each epoch."""
-    lab = labelled(spark, sf_dir).withColumn("split", stance.hash_split(F.col("doc_id")))
+    lab = split_documents(spark, sf_dir)
     words = materialize(q_stance_tokens(spark, sf_dir))
     metrics = {"accuracy": stance_tables.accuracy_metric, "log_loss": log_loss}
     run = stance_tables.fit_epochs(lab.where(F.col("split") == "train"), words, epochs=EPOCHS, held_out=lab.where(F.col("split") == "test"), metrics=metrics)
@@ -222,6 +231,7 @@ def q_stance_epochs(spark, sf_dir):
 QUERIES = {
     "decontract_tokens": q_decontract_tokens,
     "word_tokens": q_word_tokens,
+    "post_tokens": q_post_tokens,
     "token_counts": q_token_counts,
     "normalized_posts": q_normalized_posts,
     "log_odds": q_log_odds,

@@ -117,6 +117,19 @@ def routed_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stanc
     return each.join(acc, F.col("owner") == F.col("_acc"), "left_semi")
 
 
+def stance_by_score(posts: DataFrame, scores: DataFrame, id_col: str = "id_str", score_col: str = "stance_propaganda", stance_col: str = "stance", cut: float = 0.5) -> DataFrame:
+    """Posts with the stance of replies from a table of scored posts (S2): 1
+    (supports) for a score above ``cut``, 2 (opposes) for others, NULL without a
+    score.  Scores of one post are averaged; only replies take part in the
+    join."""
+    each = scores.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(score_col).alias("_score"))
+    plain = posts.drop(stance_col)
+    is_reply = F.col("in_reply_to_screen_name").isNotNull() & F.col(id_col).isNotNull()
+    stance = F.when(F.col("_score") > cut, 1).when(F.col("_score").isNotNull(), 2)
+    replies = plain.where(is_reply).join(each, F.col(id_col) == F.col("_id"), "left").withColumn(stance_col, stance).drop("_id", "_score")
+    return replies.unionByName(plain.where(~is_reply).withColumn(stance_col, F.lit(None).cast("int")))
+
+
 def route_posts(posts: DataFrame, accounts: DataFrame, stance_col: str = "stance") -> dict[str, DataFrame]:
     """The eight role tables of an account set (S2), as filters of one routed
     table; ``routed_timeline`` reads it once for all of them."""

@@ -92,6 +92,35 @@ def posts_from_events(events: DataFrame) -> DataFrame:
     return events.select(*[cols[f.name].alias(f.name) for f in ACTIVITY_RAW.fields], F.when(act == 6, 1).when(act == 7, 2).alias("stance"))
 
 
+def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_str, body) of the replies among the events' posts; a reply's text is
+    that of the document whose id is the event's, counted round."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.agg(F.max("doc_id") + 1).first()[0] or 1
+    replies = table(spark, sf_dir, "events").where(_activity().isin(6, 7))
+    bodies = docs.select((F.col("doc_id")).alias("_doc"), F.col("text").alias("body"))
+    return replies.select(F.col("event_id").cast("long").alias("id_str"), (F.col("event_id") % n).alias("_doc")).join(bodies, "_doc").drop("_doc")
+
+
+def time_texts(events: DataFrame) -> DataFrame:
+    """(event_id, created_at): the events' times as text, the form changing
+    from one event to the next."""
+    ts = utc_time(events, "ts")
+    whole = F.date_trunc("second", ts).cast("timestamp_ntz")
+    seconds = F.unix_seconds(F.to_timestamp(F.concat(whole.cast("string"), F.lit("Z"))))
+    forms = [
+        ts.cast("string"),
+        F.date_format(whole, "EEE MMM dd HH:mm:ss '+0000' yyyy"),
+        F.date_format(whole, "EEE, d MMM yyyy HH:mm:ss 'GMT'"),
+        F.date_format(whole, "M/d/yyyy H:mm:ss"),
+        F.date_format(whole, "M/d/yyyy h:mm:ss a"),
+        seconds.cast("string"),
+        (seconds * 1000).cast("string"),
+        F.concat(F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")),
+    ]
+    return events.select("event_id", F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int")).alias("created_at"))
+
+
 def timeline_from_events(events: DataFrame, modulo: int | None = None, extra: list[str] | None = None) -> DataFrame:
     """The event timeline in one projection of ``events`` (same rows as the
     role-table route, one scan).  ``extra`` columns of ``events`` are kept."""

@@ -152,3 +152,63 @@ def test_start_weights_are_spread(spark):
     w = np.array(w)
     assert w.shape == (2000, 6) and w.min() >= 0 and w.max() < 1
     assert np.abs(w.mean(axis=0) - 0.5).max() < 0.03 and len(np.unique(w)) == 12000
+
+
+# --- policies, visits and gradients as columns -----------------------------------
+
+
+def random_model(spark, n=40, seed=4):
+    """Model rows with rewards, odd ones included: no cell, one cell, L of 1."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        states = sorted(r.choice(16, size=r.integers(1, 9), replace=False).tolist())
+        cells = [(0, s, k, int(r.integers(1, 9))) for s in states for k in r.choice(states, size=min(3, len(states)), replace=False).tolist()]
+        cells += [(1, s, -1, int(r.integers(1, 3))) for s in states[:2]] + [(2, s, -1, int(r.integers(1, 30))) for s in states]
+        rows.append((f"u{i}", int(r.integers(1, 60)), int(r.integers(1, 5)), cells, r.normal(size=16).tolist()))
+    rows += [("none", 1, 0, [], [0.0] * 16), ("one", 5, 1, [(0, 3, 3, 2), (1, 3, -1, 1), (2, 3, -1, 4)], [-1.0] * 16)]
+    return spark.createDataFrame(rows, "entity string, traj_len int, n_traj int, cells array<struct<k:int,s:int,ns:int,cnt:bigint>>, r array<double>")
+
+
+def test_columns_agree_with_the_kernel(spark):
+    from behaviorlens.operators import policy
+
+    solved = R.with_values(random_model(spark)).persist()
+    batch = solved.toArrow().combine_chunks().to_batches()[0]
+    tp, p0, fe, length = R.dense_model(batch)
+    r = np.array(batch.column("r").to_pylist())
+    v = np.array(batch.column("v").to_pylist())
+    names = batch.column("entity").to_pylist()
+    soft, greedy = R.stochastic_policy(tp, r, v), R.greedy_policy(tp, r, v)
+    got = {(x["entity"], x["state"], x["action"]): x["p"] for x in policy.policy_table(solved).collect()}
+    assert got == pytest.approx({(e, s, a): soft[i, s, a] for i, e in enumerate(names) for s in range(16) for a in range(4)})
+    got = {(x["entity"], x["state"]): x["action"] for x in policy.greedy_policy_table(solved).collect()}
+    assert got == {(e, s): greedy[i, s] for i, e in enumerate(names) for s in range(16)}
+    for name, pol in (("uniform", np.full_like(soft, 0.25)), ("optimal", soft)):
+        svf = R.expected_svf(tp, pol, p0, length)
+        got = {(x["entity"], x["state"]): x["svf"] for x in policy.visitation_table(solved, name).collect()}
+        assert got == pytest.approx({(e, s): svf[i, s] for i, e in enumerate(names) for s in range(16)})
+    want = fe - R.expected_svf(tp, soft, p0, length) @ R.F_MAT
+    got = {x["entity"]: x["gradient"] for x in policy.gradient_table(solved).collect()}
+    assert all(got[e] == pytest.approx(want[i].tolist()) for i, e in enumerate(names))
+    plan = policy.policy_table(solved)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan.split("InMemoryRelation")[0] and "MapInArrow" not in plan.split("InMemoryRelation")[0]
+
+
+def test_step_errors_find_a_wrong_step(spark, monkeypatch):
+    """The solver's own step passes; weights that moved otherwise do not."""
+    model = random_model(spark).where("size(cells) > 0").drop("r")
+    good = R.step_errors(model, 5).collect()
+    assert all(x["error"] < 1e-9 for x in good) and sum(x["moved"] for x in good) > len(good) / 2
+    fit = R.fit_rewards
+
+    def wrong(given, epochs, *rest, **kw):
+        out = fit(given, epochs, *rest, **kw)
+        return out.withColumn("r", F.transform("r", lambda x: x * 1.01)) if epochs == 6 else out
+
+    monkeypatch.setattr(R, "fit_rewards", wrong)
+    assert max(x["error"] for x in R.step_errors(model, 5).collect()) > 1e-4
+
+
+def test_step_errors_of_no_account(spark):
+    assert R.step_errors(random_model(spark).limit(0).drop("r"), 5).count() == 0

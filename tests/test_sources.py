@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.operators import activity
-from behaviorlens.sources import files
+from behaviorlens.sources import files, fixtures
 from behaviorlens.schema import ACTIVITY_RAW
 
 
@@ -195,3 +195,56 @@ def test_times_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert tuple(activity.unparsed_times(df).first()) == (1, 7)
+
+
+def test_time_forms(spark):
+    """Each form by the first that reads it, in UTC."""
+    import datetime as dt
+
+    from behaviorlens.operators import activity
+
+    t = dt.datetime
+    cases = [
+        ("2020-01-02 03:04:05.123456", "iso", t(2020, 1, 2, 3, 4, 5, 123456)),
+        ("2020-01-02T03:04:05Z", "iso", t(2020, 1, 2, 3, 4, 5)),
+        ("2020-01-02 03:04:05+02:00", "iso", t(2020, 1, 2, 1, 4, 5)),
+        ("Thu Jan 02 03:04:05 +0100 2020", "classic", t(2020, 1, 2, 2, 4, 5)),
+        ("Thu, 2 Jan 2020 03:04:05 +0100", "mail", t(2020, 1, 2, 2, 4, 5)),
+        ("2 Jan 2020 03:04 -0500", "mail", t(2020, 1, 2, 8, 4)),
+        ("Thu, 02 Jan 2020 03:04:05 GMT", "mail", t(2020, 1, 2, 3, 4, 5)),
+        ("Thu, 2 Jan 2020 03:04:05 PDT", "mail", t(2020, 1, 2, 10, 4, 5)),
+        ("1/2/2020 3:04", "slashed", t(2020, 1, 2, 3, 4)),
+        ("12/31/2020 11:59:58 PM", "slashed", t(2020, 12, 31, 23, 59, 58)),
+        ("01/02/2020", "slashed", t(2020, 1, 2)),
+        ("1577934245", "epoch", t(2020, 1, 2, 3, 4, 5)),
+        ("1577934245123", "epoch", t(2020, 1, 2, 3, 4, 5, 123000)),
+        ("1577934245123456", "epoch", t(2020, 1, 2, 3, 4, 5, 123456)),
+        ("13/13/2020", None, None),
+        ("Thu, 32 Jan 2020 03:04:05 GMT", None, None),
+        ("Thu, 2 Jan 2020 03:04:05 XYZ", None, None),
+        ("soon", None, None),
+        ("", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(cases)], "i int, created_at string")
+    got = {r["i"]: r for r in df.select("i", activity.time_format("created_at").alias("f"), activity.parse_time("created_at").alias("t")).collect()}
+    for i, (text, form, time) in enumerate(cases):
+        assert (got[i]["f"], got[i]["t"]) == (form, time), text
+    counts = {r["format"]: r["n"] for r in activity.time_formats(df).collect()}
+    assert counts["mail"] == 4 and counts[None] == 5
+    local = df.select(activity.parse_time("created_at", "Europe/Berlin").alias("t")).collect()
+    assert local[8]["t"] == t(2020, 1, 2, 2, 4) and local[6]["t"] == t(2020, 1, 2, 3, 4, 5)
+
+
+def test_stance_by_score(spark):
+    """Replies take the stance of their score, in one pass with routing."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    posts = fixtures.posts_from_events(e)
+    replies = posts.where("in_reply_to_screen_name IS NOT NULL")
+    scores = replies.select("id_str", F.when(F.col("id_str") % 3 == 0, 0.9).when(F.col("id_str") % 3 == 1, 0.5).alias("stance_propaganda"))
+    scores = scores.where("stance_propaganda IS NOT NULL").unionByName(scores.limit(0)).unionByName(spark.createDataFrame([(None, 0.9)], "id_str long, stance_propaganda double"))
+    out = files.stance_by_score(posts, scores)
+    assert sorted(out.columns) == sorted(posts.columns) and out.count() == posts.count()
+    got = {(r["id_str"] % 3, r["stance"]) for r in out.where("in_reply_to_screen_name IS NOT NULL").select("id_str", "stance").collect()}
+    assert got == {(0, 1), (1, 2), (2, None)}
+    assert out.where("in_reply_to_screen_name IS NULL AND stance IS NOT NULL").count() == 0

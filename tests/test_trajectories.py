@@ -133,3 +133,20 @@ def test_heavy_entities_by_sketch_or_by_list(spark):
     assert heavy_entities(df, hot_rows=80) == [] and heavy_entities(df.limit(0), hot_rows=0) == []
     assert EntitySequence(df).buckets is None
     assert EntitySequence(df, heavy=[("v", 3)], rows_per_bucket=1).buckets.count() == 3
+
+
+def test_many_heavy_entities_are_split_too(spark, monkeypatch):
+    """More heavy entities than a list of literals holds."""
+    from behaviorlens.operators import sequence
+
+    monkeypatch.setattr(sequence, "LISTED_ENTITIES", 3)
+    rows = [(f"u{i}", t, "a", 1, t) for i in range(12) for t in range(40 if i < 8 else 5)] + [(None, 1, "a", 1, 1)] * 30
+    df = spark.createDataFrame(rows, "entity string, time int, kind string, activity int, tweet_id int")
+    kw = {"order": ["time"], "rows_per_bucket": 10}
+    split = sequence.EntitySequence(df, hot_rows=20, **kw)
+    assert split.buckets is not None and split.buckets.select("entity").distinct().count() == 8
+    assert split.buckets.groupBy("_b").count().agg({"count": "max"}).first()[0] <= 40
+    plain = sequence.EntitySequence(df, hot_rows=None, **kw)
+    args = {"first": ["time"], "ahead": {"time": 2}}
+    a, b = (sorted(map(tuple, s.annotate(**args).where("entity IS NOT NULL").collect())) for s in (split, plain))
+    assert a == b or sorted(map(repr, a)) == sorted(map(repr, b))
