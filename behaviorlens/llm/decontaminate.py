@@ -5,16 +5,20 @@ space).  An item of ``m`` characters may differ by ``k = floor(rate * m)``
 edits.  Cut into ``k + 1`` pieces, an item within ``k`` edits leaves one piece
 untouched (pigeonhole), so every exact piece hit, and only those, is verified:
 Myers' bit-parallel distance over the window that the hit allows, with the
-item as pattern, gives the smallest edit distance of a substring.
+item as pattern, gives the smallest edit distance of a substring.  An item of
+fewer than ``min_chars`` characters, where an edit makes another word, has a
+budget of 0: one piece, found at word borders only.
 
 Documents are read once and never shuffled: the pieces of a block of items
 travel with the task.  A block's size is bounded; a larger benchmark is
 matched in several blocks, each against all documents.
 
 Defined results: one row for each (row of documents, item row) that matches;
-NULL or empty texts, and items of fewer than ``min_chars`` folded characters,
-match nothing; repeated rows repeat their matches; NULL ids are kept as they
-are.  Columns other than id and text are ignored.
+NULL texts and texts without a letter or digit match nothing; of equally near
+matches in a text the first; an item cut off at a text's start or end is found
+within its budget; repeated rows repeat their matches; NULL ids are kept as they
+are; a text of any length is read once; empty tables give no rows.  Columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed for each folded character of an item.
+#: Edits allowed for each folded character of an item, and the shortest item
+#: that may have any.
 RATE = 0.08
 MIN_CHARS = 24
 #: Characters of items that one block holds.
@@ -90,12 +95,13 @@ class Matcher:
         self.found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             text = folded(text or "")
-            if len(text) < min_chars:
+            if not text:
                 continue
-            k = min(math.floor(rate * len(text)), len(text) - 1)
+            k = min(math.floor(rate * len(text)), len(text) - 1) if len(text) >= min_chars else 0
             for offset, piece in pieces(text, k):
                 self.found[piece].append((len(self.items), offset))
             self.items.append((item_id, text, k))
+        self.min_chars = min_chars
         self.bits: dict[int, tuple[dict, dict]] = {}
         self.trie = ahocorasick.Automaton()
         for piece in self.found:
@@ -107,15 +113,21 @@ class Matcher:
         """(distance, start, length) of the best match near some start."""
         _, item, k = self.items[number]
         m = len(item)
+        if m < self.min_chars:
+            at = next((s for s in sorted(starts) if text[s - 1 : s] in ("", " ") and text[s + m : s + m + 1] in ("", " ")), None)
+            return None if at is None else (0, at, m)
         best = None
-        done = -1
-        for start in sorted(starts):
+        # each window: starts that are near each other, with what their matches may hold
+        windows: list[list[int]] = []
+        for start in sorted(s for s in starts if s >= -k):
             if start >= 0 and text.startswith(item, start):
                 return 0, start, m
-            if start <= done:  # in the window before
-                continue
-            lo, hi = max(0, start - k), start + m + 2 * k
-            done = start + k
+            if windows and start <= windows[-1][1] + k:
+                windows[-1][1] = start
+            else:
+                windows.append([start, start])
+        for first, last in windows:
+            lo, hi = max(0, first - k), last + m + 2 * k
             if number not in self.bits:
                 self.bits[number] = peq(item), peq(item[::-1])
             forward, backward = self.bits[number]
