@@ -10,15 +10,17 @@ each document.  A bucket finds the smallest document of every hash and
 answers each later document; answers and texts meet by blocks of documents,
 where repeated windows merge into maximal spans.
 
-Buckets and document blocks follow ``spark.sql.shuffle.partitions``, so a
-group's size is set by the cluster's partition size.  Hashes travel as 56 bits
+Buckets and document blocks are as many as the text has ``GROUP_BYTES``, and at
+least ``SPREAD`` for each shuffle partition, so a group stays the same size
+however large the corpus.  Hashes travel as 56 bits
 inside their bucket; two different windows are taken for equal with a
 probability of about 2**-56 for each pair within a bucket.
 
 Defined results: NULL text has no words; a NULL id neither loses words nor
 makes others lose them; rows with equal ids are the same document (they never
 remove from each other), each row with its own text; words are split at ASCII
-white space only.  Extra columns are ignored.
+white space only; texts of any length are one row each; an empty table gives no
+rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .common import mixed, powers, run_bounds, run_starts, shuffle_partitions, u
 CHUNK = 1_000_000
 #: Buckets for each shuffle partition, so that hash partitioning is even.
 SPREAD = 2
+#: Text of one bucket or block of documents.
+GROUP_BYTES = 32 << 20
 #: Multiplier and modulus that deal document ids to blocks.
 LEHMER = (48_271, 2**31 - 1)
 _HEAD = struct.Struct("<II")
@@ -58,6 +62,13 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return mixed((prefix[window:] - prefix[:n]) * up[:n])
 
 
+def text_mark(words: np.ndarray) -> int:
+    """Tells texts of one id apart: a polynomial over all words in order."""
+    up, _ = powers(len(words) + 1)
+    total = (words * up[: len(words)]).sum(dtype=np.uint64) + up[len(words)]
+    return int(mixed(np.array([total], np.uint64))[0])
+
+
 def _spans(hit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal word ranges covered by the windows that ``hit`` marks."""
     at = np.flatnonzero(hit)
@@ -113,7 +124,7 @@ def _block(doc: Column, blocks: int) -> Column:
 def _packs(docs: list[tuple[int, np.ndarray]], window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     docs.sort(key=lambda x: x[0])
     ids = np.array([i for i, _ in docs], np.int64)
-    marks = np.array([int(w.sum(dtype=np.uint64)) for _, w in docs], np.uint64)
+    marks = np.array([text_mark(w) for _, w in docs], np.uint64)
     each = [window_hashes(w, window) for _, w in docs]
     sizes = np.array([len(h) for h in each], np.int64)
     hashes = np.concatenate(each)
@@ -201,7 +212,7 @@ def _cut(window: int, id_col: str):
                 a, b = np.searchsorted(ids, [doc, int(doc) + 1])
                 if b > a or doc in with_spans:
                     own, _ = word_hashes(text)
-                    for x, z in known.get((int(doc), int(own.sum(dtype=np.uint64))), ()):
+                    for x, z in known.get((int(doc), text_mark(own)), ()):
                         drop[x] += 1
                         drop[z] -= 1
                     if b > a:
@@ -220,13 +231,18 @@ def _cut(window: int, id_col: str):
     return run
 
 
+def groups(text_bytes: int, partitions: int) -> int:
+    """Buckets, and blocks, of a corpus of so much text."""
+    return max(SPREAD * partitions, -(-text_bytes // GROUP_BYTES))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row for each row of ``docs``: (id, n_words, spans, kept); ``spans``
     are maximal word ranges [from, to) covered by windows that also start in a
     document with a smaller id, ``kept`` the other words joined by a space."""
     spark = docs.sparkSession
-    blocks = SPREAD * shuffle_partitions(spark)
     given = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("__text"))
+    blocks = groups(given.agg(F.sum(F.octet_length("__text"))).first()[0] or 0, shuffle_partitions(spark))
     packs = given.dropna().mapInArrow(_windows(window, blocks), SLOT)
     answers = packs.groupBy("slot").applyInPandas(_answers(blocks), ANSWER)
     # rows without an id are spread by their text
