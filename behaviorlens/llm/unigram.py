@@ -122,6 +122,8 @@ class Model:
     trie: tuple = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
+        content = (self.pieces, self.scores, self.kinds, self.dummy_prefix, self.squeeze)
+        self.digest = hashlib.sha256(repr(content).encode()).hexdigest()
         usable = [(p.encode(), i) for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER) and p]
         self.trie = double_array(sorted(dict(usable[::-1]).items()))
         normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
@@ -243,15 +245,15 @@ class Encoder:
         return literal.join(self._marked(x) if x else b"" for x in [first, *(x.replace(" ", MARK) for x in own[1:])])
 
 
-#: Of a worker process, by model: what it remembers serves its later tasks.
+#: Of a worker process, by the model's content: what it remembers serves its later tasks.
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder_of(model: Model) -> Encoder:
-    if model.name not in _encoders:
+    if model.digest not in _encoders:
         _encoders.clear()
-        _encoders[model.name] = Encoder(model)
-    return _encoders[model.name]
+        _encoders[model.digest] = Encoder(model)
+    return _encoders[model.digest]
 
 
 def surfaces(model: Model) -> list[bytes]:
