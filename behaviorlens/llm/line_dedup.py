@@ -14,7 +14,9 @@ Everything is DataFrame functions.
 Defined results: a NULL or empty text is one empty line; an empty key (with
 ``min_key_chars`` >= 1) never drops; rows with equal ``doc_id`` count as one
 document, and each text of it has a bitmap of its own; rows with a NULL id are kept whole.  Columns other
-than id and text pass through ``apply_bitmaps`` whatever their names.
+than id and text pass through ``apply_bitmaps`` whatever their names, but for
+those that it adds, which are an error; lines and texts may be of any length;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,13 +110,15 @@ def kept_lines(text: Column, dropped: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus ``__n_lines``, ``__n_dropped``
     and ``__kept``, the text of the lines that stay."""
+    added = ["__n_lines", "__n_dropped", "__kept"]
+    if taken := sorted(set(added) & set(docs.columns)):
+        raise ValueError(f"columns that the result adds: {', '.join(taken)}")
+    # given columns travel under positions, so no name can clash
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     maps = bitmaps.select(F.col(id_col).alias("__id"), F.col("n_dropped").alias("__n_dropped"), F.col("dropped").alias("__dropped"), "__mark").hint("shuffle_hash")
-    both = docs.join(maps, (docs[id_col] == maps["__id"]) & (text_mark(docs[text_col]) == maps["__mark"]), "left")
-    lines = F.size(lines_of(docs[text_col])).cast("long")
-    kept = F.array_join(kept_lines(docs[text_col], F.col("__dropped")), "\n")
-    return both.select(
-        *[docs[c] for c in docs.columns],
-        lines.alias("__n_lines"),
-        F.coalesce("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"),
-        kept.alias("__kept"),
-    )
+    both = own.join(maps, (F.col(key) == F.col("__id")) & (text_mark(F.col(text)) == F.col("__mark")), "left")
+    lines = F.size(lines_of(F.col(text))).cast("long")
+    kept = F.array_join(kept_lines(F.col(text), F.col("__dropped")), "\n")
+    out = both.select(*own.columns, lines.alias("__n_lines"), F.coalesce("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"), kept.alias("__kept"))
+    return out.toDF(*docs.columns, *added)
