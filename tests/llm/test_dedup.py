@@ -221,3 +221,22 @@ def test_queries_on_whole_texts(spark, tmp_path, rows):
     assert got == {d: (a, b, sha(c)) for d, (a, b, c) in words.items()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op7_ngram_join"](spark, str(tmp_path)).collect()}
     assert got == brute_groups(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_permuted_texts_of_one_id(spark, parts):
+    """Rows of one id whose texts hold the same words in another order keep and
+    lose their own words, however the rows fall into tasks."""
+    words = [f"p{i}" for i in range(60)]
+    turned = words[30:] + words[:30]
+    other = [f"q{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, " ".join(words)), (5, " ".join(turned)), (5, " ".join(other[::-1])), (5, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == sorted([(1, 60, " ".join(words)), (5, 60, ""), (5, 60, " ".join(turned)), (5, 60, " ".join(other[::-1])), (5, 60, " ".join(other))])
+
+
+def test_groups_grow_with_the_text():
+    small, large = (substring_dedup.groups(n << 30, 200) for n in (1, 1000))
+    assert small == 400 and large == 32_000
+    assert substring_dedup.groups(0, 8) == 16

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import chat_windows, embedding_dedup, url_filter
+from behaviorlens.llm import chat_windows, embedding_dedup, line_dedup, url_filter
 from behaviorlens.llm.queries import QUERIES, URL_RULES
 
 
@@ -225,3 +225,13 @@ def test_hot_vector_links(spark):
     one = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
     out = embedding_dedup.near_duplicates(one)
     assert out.filter("n_links = 2999 and component_id = 0").count() == 3000
+
+
+def test_line_dedup_carries_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "hot\nown %d" % i, "x", i, 1, "m") for i in range(4)], "doc_id long, text string, `a.b` string, c1 long, __id long, __mark string")
+    out = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs, min_docs=2))
+    assert out.columns == [*docs.columns, "__n_lines", "__n_dropped", "__kept"]
+    assert sorted((r["doc_id"], r["a.b"], r["c1"], r["__id"], r["__mark"], r["__kept"]) for r in out.collect()) == [(i, "x", i, 1, "m", "hot\nown 0" if i == 0 else "own %d" % i) for i in range(4)]
+    clash = docs.withColumnRenamed("c1", "__n_dropped")
+    with pytest.raises(ValueError, match="__n_dropped"):
+        line_dedup.apply_bitmaps(clash, line_dedup.drop_bitmaps(clash))

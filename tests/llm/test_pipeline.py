@@ -1,7 +1,10 @@
 """The corpus pipeline, stage by stage, against brute force on what the stage
 before kept."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import brute_groups, brute_lines
 
 import corpus_pipeline
@@ -78,3 +81,16 @@ def test_stages_on_odd_and_empty_inputs(spark):
             docs = written(stage(spark, docs, SF))
         assert docs.columns == [*schema.fieldNames(), "rep", "score", "ids", "n_tokens"]
         assert (docs.count() > 0) == bool(given)
+
+
+CLASHING = ["selected", "expected_grade", "p_top", "ids", "n_tokens", "__n_dropped", "__kept", "a.b", "column_0", "component_id", "item_id", "IDS_"]
+
+
+def test_columns_of_any_name_pass_unchanged(spark):
+    docs = table(spark, SF, "documents").select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHING])
+    given = docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF))
+    assert docs.columns == [*given, "ids__", "n_tokens_"]
+    wrong = [F.col(f"`{c}`") != F.concat(F.lit(f"{c} "), "doc_id") for c in CLASHING]
+    assert docs.count() > 100 and docs.filter(reduce(lambda a, b: a | b, wrong)).count() == 0

@@ -73,6 +73,49 @@ def test_items_within_the_budget(spark):
     assert decontaminate.find_items(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_any_length_anywhere(spark):
+    """Items of 1 to 100 characters at the start, in the middle and at the end
+    of a text, whole or cut at the text's edge within their budget."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("klmnopqr") for _ in range(r.randrange(1, 8)))
+    items = {}
+    for n in [*range(1, 30), 40, 60, 86, 100]:
+        text = word()
+        while len(text) < n:
+            text += " " + word()
+        items[n] = text[:n].strip() or "z"
+    rows = []
+    for i, item in items.items():
+        k = int(decontaminate.RATE * len(item)) if len(item) >= decontaminate.MIN_CHARS else 0
+        for cut in {0, min(1, k), k}:
+            for text in (item[cut:] + " xx yy", "xx yy " + item[: len(item) - cut], item[cut:], f"xx {item} yy", f"xx{item}yy", f"xx{item} yy", f"{item} {item[cut:]}"):
+                rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = set()
+    for doc, text in rows:
+        text = decontaminate.folded(text)
+        for i, item in items.items():
+            if len(item) < decontaminate.MIN_CHARS:
+                if f" {item} " in f" {text} ":
+                    want.add((doc, i, 0))
+            elif (d := substring_distance(item, text)) <= int(decontaminate.RATE * len(item)):
+                want.add((doc, i, d))
+    got = [(x.doc_id, x.item_id, x.distance) for x in decontaminate.find_items(docs, bench).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {i for _, i, _ in want} == set(items)
+
+
+def test_a_very_long_text_and_item_copies_side_by_side(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    near = item.replace("quick", "quack").replace("lazy", "lasy")
+    texts = [(1, "w" * 2_000_000), (2, "x " * 500_000 + near), (3, " ".join([near[1:]] * 300)), (4, near[: len(near) // 2] * 300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = {x.doc_id: x.distance for x in decontaminate.find_items(docs, bench).collect()}
+    assert got == {2: 2, 3: 3}
+
+
 def test_every_planted_item_is_found(spark):
     got = {(x.doc_id, x.item_id) for x in QUERIES["op1_decontaminate"](spark, SF).collect()}
     items = [(x.item_id, decontaminate.folded(x.text)) for x in table(spark, SF, "benchmark").collect()]
@@ -285,3 +328,12 @@ def test_clean_documents_keep_their_text(spark):
     assert both.filter("n_found = 0 and new <> text").count() == 0
     found = both.filter("n_found > 0").collect()
     assert found and all(re.sub(r"[0-9A-Za-z]", "0", r.new) != "" and r.new != r.text for r in found)
+
+
+def test_models_without_a_name_are_told_apart():
+    """One worker, two models built in code: each has its own encoder."""
+    kinds = [unigram.UNKNOWN] + [unigram.NORMAL] * 4
+    small = unigram.Model(["<unk>", "▁", "a", "b", "ab"], [0.0, -1.0, -1.0, -1.0, -9.0], kinds)
+    large = unigram.Model(["<unk>", "▁", "a", "b", "ab"], [0.0, -1.0, -9.0, -9.0, -1.0], kinds)
+    got = [np.frombuffer(unigram.encoder_of(m).encode("ab"), np.int32).tolist() for m in (small, large, small)]
+    assert got == [[1, 2, 3], [1, 4], [1, 2, 3]]
