@@ -9,6 +9,8 @@ arrays of 16 and runs in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, bound by a transform of one
+    element; a column named inside a lambda is computed at each of its turns."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _counts(cells: Column, kind: int) -> Column:
     """Counts of one kind of cell by state, 0 where there is none."""
     own = F.map_from_entries(F.transform(F.filter(cells, lambda c: c["k"] == kind), lambda c: F.struct(c["s"], c["cnt"].cast("double"))))
@@ -36,11 +44,12 @@ def transition_matrix(cells: Column) -> Column:
     places = F.transform(F.filter(cells, lambda c: c["k"] == 0), lambda c: F.struct((c["s"] * N_STATES + c["ns"]).alias("at"), c["cnt"].cast("double").alias("cnt")))
     own = F.map_from_entries(places)
     flat = F.transform(F.sequence(F.lit(0), F.lit(N_STATES**2 - 1)), lambda i: F.coalesce(F.element_at(own, i), F.lit(0.0)))
-    return F.transform(
-        F.array(*map(F.lit, STATES)),
-        # the row is bound once by a one-element transform
-        lambda s: F.get(F.transform(F.array(F.slice(flat, s * N_STATES + 1, N_STATES)), lambda row: F.transform(row, lambda x: F.when(x > 0, x / _sum(row)).otherwise(0.0))), 0),
-    )
+    shares = _once(flat, lambda f: F.transform(F.array(*map(F.lit, STATES)), lambda s: _once(F.slice(f, s * N_STATES + 1, N_STATES), _shares)))
+    return shares
+
+
+def _shares(row: Column) -> Column:
+    return _once(_sum(row), lambda total: F.transform(row, lambda x: F.when(total > 0, x / total).otherwise(0.0)))
 
 
 def model_columns(model: DataFrame) -> DataFrame:
@@ -98,15 +107,18 @@ def visitation(share: Column) -> Column:
     """Expected visits of each state in ``traj_len`` steps (M6), from columns
     p and p0 and the share of each state's seen action: D_0 = p0, D_t the
     product of D_(t-1) with the shared transitions."""
-    into = F.transform(F.array(*map(F.lit, STATES)), lambda k: F.zip_with(share, "p", lambda a, row: a * F.get(row, k)))
     steps = F.when(F.col("traj_len") > 1, F.sequence(F.lit(1), F.col("traj_len").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
     def moved(state: Column, columns: Column) -> Column:
         now = F.transform(columns, lambda column: dot(column, state["d"]))
         return F.get(F.transform(F.array(now), lambda d: F.struct(d.alias("d"), F.zip_with(state["sum"], d, lambda a, b: a + b).alias("sum"))), 0)
 
+    def into(given: Column) -> Column:
+        return F.transform(F.array(*map(F.lit, STATES)), lambda k: F.zip_with(given["share"], given["p"], lambda a, row: a * F.get(row, k)))
+
     start = F.struct(F.col("p0").alias("d"), F.col("p0").alias("sum"))
-    return F.get(F.transform(F.array(into), lambda columns: F.aggregate(steps, start, lambda state, _: moved(state, columns))), 0)["sum"]
+    given = F.struct(share.alias("share"), F.col("p").alias("p"))
+    return _once(given, lambda g: _once(into(g), lambda columns: F.aggregate(steps, start, lambda state, _: moved(state, columns))))["sum"]
 
 
 def _seen_share() -> Column:

@@ -379,7 +379,7 @@ def value_difference_table(model_r: DataFrame) -> DataFrame:
 
 def expected_visitation_table(model_r: DataFrame, policy_name: str = "uniform") -> DataFrame:
     """Under the uniform policy, or the soft one of ``r`` (``optimal``)."""
-    return policy.visitation_table(model_r if policy_name == "uniform" else with_values(model_r), policy_name)
+    return policy.visitation_table(_spread(model_r) if policy_name == "uniform" else with_values(model_r), policy_name)
 
 
 def step_errors(model: DataFrame, epochs: int, learning_rate: float = LEARNING_RATE) -> DataFrame:
