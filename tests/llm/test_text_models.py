@@ -1,8 +1,11 @@
 """Decontamination, quality, pseudonyms and SentencePiece against brute force,
 exact round trips and held-out accuracy."""
 
+import datetime
+import ipaddress
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -234,6 +237,134 @@ def test_permutations_are_bijections():
     assert sorted(f.permute(x, 200, "t", lambda x: x % 2 == 1) for x in odd) == odd
 
 
+def test_addresses_against_a_plain_search():
+    """The search from each @ finds what a search from each start finds."""
+    plain = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    rng = random.Random(5)
+    n = 0
+    for _ in range(20000):
+        text = "".join(rng.choice(["a", "B", "7", ".", "-", "%", "@", "@", ".com", " ", "é", "x@y.de"]) for _ in range(rng.randrange(1, 14)))
+        want = [m.span() for m in plain.finditer(text)]
+        assert list(pseudonyms._mails(text)) == want, text
+        n += len(want)
+    assert n > 5000
+
+
+def test_hostile_texts_take_linear_time():
+    own = pseudonyms.Pseudonyms(b"k")
+    for unit in ("%E3", "a.", "a-", "1.1.1.1..", "@", "@a.", "a@", "1 ", "4 ", "AB12 ", "(", "12-"):
+        text = "x@ " + unit * (1_000_000 // len(unit)) + " y@z"
+        began = time.process_time()
+        own.replace(text)
+        assert time.process_time() - began < 30, unit
+    text = "ab" * 100_000 + "@example.com"
+    new, found = own.replace(text)
+    assert found == [("email", 0, len(text))] and pseudonyms.decrypt(new, b"k") == text
+
+
+def _luhn_holds(digits):
+    doubled = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+    return sum(doubled[int(d)] if i % 2 else int(d) for i, d in enumerate(digits[::-1])) % 10 == 0
+
+
+def _mod97_holds(iban):
+    rest = 0
+    for c in iban[4:] + iban[:4]:
+        for d in str(ord(c) - 55) if c.isalpha() else c:
+            rest = (rest * 10 + int(d)) % 97
+    return rest == 1 and iban[2:4] not in ("00", "01", "99")
+
+
+def _holds(name, value):
+    """Validity by other means than the module's."""
+    digits = re.sub("[^0-9]", "", value)
+    if name == "card":
+        return 13 <= len(digits) <= 19 and _luhn_holds(digits)
+    if name == "iban":
+        return _mod97_holds(value.replace(" ", ""))
+    if name == "ip":
+        ipaddress.ip_address(".".join(str(int(x)) for x in value.split(".")))
+        return True
+    if name == "ssn":
+        return value[:3] not in ("000", "666") and value[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+    if name == "phone":
+        return len(digits) in (10, 11)
+    if name == "date":
+        forms = ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d")
+        for form in forms:
+            try:
+                return 1900 <= datetime.datetime.strptime(value, form).year < 2100
+            except ValueError:
+                continue
+        return False
+    return value.count("@") == 1
+
+
+def _shape(text):
+    return re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", text)))
+
+
+def test_planted_values_are_found_and_stay_in_their_format():
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        while not _luhn_holds(d := rng.choice("3456") + digits(15)):
+            pass
+        return rng.choice([d, " ".join(re.findall("....", d)), "-".join(re.findall("....", d))])
+
+    def iban():
+        while not _mod97_holds(d := f"DE{rng.randrange(2, 99):02d}" + digits(18)):
+            pass
+        return d
+
+    def date():
+        d = datetime.date.fromordinal(datetime.date(1900, 1, 1).toordinal() + rng.randrange(73049))
+        m, day = rng.choice([f"{d.month}", f"{d.month:02d}"]), rng.choice([f"{d.day}", f"{d.day:02d}"])
+        return rng.choice([f"{d.year}-{m}-{day}", f"{day}.{m}.{d.year}", f"{day}/{m}/{d.year}", f"{m}/{day}/{d.year}", f"{d.year}/{m}/{day}"])
+
+    make = {
+        "card": card,
+        "iban": iban,
+        "date": date,
+        "ip": lambda: ".".join(rng.choice([str(x), f"{x:02d}", f"{x:03d}"]) for x in (rng.randrange(256) for _ in range(4))),
+        "ssn": lambda: f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}",
+        "phone": lambda: f"({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{digits(4)}",
+        "email": lambda: f"{rng.choice('abZ9')}{rng.choice(['.', '_', 'x'])}{digits(3)}q@mail.example.org",
+    }
+    own = pseudonyms.Pseudonyms(b"k")
+    for _ in range(300):
+        planted = [(name, make[name]()) for name in rng.choices(list(make), k=6)]
+        text, spans = "", []
+        for name, value in planted:
+            text += rng.choice(["see ", "no: ", "é, ", "by\n"])
+            spans.append((name, len(text), len(value)))
+            text += value + rng.choice([", ", "; ", " and "])
+        new, found = own.replace(text)
+        assert found == spans, text
+        assert pseudonyms.decrypt(new, b"k") == text
+        again, found_again = own.replace(new)
+        assert [f for f, _, _ in found_again] == [f for f, _, _ in found]
+        for (name, a, n), (_, b, m) in zip(found, found_again, strict=True):
+            assert _holds(name, new[b : b + m]), (name, new[b : b + m])
+            if name not in ("date", "ip"):  # whose unpadded parts may get another width
+                assert _shape(new[b : b + m]) == _shape(text[a : a + n])
+
+
+@pytest.mark.parametrize("text", ["010.001.002.003", "10.01.2.003", "00.0.00.255", "2020-1-05", "1/2/2020", "1/25/2020", "05.1.2020", "5.01.2020", "31.1.1999", "01/02/2020"])
+def test_leading_zeros_stay(text):
+    for key in range(50):
+        new, found = pseudonyms.Pseudonyms(b"%d" % key).replace(text)
+        assert len(found) == 1 and pseudonyms.decrypt(new, b"%d" % key) == text
+        zeros = lambda t: [len(x) > 1 and x[0] == "0" for x in re.split("[./-]", t)]
+        assert zeros(new) == zeros(text) or text == "01/02/2020"
+
+
+def test_other_digits_are_left_alone():
+    text = "４１１１１１１１１１１１１１１１ ١٢٣-٤٥-٦٧٨٩ １０.0.0.1 ２０20-01-02 (２12) 555-1234 GB８２WEST12345698765432"
+    assert pseudonyms.Pseudonyms(b"k").replace(text) == (text, [])
+
+
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, TEXT, 1, "c"), (2, None, 2, "c"), (3, "", 3, None), (4, PLAIN + " w" * 100000, 4, "c"), (1, TEXT, 1, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, c0 int, found string")
