@@ -9,15 +9,20 @@ evaluated as a column expression: urls are never joined with the list.
 
 A level is a dense array of 64-bit words built by an OR aggregation and read
 as a scalar subquery.  Its size is bounded: keys are dealt to as many shards
-as keep ``shard_keys`` listed keys in each, every shard has a cascade of its
-own, and urls of different shards are separate branches of a union.
+as keep ``shard_keys`` listed keys in each, and every shard has a cascade of its
+own.  With several shards the parsed urls are stored once, partitioned by
+shard, so that ``pages`` is scanned once and each branch of the union reads its
+own partition.
 
 Everything is DataFrame functions.
 
 Defined results: a NULL url and one without ``://`` have an empty host and
 path; the empty host is a key like any other; a key listed in one row and not
 in another is listed; a NULL list flag is not listed.  Repeated urls get one
-row each; other columns pass through.
+row each; a url may be of any length.  Of rules that fit the longest wins, of
+equally long ones the last in code-point order.  Empty tables give empty ones.
+Other columns pass through whatever their names, but for those named like an
+added one, which it replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written, written_by
 from .line_dedup import LOWER, UPPER
 
 #: Listed keys that one cascade takes; its first level is then below 64 MB.
@@ -38,6 +43,7 @@ HASHES = 4
 CHUNK_WORDS = 1024
 
 Rule = tuple[str, str]
+ADDED = ("host", "path", "rule", "listed", "verdict")
 
 
 def _rest(url: Column) -> Column:
@@ -131,19 +137,28 @@ def judge(pages: DataFrame, keys: DataFrame, rules: list[Rule], url_col: str = "
     (key, listed): every host of ``pages`` and whether the list has it.
     ``rules`` are (verdict, ``host/path``) pairs; the longest that fits wins,
     else listed hosts are blocked."""
-    universe = written(keys.select(F.coalesce("key", F.lit("")).alias("key"), F.coalesce("listed", F.lit(False)).alias("listed")).groupBy("key").agg(F.max("listed").alias("listed")))
-    counts = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
-    shards = max(1, math.ceil(counts[0] / shard_keys))
-    added = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "listed", "verdict")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in added], host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
-    verdict = _longest_rule(F.col("host"), F.col("path"), rules, 0)
+    universe = keys.select(F.coalesce("key", F.lit("")).alias("key"), F.coalesce("listed", F.lit(False)).alias("listed")).groupBy("key").agg(F.max("listed").alias("listed"))
+    universe = written(universe)
+    shards = max(1, math.ceil(universe.agg(F.count_if("listed")).first()[0] / shard_keys))
+    shard = (F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards))).cast("int").alias("shard")
+
+    kept = [(i, c) for i, c in enumerate(pages.columns) if c.lower() not in ADDED]
+    given = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+    url = F.col(f"c{[c.lower() for c in pages.columns].index(url_col.lower())}")
+    urls = given.select(*[f"c{i}" for i, _ in kept], host_of(url).alias("key"), path_of(url).alias("path"))
+    if shards > 1:
+        universe, urls = written_by(universe.select("*", shard), "shard"), written_by(urls.select("*", shard), "shard")
+    else:
+        universe, urls = universe.withColumn("shard", F.lit(0)), urls.withColumn("shard", F.lit(0))
+    counts = {r[0]: (r[1], r[2]) for r in universe.groupBy("shard").agg(F.count_if("listed"), F.count_if(~F.col("listed"))).collect()}
+
+    host, path = F.col("key"), F.col("path")
+    rule, verdict = (_longest_rule(host, path, rules, value) for value in (1, 0))
     out = None
-    for shard in range(shards):
-        of_shard = lambda c, s=shard: F.pmod(F.xxhash64(F.lit("shard"), c), F.lit(shards)) == s
-        own = universe.filter(of_shard(F.col("key"))) if shards > 1 else universe
-        n = own.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first() if shards > 1 else counts
-        part = parts.filter(of_shard(F.col("host"))) if shards > 1 else parts
-        part = part.withColumn("rule", _longest_rule(F.col("host"), F.col("path"), rules, 1)).withColumn("listed", member(F.col("host"), cascade(own, n[0], n[1])))
-        part = part.withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for number in range(shards):
+        levels = cascade(universe.filter(F.col("shard") == number).drop("shard"), *counts.get(number, (0, 0)))
+        part = urls.filter(F.col("shard") == number).withColumn("listed", member(host, levels))
+        listed = F.when(F.col("listed"), "block").otherwise("allow")
+        part = part.select(*[f"c{i}" for i, _ in kept], host, path, rule, "listed", F.coalesce(verdict, listed))
+        out = part if out is None else out.union(part)
+    return out.toDF(*[c for _, c in kept], *ADDED)

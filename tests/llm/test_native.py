@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.llm import chat_windows, embedding_dedup, line_dedup, url_filter
+from behaviorlens.llm.common import written
 from behaviorlens.llm.queries import QUERIES, URL_RULES
 
 
@@ -52,6 +54,20 @@ def test_urls(spark, shard_keys):
         assert (got[i].rule, got[i].verdict) == brute_verdict(host, path, host in listed), u
 
 
+def test_pages_are_scanned_once_for_all_shards(spark, tmp_path):
+    urls = [(i, f"http://h{i % 300}.org/{i}", i) for i in range(2000)]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(urls, "page_id long, url string, `a.b` int").write.parquet(path)
+    pages = spark.read.parquet(path)
+    keys = pages.select(url_filter.host_of(F.col("url")).alias("key"), (F.col("page_id") % 300 < 240).alias("listed"))
+    out = url_filter.judge(pages, written(keys), [], shard_keys=40)
+    files = out.inputFiles()
+    assert not any(path in f for f in files) and len(files) == len(set(files))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*shard", plan)) == 6
+    assert [(r[0], r["a.b"], r.verdict) for r in out.orderBy("page_id").collect()] == [(i, i, "block" if i % 300 < 240 else "allow") for i in range(2000)]
+
+
 def test_urls_without_list_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
     keys = spark.createDataFrame([("a.org", False)], "key string, listed boolean")
@@ -217,8 +233,38 @@ def test_bounds_are_never_below_the_cosine():
     for dim in (1, 3, 64, 2000):
         a, b = (embedding_dedup.unit(r.normal(size=(40, dim)) * np.exp(r.normal(size=(40, dim)) * 3)) for _ in range(2))
         cosine = a @ b.T
-        bound = embedding_dedup.bounds(embedding_dedup.quantised(a), embedding_dedup.quantised(b))
-        assert (bound >= cosine).all() and (dim < 64 or (bound - cosine).mean() < 0.2)
+        lower, upper = embedding_dedup.bounds(embedding_dedup.quantised(a), embedding_dedup.quantised(b))
+        assert (upper >= cosine).all() and (lower <= cosine).all() and (dim < 64 or (upper - lower).mean() < 0.4)
+        back = embedding_dedup.bounds(embedding_dedup.quantised(b), embedding_dedup.quantised(a))
+        assert (back[0].T == lower).all() and (back[1].T == upper).all()
+
+
+@pytest.mark.parametrize("tile", [embedding_dedup.TILE, 2])
+def test_doubles_are_not_rounded(spark, tile):
+    at = lambda cos, size: [size * cos, size * (1 - cos * cos) ** 0.5]
+    rows = [(0, [1.0, 0.0], 1), (1, at(0.93 + 1e-9, 1e200), 1), (2, at(0.93 - 1e-9, 1.0), 2), (3, [1e-300, 0.0], 2)]
+    rows += [(4, [1.0, 1.0], 3), (5, [1.0, 1.0 + 1e-12], 3), (6, [1.0, 1.0], 3), (7, [1.0, -1.0], 3)]
+    vectors = spark.createDataFrame(rows, "`vec.id` long, embedding array<double>, label int")
+    out = embedding_dedup.near_duplicates(vectors, id_col="vec.id", tile=tile).collect()
+    assert sorted(tuple(x)[:3] for x in out) == [(0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 0, 7)]
+
+
+def test_full_vectors_travel_for_open_pairs_only(spark):
+    """Links around the threshold, decided by full vectors, of ids that more
+    than one label and vector use."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        v = np.zeros(8)
+        v[0], v[1 + i % 7] = 0.93, (1 - 0.93**2) ** 0.5
+        v += r.normal(size=8) * 1e-3
+        rows.append((i, [float(x) for x in v.astype(np.float32)], i % 2))
+    rows += [(300 + i, [1.0] + [0.0] * 7, i) for i in range(2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute_links(rows, 0.93)
+    assert len({n for n, _, _ in want.values()}) > 3
+    for tile in (embedding_dedup.TILE, 16):
+        assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(vectors, tile=tile).collect()} == want
 
 
 def test_hot_vector_links(spark):
