@@ -27,8 +27,9 @@ tile and no list of all pairs.  Groups are the connected components.
 
 Defined results: NULL or word-less text has an empty set, is its own group
 and links with nothing; a text shorter than ``k`` words is one shingle; rows
-with equal ids are one node; a row with a NULL id has a NULL group.  Columns
-other than id and text are ignored.
+with equal ids are one node; a row with a NULL id has a NULL group; a
+similarity equal to the threshold links; texts are read whole, of any length; an
+empty table gives an empty one.  Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

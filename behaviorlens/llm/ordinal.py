@@ -19,7 +19,10 @@ Defined results: NULL and empty texts have the shape features of an empty
 text and are scored; rows whose rating is NULL are not used for the fit; a
 document with several ratings counts once for each; documents with equal ids
 are scored separately; without any rated document every score is NULL and
-nothing is selected.  Extra columns pass through.
+nothing is selected; an empty table gives an empty one; texts are scored whole,
+of any length; a probability equal to the least one selects.  Extra columns pass
+through whatever their names, but for those named like an added one, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -161,11 +164,11 @@ def grade(docs: DataFrame, model: Model | None, n_grades: int, text_col: str = "
     """``docs`` plus (expected_grade, p_top, selected): the mean of the grade's
     distribution, the probability of the top grade, and whether that is
     ``min_top`` or more."""
-    if model is None:
-        none = F.lit(None).cast("double")
-        return docs.select("*", none.alias("expected_grade"), none.alias("p_top"), F.lit(False).alias("selected"))
     added = ("expected_grade", "p_top", "selected")
     kept = [f for f in docs.schema.fields if f.name.lower() not in added]
+    if model is None:
+        none = F.lit(None).cast("double")
+        return docs.select(*[F.col(f"`{f.name}`") for f in kept], none.alias("expected_grade"), none.alias("p_top"), F.lit(False).alias("selected"))
     own = [f for f in kept if f.name != text_col]
     plain = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)], F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)] + [T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -15,7 +15,10 @@ is written as byte pieces, so that decoding gives the text back exactly.
 Defined results: NULL text has NULL ids and decodes to NULL; an empty text has
 no ids; NULL ids inside a list and ids out of range are skipped; control
 pieces decode to nothing, the unknown piece to its surface; byte pieces that
-are no UTF-8 decode to U+FFFD.  Other columns pass through.
+are no UTF-8 decode to U+FFFD; of segmentations of equal score the one whose
+last piece is longest is taken; texts are encoded whole, of any length, repeated
+rows alike; an empty table gives an empty one.  Other columns pass through, but
+for those named like an added one, which it replaces.
 """
 
 from __future__ import annotations

@@ -1,11 +1,14 @@
 """The corpus pipeline, stage by stage, against brute force on what the stage
 before kept."""
 
+import re
 from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import brute_groups, brute_lines
+from test_text_models import plain_grades
 
 import corpus_pipeline
 from behaviorlens.llm import decontaminate, ordinal, unigram
@@ -38,9 +41,12 @@ def test_columns_and_whole_run(spark, stages):
 
 
 def test_quality_stage(spark, stages):
+    """The fitted model's selection, computed by the definitions."""
     model = ordinal.train(stages[0], rated_documents(spark, SF), GRADES)
-    want = {r.doc_id for r in ordinal.grade(stages[0], model, GRADES).filter("p_top >= 0.6").collect()}
-    assert {d for d, _ in rows(stages[1])} == want
+    top = {d: plain_grades(t, model)[1][-1] for d, t in rows(stages[0])}
+    sure = {d for d, p in top.items() if abs(p - 0.6) > 1e-4}
+    want = {d for d, p in top.items() if p >= 0.6}
+    assert {d for d, _ in rows(stages[1])} & sure == want & sure and len(sure) > 0.99 * len(top)
     rated = {r.doc_id: r.grade for r in rated_documents(spark, SF).collect()}
     good = [d for d, g in rated.items() if g == 2]
     assert sum(d in want for d in good) > 0.95 * len(good)
@@ -66,6 +72,36 @@ def test_decontamination_stage(spark, stages):
     assert exact and not exact & {d for d, _ in rows(stages[4])}
 
 
+def test_decontamination_stage_by_full_tables(spark):
+    """Against the whole edit table of every item and every document."""
+    sf = "/root/testdata/sf0.001"
+    items = [re.sub(r"[\W_]+", " ", r.text.lower()).strip() for r in table(spark, sf, "benchmark").collect()]
+    docs = table(spark, sf, "documents").unionByName(table(spark, SF, "documents").filter("n_chars < 2500").orderBy("doc_id").limit(150), allowMissingColumns=True)
+    width = max(map(len, items))
+    pattern = np.full((len(items), width), -1, np.int32)
+    for i, item in enumerate(items):
+        pattern[i, : len(item)] = [ord(c) for c in item]
+    last = np.array([len(x) for x in items])
+    allowed = (0.08 * last).astype(int)
+    steps = np.arange(width + 1, dtype=np.int32)
+
+    def holds(text):
+        column = np.tile(steps, (len(items), 1))
+        for c in re.sub(r"[\W_]+", " ", text.lower()).strip():
+            new = np.empty_like(column)
+            new[:, 0] = 0
+            new[:, 1:] = np.minimum(column[:, 1:] + 1, column[:, :-1] + (pattern != ord(c)))
+            column = np.minimum.accumulate(new - steps, axis=1) + steps
+            if (column[np.arange(len(items)), last] <= allowed).any():
+                return True
+        return False
+
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    leaky = {d for d, t in given if holds(t)}
+    kept = {d for d, _ in rows(corpus_pipeline.drop_benchmark_copies(spark, docs, sf))}
+    assert kept == {d for d, _ in given} - leaky and leaky and kept
+
+
 def test_encoding_stage(spark, stages):
     model = unigram.read_model(spark, SENTENCEPIECE_MODEL)
     out = unigram.decode(stages[5], model)

@@ -3,12 +3,15 @@ exact round trips and held-out accuracy."""
 
 import datetime
 import ipaddress
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from behaviorlens.llm import decontaminate, ordinal, pseudonyms, unigram
 from behaviorlens.llm.queries import QUERIES, SENTENCEPIECE_MODEL, rated_documents
@@ -140,6 +143,47 @@ def test_quality_on_documents_it_has_not_seen(spark):
     assert rest["expected_grade"].between(0, 2).all()
 
 
+def plain_grades(text, model):
+    """(expected grade, probability of each grade or a higher one) by the
+    definitions, a token at a time."""
+    counts = {}
+    tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+    for t in tokens:
+        counts[t] = counts.get(t, 0) + 1
+    value = {t: 1 + math.log(c) for t, c in counts.items()}
+    length = max(1.0, sum(x * x for x in value.values())) ** 0.25
+    score = sum(float(model.weights[zlib.crc32(t.encode()) % 2**model.bits]) * x / length for t, x in value.items())
+    n = max(1, len(tokens))
+    shape = [
+        len(counts) / n,
+        max(counts.values(), default=0) / n,
+        min(len(text or "") / n, 20) / 20,
+        sum(not t[0].isalnum() for t in tokens) / n,
+        sum(t[0].isdigit() for t in tokens) / n,
+        min(n, 1000) / 1000,
+        math.log1p(n) / 12,
+    ]
+    score += sum(float(w) * x for w, x in zip(model.weights[2**model.bits :], shape, strict=True))
+    above = [1 / (1 + math.exp(cut - score)) for cut in model.thresholds]
+    return sum(above), above
+
+
+def test_grades_by_their_definitions(spark):
+    docs = table(spark, SF, "documents")
+    model = ordinal.train(docs, rated_documents(spark, SF), 3)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "é 漢字 __ !! 12 ²" * 2000)], "doc_id long, text string")
+    given = docs.select("doc_id", "text", F.lit("own").alias("a.b"), F.lit(7).alias("score")).unionByName(odd.select("*", F.lit("own").alias("a.b"), F.lit(7).alias("score")))
+    out = ordinal.grade(given, model, 3).collect()
+    assert len(out) == docs.count() + 3 and all(r["a.b"] == "own" and r.score == 7 for r in out)
+    for r in out:
+        expected, above = plain_grades(r.text, model)
+        assert abs(r.expected_grade - expected) < 1e-4 and abs(r.p_top - above[-1]) < 1e-4
+        assert r.selected == (r.p_top >= ordinal.MIN_TOP)
+    for known in (model, None):
+        replaced = ordinal.grade(given.withColumn("Selected", F.lit("x")), known, 3)
+        assert replaced.columns == [*given.columns, "expected_grade", "p_top", "selected"]
+
+
 def test_gradient_by_differences():
     r = np.random.default_rng(0)
     index, begins = r.integers(0, 6, 40), np.arange(0, 41, 4)
