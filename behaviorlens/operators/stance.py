@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PLACEHOLDERS, strip_text, tokenize
+from ..session import stored
 from .partitioning import spread
 
 SUPPORT, OPPOSE, NEITHER = 1, 2, 3
@@ -86,13 +87,17 @@ def train_classifier(
     that hash to one of ``num_features`` buckets share its weight: take several
     times the corpus's distinct tokens.
 
-    ``naive_bayes`` (multinomial) trains in one aggregation pass over the
-    features; ``logistic`` runs one distributed pass per optimiser step, with
-    the feature table persisted for those passes and released afterwards."""
+    The posts are tokenised once, into a stored table that the document
+    frequencies and the training read.  ``naive_bayes`` (multinomial) trains in
+    one aggregation pass over the features; ``logistic`` runs one distributed
+    pass per optimiser step, with the feature table persisted for those passes
+    and released afterwards."""
     if classifier not in CLASSIFIERS:
         raise ValueError(f"classifier must be one of {CLASSIFIERS}")
-    data = spread(labelled).select(
-        post_tokens(F.col(text_col)).alias("tokens"), F.col(label_col).cast("double").alias("label")
+    data = stored(
+        spread(labelled).select(
+            post_tokens(F.col(text_col)).alias("tokens"), F.col(label_col).cast("double").alias("label")
+        )
     )
     featurizer = Pipeline(
         stages=[

@@ -23,6 +23,9 @@ from .schema import ACTIVE_THRESHOLD, EPOCHS, PASSIVE_THRESHOLD
 from .session import stored
 from .sources import files
 
+#: Stance tokens that a model takes, a few lists of top words.
+MAX_VOCABULARY = 100_000
+
 
 def infer_rewards(
     tables: dict[str, DataFrame],
@@ -97,11 +100,15 @@ def stance_scores(
 ) -> dict[str, DataFrame]:
     """Stance tokens from word lists (column ``word``), a classifier trained on
     labelled posts (``labels`` 1/2/3, ``text``; remapped to 1 vs rest, hash
-    split by text), scores for ``posts`` (``author_id``, ``body``)."""
+    split by text), scores for ``posts`` (``author_id``, ``body``).  The tokens
+    travel through the driver: more than ``MAX_VOCABULARY`` are an error."""
     tokens = stance.stance_tokens(word_lists)
     # the token file holds the lists' own words; placeholders are added for the model
     own_placeholders = [r["word"] for r in word_lists.where(F.col("word").isin(PLACEHOLDERS)).select("word").distinct().collect()]
-    vocabulary = sorted(r["token"] for r in tokens.collect())  # a few top-k lists
+    listed = tokens.limit(MAX_VOCABULARY + 1).collect()
+    if len(listed) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} stance tokens: pass the top words of the lists")
+    vocabulary = sorted(r["token"] for r in listed)
     lab = labelled.select(
         "text", stance.remap_labels(F.col("labels")).alias("label"), stance.hash_split(F.col("text")).alias("split")
     )
@@ -111,8 +118,8 @@ def stance_scores(
     raw = stance.score_posts(model, posts)
     by_author = stance.author_mean(raw)
     if out_dir:
-        listed = tokens.where(~F.col("token").isin(PLACEHOLDERS) | F.col("token").isin(own_placeholders))
-        files.write_words(listed, os.path.join(out_dir, "stance_tokens"))
+        own = tokens.where(~F.col("token").isin(PLACEHOLDERS) | F.col("token").isin(own_placeholders))
+        files.write_words(own, os.path.join(out_dir, "stance_tokens"))
         files.write_scores(raw, os.path.join(out_dir, "raw_predicted_stance"))
         files.write_scores(by_author, os.path.join(out_dir, "by_user_predicted_stance"))
     return {"tokens": tokens, "accuracy": acc, "scores": raw, "by_author": by_author}

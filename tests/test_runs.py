@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens import runs
@@ -60,3 +61,10 @@ def test_token_file_has_the_lists_words_only(spark, tmpdir_path):
     posts = spark.createDataFrame([("a", "war")], "author_id string, body string")
     runs.stance_scores(words, labelled, posts, out_dir=tmpdir_path)
     assert sorted(r[0] for r in spark.read.text(os.path.join(tmpdir_path, "stance_tokens")).collect()) == ["peace", "war"]
+
+
+def test_too_many_tokens_are_an_error(spark):
+    words = spark.range(runs.MAX_VOCABULARY).select(F.concat(F.lit("w"), "id").alias("word"))
+    none = spark.createDataFrame([], "labels int, text string, author_id string, body string")
+    with pytest.raises(ValueError, match="stance tokens"):
+        runs.stance_scores(words, none, none)
