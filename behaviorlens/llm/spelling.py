@@ -40,11 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import shuffle_partitions, written
+from .common import shuffle_partitions, utf8, written
 
 LETTER = "A-Za-zÀ-ÿ"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = str.maketrans(UPPER, LOWER)
 _GAP = re.compile(f"[^{LETTER}]")
 #: Characters of a text that are cut into words at once.
 SLICE = 1 << 20
@@ -59,30 +57,23 @@ COUNT = "word string, n long"
 PAIR = "word string, n long, near string, n_of_near long"
 
 
-def runs_of(text: str, least: int) -> Counter:
+def runs_of(raw: bytes, least: int) -> Counter:
     """Maximal runs of at least ``least`` letters, with A-Z lower-cased."""
     pattern = re.compile(f"[{LETTER}]{{{least},}}")
     out: Counter = Counter()
+    text = raw.lower().decode()  # of bytes: A-Z only
     start = 0
     while start < len(text):
         gap = _GAP.search(text, start + SLICE)
         stop = gap.start() if gap else len(text)
-        out.update(pattern.findall(text[start:stop].translate(_FOLD)))
+        out.update(pattern.findall(text, start, stop))
         start = stop
     return out
 
 
-def with_typo(doc: int, run: str) -> str:
-    h = zlib.crc32(f"{doc}:{run}".encode())
-    if h % TYPO:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
-
-
 def _counts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
@@ -91,8 +82,13 @@ def _counts(least: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                # the checksum of "<doc>:" goes on with each word
+                head = None if doc is None else zlib.crc32(f"{doc}:".encode())
                 for word, n in runs_of(text.as_py(), least).items():
-                    held[word if doc is None else with_typo(doc, word)] += n
+                    if head is not None and not (h := zlib.crc32(word.encode(), head)) % TYPO:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                    held[word] = held.get(word, 0) + n
                 if len(held) >= HELD_WORDS:
                     yield out()
         yield out()
@@ -103,7 +99,7 @@ def _counts(least: int):
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 7, min_count: int = 2) -> DataFrame:
     """(word, n): words of at least ``min_chars`` characters that occur
     ``min_count`` times or more."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
+    given = docs.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text")).filter("text is not null")
     counts = given.mapInArrow(_counts(min_chars), COUNT).filter(F.length("word") >= min_chars)
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
