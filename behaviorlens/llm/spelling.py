@@ -122,33 +122,44 @@ def scan(words: list[str], size: int, after: Callable[[str, str], bool]) -> Iter
     for q, word in enumerate(words):
         if len(word) != size:
             continue
+        padded = word + "\0\0\0"  # cells past the word match nothing
         rows = [(2, 0, 1)]
+        opens: list[str | None] = [None]  # characters that keep a row at one edit; None: any
         depth = 0  # rows that hold for the listed word
         j = 0
         while j < n:
             listed = words[j]
-            dead = False
-            while depth < len(listed):
-                left, same, right = rows[depth]
+            long = len(listed)
+            while depth < long:
                 c = listed[depth]
-                i = depth + 1
-                # insertion, match or replacement, deletion; cells past the word are lost
-                a = min(same + 1, left + (not (i > 1 and word[i - 2] == c)))
-                b = min(right + 1, same + (not (i <= size and word[i - 1] == c)), a + 1) if i <= size else 2
-                d = min(right + (not (i + 1 <= size and word[i] == c)), b + 1) if i + 1 <= size else 2
-                if a > 1 and b > 1 and d > 1:
-                    dead = True
+                go_on = opens[depth]
+                if go_on is not None and c not in go_on:
+                    # lost: the prefix up to here, one character more than
+                    # depth, and past the last of these all that share depth
+                    lost = depth if not go_on or c > max(go_on) else depth + 1
+                    while shared[j] >= lost:
+                        j = less[j]
                     break
+                left, same, right = rows[depth]
                 depth += 1
-                del rows[depth:]
+                i = depth
+                if same:  # one edit: only matches go on
+                    a = 1 if left == 1 and padded[i - 2] == c else 2
+                    b = 1 if same == 1 and padded[i - 1] == c else 2
+                    d = 1 if right == 1 and padded[i] == c else 2
+                else:  # insertion, match or replacement, deletion
+                    a = 1
+                    b = 2 if i > size else 1 if c != word[i - 1] else 0
+                    d = 1 if i < size and (not b or word[i] == c) else 2
+                del rows[depth:], opens[depth:]
                 rows.append((a, b, d))
-            if dead:
-                # the prefix up to here, one character more than depth, is lost
-                while shared[j] > depth:
-                    j = less[j]
-            elif j != q and after(word, listed):
+                if b:
+                    opens.append((padded[i - 1] if a == 1 else "") + (padded[i] if b == 1 else "") + (padded[i + 1] if d == 1 else ""))
+                else:
+                    opens.append(None)
+            else:
                 last = rows[depth]
-                if (len(listed) == size and j > q and last[1] == 1) or (len(listed) == size + 1 and last[0] == 1):
+                if j != q and ((long == size and j > q and last[1] == 1) or (long == size + 1 and last[0] == 1)) and after(word, listed):
                     yield q, j
             depth = min(depth, shared[j])
             j += 1

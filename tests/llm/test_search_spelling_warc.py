@@ -161,11 +161,15 @@ def test_variants_against_all_pairs(spark, hot_list):
     assert set(short) == variants(rows, 1, 1, 3)
 
 
-def test_scan_against_all_pairs():
+@pytest.mark.parametrize("letters", ["a", "ab", "abé", "aàÿz×÷bc"])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8])
+def test_scan_against_all_pairs(letters, size):
     r = random.Random(9)
-    words = sorted({"".join(r.choice("ab") for _ in range(r.choice([5, 5, 6]))) for _ in range(90)})
-    got = {frozenset((words[i], words[j])) for i, j in spelling.scan(words, 5, lambda a, b: True)}
-    assert got == {frozenset((a, b)) for a in words for b in words if len(a) == 5 and len(b) in (5, 6) and one_edit(a, b)}
+    for n in (0, 1, 2, 30, 120):
+        words = sorted({"".join(r.choice(letters) for _ in range(r.choice([size, size, size + 1]))) for _ in range(n)})
+        got = [frozenset((words[i], words[j])) for i, j in spelling.scan(words, size, lambda a, b: True)]
+        assert len(got) == len(set(got))
+        assert set(got) == {frozenset((a, b)) for a in words for b in words if len(a) == size and len(b) in (size, size + 1) and one_edit(a, b)}
 
 
 def test_variants_of_an_empty_table(spark):
