@@ -161,6 +161,17 @@ def test_variants_against_all_pairs(spark, hot_list):
     assert set(short) == variants(rows, 1, 1, 3)
 
 
+@pytest.mark.parametrize("width", [1, 3, 1 << 20])
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_runs_of_sliced_texts(monkeypatch, width, least):
+    monkeypatch.setattr(spelling, "SLICE", width)
+    r = random.Random(11)
+    for _ in range(200):
+        text = "".join(r.choice("abZÄäßÿŸ×İſK 1\n-é中😀\u0301") for _ in range(r.randrange(60)))
+        want = Counter(w.translate(LOWER) for w in re.findall("[A-Za-zÀ-ÿ]+", text) if len(w) >= least)
+        assert spelling.runs_of(text.encode(), least) == want
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "abé", "aàÿz×÷bc"])
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 8])
 def test_scan_against_all_pairs(letters, size):
