@@ -5,8 +5,10 @@ execution does not split window partitions.  ``EntitySequence`` finds *heavy*
 entities (more than ``hot_rows`` events) with one aggregation over the
 entity column, or takes a list from the caller.  Without any, the plan is the
 plain window.  Rows of heavy entities are range-partitioned by entity and the
-full order key, so the splitters come from a sample of the key itself, and the
-partition number becomes a bucket: windows run on ``(entity, bucket)``.  The
+full order key, so the splitters come from a sample of the key itself, and
+sorted; each run of ``rows_per_bucket`` sorted rows of a partition becomes a
+bucket: windows run on ``(entity, bucket)``.  There are as many partitions as
+the rows ask for at the default bucket, however small the buckets are.  The
 few facts that cross a bucket border (rows before it, the entity's first row,
 the first rows after it, entity totals) come from a table with one row for
 each bucket.
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ORDER_COLUMNS, TIE_COLUMNS
-from ..session import stored
+from ..session import default_parallelism, stored
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_ROWS_PER_BUCKET = 500_000
+#: Range partitions of heavy entities for each core, where buckets are smaller.
+PARTITIONS_PER_CORE = 2
 #: Heavy entities that are told apart by a list of literals; more by a join.
 LISTED_ENTITIES = 1_000
 
@@ -72,10 +76,16 @@ class EntitySequence:
                 keys = found.select(F.col(entity).alias("_heavy"))
                 hot = df.join(keys, F.col(entity) == F.col("_heavy"), "left_semi")
                 self.plain = df.join(keys, F.col(entity) == F.col("_heavy"), "left_anti")
-            parts = math.ceil(rows / rows_per_bucket) + entities
-            hot = hot.repartitionByRange(parts, F.col(entity), *self._order())
+            buckets = math.ceil(rows / rows_per_bucket) + entities
+            few = max(math.ceil(rows / DEFAULT_ROWS_PER_BUCKET) + entities, PARTITIONS_PER_CORE * default_parallelism(df.sparkSession))
+            hot = hot.repartitionByRange(min(buckets, few), F.col(entity), *self._order())
+            if buckets > few:  # rows numbered in their order, the partition in the upper bits
+                hot = hot.sortWithinPartitions(F.col(entity), *self._order())
+                place = F.floor(F.monotonically_increasing_id() / rows_per_bucket)
+            else:
+                place = F.spark_partition_id()
             # stored, so that every use sees the same buckets
-            self.buckets = stored(hot.withColumn("_b", F.spark_partition_id()))
+            self.buckets = stored(hot.withColumn("_b", place.cast("long")))
 
     def _order(self) -> list[Column]:
         return [F.col(c).asc_nulls_last() if c == self.time_col else F.col(c).asc_nulls_first() for c in self.order]

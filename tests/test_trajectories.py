@@ -150,3 +150,22 @@ def test_many_heavy_entities_are_split_too(spark, monkeypatch):
     args = {"first": ["time"], "ahead": {"time": 2}}
     a, b = (sorted(map(tuple, s.annotate(**args).where("entity IS NOT NULL").collect())) for s in (split, plain))
     assert a == b or sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_small_buckets_take_few_tasks(spark):
+    """Buckets far smaller than a task's rows stay that small, but share files."""
+    from behaviorlens.operators.sequence import EntitySequence
+    from behaviorlens.session import default_parallelism
+
+    df = spark.range(2400).selectExpr(
+        "CAST(id % 3 AS string) AS entity", "CAST(id DIV 2 AS int) AS time", "IF(id % 2 = 0, 'a', 'p') AS kind",
+        "CAST(id % 8 + 1 AS int) AS activity", "id AS tweet_id", "id AS post_id", "id AS statuses",
+    )
+    seq = EntitySequence(df, hot_rows=50, rows_per_bucket=4)
+    sizes = [r["count"] for r in seq.buckets.groupBy("entity", "_b").count().collect()]
+    assert sum(sizes) == 2400 and max(sizes) <= 4
+    assert len(seq.buckets.inputFiles()) <= 2 * default_parallelism(spark) + 4
+    ask = {"first": ["activity"], "ahead": {"statuses": 2, "activity": 1}, "counts": {"n_active": F.col("kind") == "a"}}
+    split = seq.annotate(**ask)
+    plain = EntitySequence(df, hot_rows=None).annotate(**ask).select(*split.columns)
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
