@@ -36,7 +36,9 @@ from . import policy
 F_MAT = np.asarray(FEATURE_MATRIX, dtype=float)  # (16, 6)
 SEEN_ACTION = np.arange(N_STATES) % N_ACTIONS
 KERNEL_CHUNK = 4096  # entities per tensor block inside one Arrow batch
-ACCOUNTS_PER_TASK = 500  # solver rows of one partition: some tens of seconds at the default epochs
+ACCOUNTS_PER_TASK = 2000  # solver rows of one partition: some tens of seconds at the default epochs
+GROUP_STATES = 8  # states of one solver group, unless an entity has more
+BLOCK = 4  # steps of the expected visitation that are taken at once, a power of two
 
 
 # --- dense model --------------------------------------------------------------
@@ -70,41 +72,50 @@ def dense_model(batch: pa.RecordBatch):
 
 
 # --- value iteration ------------------------------------------------------------
-def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold: float, states=None) -> np.ndarray:
-    """In-place (Gauss-Seidel) sweeps over states 0..15, vectorised over entities.
+def _coefficients(tp: np.ndarray, r: np.ndarray, discount: float) -> np.ndarray:
+    """Rows of the sweeps in state-major layout (S states, S + 1, B): discount * P
+    and, as the last one, P . r."""
+    b, n, _ = tp.shape
+    g = np.empty((n, n + 1, b))
+    np.multiply(tp.transpose(1, 2, 0), discount, out=g[:, :n])
+    g[:, n] = np.einsum("bsk,bk->sb", tp, r)
+    return g
 
-    ``gpt`` is discount * P in state-major layout (16 states, 16 next states, B),
-    ``pr`` = P . r in layout (16, B).  Each state's new value is
+
+def _sweeps(g: np.ndarray, gate: np.ndarray | None, threshold: float, states=None) -> np.ndarray:
+    """In-place (Gauss-Seidel) sweeps over the states in order, vectorised over
+    entities; values in layout (S, B).
+
+    ``g`` holds ``_coefficients``.  Each state's new value is
     ``max(0, pr[s] + gpt[s] . v)`` (``gate`` None: optimal value, unseen actions
     contribute 0) or ``gate[s] * (pr[s] + gpt[s] . v)`` (fixed policy).  An
     entity stops after the first sweep whose largest change is <= threshold.
 
-    ``pr`` rides along as a 17th coefficient row against a constant 1 in the
+    P . r rides along as a last coefficient row against a constant 1 in the
     value vector, so one contraction per state gives ``pr[s] + gpt[s] . v``.
     ``states`` lists the states with a non-zero row somewhere in the batch;
     the others keep value 0 (max(0, 0)) and are not swept."""
-    states = range(N_STATES) if states is None else states
-    b = pr.shape[1]
-    v = np.zeros((N_STATES + 1, b))
-    v[N_STATES] = 1.0
+    n, _, b = g.shape
+    states = range(n) if states is None else states
+    v = np.zeros((n + 1, b))
+    v[n] = 1.0
     work = np.arange(b)  # columns being swept; compacted when half have converged
-    g = np.concatenate([gpt, pr[:, None, :]], axis=1)  # (16, 17, B)
     gs = gate
     vv = v
     live = np.ones(b, dtype=bool)  # within the working set
     buf = np.empty(b)
     while True:
-        before = vv[:N_STATES].copy()
+        before = vv[:n].copy()
         for s in states:
             np.einsum("kb,kb->b", g[s], vv, out=buf)
             if gs is None:
                 np.maximum(buf, 0.0, out=vv[s])
             else:
                 np.multiply(buf, gs[s], out=vv[s])
-        diff = np.abs(vv[:N_STATES] - before).max(axis=0)
-        done = ~live
-        if done.any():  # converged earlier: undo this sweep for them
-            vv[:N_STATES, done] = before[:, done]
+        diff = np.abs(vv[:n] - before).max(axis=0)
+        if not live.all():  # converged earlier: undo this sweep for them
+            done = ~live
+            vv[:n, done] = before[:, done]
         live &= diff > threshold
         n_live = int(live.sum())
         if n_live == 0:
@@ -120,7 +131,7 @@ def _sweeps(gpt: np.ndarray, pr: np.ndarray, gate: np.ndarray | None, threshold:
             buf = np.empty(work.size)
     if vv is not v:
         v[:, work] = vv
-    return v[:N_STATES].T.copy()
+    return v[:n]
 
 
 def swept_states(tp: np.ndarray) -> list[int]:
@@ -128,19 +139,12 @@ def swept_states(tp: np.ndarray) -> list[int]:
     return np.flatnonzero(tp.any(axis=(0, 2))).tolist()
 
 
-def _state_major(tp: np.ndarray, r: np.ndarray, discount: float):
-    gpt = np.ascontiguousarray((discount * tp).transpose(1, 2, 0))  # (s, k, B)
-    pr = np.ascontiguousarray(np.einsum("bsk,bk->sb", tp, r))
-    return gpt, pr
-
-
 def optimal_values(tp: np.ndarray, r: np.ndarray, discount: float = DISCOUNT, threshold: float = VALUE_THRESHOLD) -> np.ndarray:
     """Optimal state values by in-place sweeps over states 0..15 (M2).
 
     v[s] = max over actions of tp[s, a] . (r + discount * v); unseen actions
     give 0, so v[s] = max(0, P[s] . (r + discount * v))."""
-    gpt, pr = _state_major(tp, r, discount)
-    return _sweeps(gpt, pr, None, threshold, swept_states(tp))
+    return np.ascontiguousarray(_sweeps(_coefficients(tp, r, discount), None, threshold, swept_states(tp)).T)
 
 
 def q_values(tp: np.ndarray, r: np.ndarray, v: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
@@ -168,36 +172,97 @@ def policy_values(tp, policy, r, discount: float = DISCOUNT, threshold: float =
     """Values of a deterministic policy by in-place sweeps (M5); a state whose
     policy action was never seen there has an all-zero row and value 0."""
     follows = np.ascontiguousarray((policy == SEEN_ACTION[None, :]).astype(float).T)  # (16, B)
-    gpt, pr = _state_major(tp, r, discount)
-    return _sweeps(gpt, pr, follows, threshold, swept_states(tp))
+    return np.ascontiguousarray(_sweeps(_coefficients(tp, r, discount), follows, threshold, swept_states(tp)).T)
+
+
+def _summed_visits(m: np.ndarray, p0: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sum of ``p0 m**t`` over t < length; ``m`` in layout (S, S, B), ``p0`` and
+    the sums in (S, B).  The first ``length % BLOCK`` terms go one by one, the
+    others by whole blocks: a block's sum moves on by ``m**BLOCK``."""
+
+    def moved(d: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.einsum("ib,ikb->kb", d, by)
+
+    blocks, rest = np.divmod(np.maximum(length, 1), BLOCK)
+    total, d = np.zeros_like(p0), p0
+    for t in range(BLOCK - 1):
+        more = t < rest
+        total += d * more
+        d = np.where(more, moved(d, m), d)
+    block = d
+    for _ in range(BLOCK - 1):
+        d = moved(d, m)
+        block = block + d
+    far = m
+    for _ in range(BLOCK.bit_length() - 1):
+        far = np.einsum("ijb,jkb->ikb", far, far)
+    last = int(blocks.max(initial=0))
+    for t in range(last):
+        total += block * (t < blocks)
+        if t + 1 < last:
+            block = moved(block, far)
+    return total
 
 
 def expected_svf(tp, policy, p0, length) -> np.ndarray:
     """Expected state visitation summed over L steps (M6): D0 = p0,
     D_t = D_{t-1} M with M[i, k] = sum_a policy[i, a] tp[i, a, k]."""
-    b = p0.shape[0]
     seen = policy[:, np.arange(N_STATES), SEEN_ACTION]  # (B, 16)
-    m = seen[:, :, None] * tp
-    d = p0[:, None, :].copy()
-    total = p0.copy()
-    for t in range(1, int(length.max(initial=0))):
-        d = np.matmul(d, m)
-        total += d[:, 0, :] * (t < length)[:, None]
-    return total
+    m = np.ascontiguousarray((seen[:, :, None] * tp).transpose(1, 2, 0))
+    return np.ascontiguousarray(_summed_visits(m, np.ascontiguousarray(p0.T), length).T)
+
+
+def state_groups(tp: np.ndarray, p0: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Entities that share a small set of states, as (entities, states).  A
+    state counts for an entity that leaves, enters or starts in it; in the
+    others it has value, start and visits 0.  Under the action rules few of the
+    16 states go together.  Sets are united up to ``GROUP_STATES`` states."""
+    used = tp.any(axis=2) | tp.any(axis=1) | (p0 != 0)
+    codes, of = np.unique(used @ (1 << np.arange(N_STATES)), return_inverse=True)
+    unions: list[int] = []
+    group = np.zeros(len(codes), dtype=int)
+    for i in sorted(range(len(codes)), key=lambda i: (-int(codes[i]).bit_count(), i)):
+        code = int(codes[i])
+        fits = (g for g, u in enumerate(unions) if (u | code).bit_count() <= max(code.bit_count(), GROUP_STATES))
+        if (g := next(fits, None)) is None:
+            g = len(unions)
+            unions.append(0)
+        unions[g] |= code
+        group[i] = g
+    return [(np.flatnonzero(group[of] == g), np.flatnonzero([u >> s & 1 for s in range(N_STATES)])) for g, u in enumerate(unions)]
+
+
+def _ascend(tp, p0, fe, length, alpha, states, epochs, learning_rate, discount, threshold) -> np.ndarray:
+    """Feature weights of entities whose model has only the given states, in
+    state-major layout."""
+    features = F_MAT[states]
+    swept = swept_states(tp)
+    p = np.ascontiguousarray(tp.transpose(1, 2, 0))  # (S, S, B)
+    start = np.ascontiguousarray(p0.T)
+    g = _coefficients(tp, np.zeros(p0.shape), discount)
+    for _ in range(epochs):
+        r = np.ascontiguousarray((alpha @ features.T).T)
+        np.einsum("skb,kb->sb", p, r, out=g[:, -1])
+        v = _sweeps(g, None, threshold, swept)
+        q = np.einsum("skb,kb->sb", p, r + discount * v)
+        top = np.maximum(q, 0.0)
+        e = np.exp(q - top)
+        seen = e / (e + (N_ACTIONS - 1) * np.exp(-top))  # unseen actions have Q 0
+        svf = _summed_visits(p * seen[:, None, :], start, length)
+        alpha = alpha + learning_rate * (fe - svf.T @ features)
+    return alpha
 
 
 def maxent_irl(tp, p0, fe, length, alpha0, epochs=EPOCHS, learning_rate=LEARNING_RATE, discount=DISCOUNT, threshold=VALUE_THRESHOLD):
     """Maximum-entropy IRL by gradient ascent on feature weights (M1).
 
     Each epoch: r = F alpha, optimal values, stochastic policy, expected
-    visitation; grad = fe - F^T svf.  Returns (r, alpha)."""
+    visitation; grad = fe - F^T svf.  Returns (r, alpha).  Entities are solved
+    in the groups of states that they visit."""
     alpha = alpha0.copy()
-    for _ in range(epochs):
-        r = alpha @ F_MAT.T
-        v = optimal_values(tp, r, discount, threshold)
-        pol = stochastic_policy(tp, r, v, discount)
-        svf = expected_svf(tp, pol, p0, length)
-        alpha += learning_rate * (fe - svf @ F_MAT)
+    for rows, states in state_groups(tp, p0):
+        model = np.ascontiguousarray(tp[np.ix_(rows, states, states)])
+        alpha[rows] = _ascend(model, p0[np.ix_(rows, states)], fe[rows], length[rows], alpha0[rows], states, epochs, learning_rate, discount, threshold)
     return alpha @ F_MAT.T, alpha
 
 

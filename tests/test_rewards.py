@@ -212,3 +212,41 @@ def test_step_errors_find_a_wrong_step(spark, monkeypatch):
 
 def test_step_errors_of_no_account(spark):
     assert R.step_errors(random_model(spark).limit(0).drop("r"), 5).count() == 0
+
+
+def test_solver_groups_hold_the_whole_model():
+    """Accounts are solved by the few states they visit: no state, start or
+    visit is lost, and blocks of steps sum to what single steps do."""
+    rng = np.random.default_rng(5)
+    sets = [(3, 2, 6, 10, 14), (3, 1, 5, 9, 13), (0, 3, 4, 7, 8, 11, 12, 15), (0, 3, 4), tuple(range(16)), (7,)]
+    b = 60
+    tp, p0 = np.zeros((b, 16, 16)), np.zeros((b, 16))
+    for i in range(b):
+        states = np.array(sets[i % len(sets)])
+        tp[i][np.ix_(states, states)] = rng.dirichlet(np.ones(len(states)), size=len(states))
+        p0[i, states] = rng.dirichlet(np.ones(len(states)))
+        tp[i, states[-1]] = 0  # entered, not left
+    length = rng.integers(1, 101, b)
+    groups = R.state_groups(tp, p0)
+    assert sorted(np.concatenate([rows for rows, _ in groups]).tolist()) == list(range(b))
+    for rows, states in groups:
+        other = np.setdiff1d(np.arange(16), states)
+        assert not tp[rows][:, other].any() and not tp[rows][:, :, other].any() and not p0[rows][:, other].any()
+    assert min(len(states) for _, states in groups) <= 8 and len(groups) < len(sets)
+    r = rng.random((b, 16))
+    pol = R.stochastic_policy(tp, r, R.optimal_values(tp, r))
+    seen = pol[:, np.arange(16), np.arange(16) % 4]
+    for i in range(b):
+        d, total = p0[i], p0[i].copy()
+        for _ in range(1, length[i]):
+            d = d @ (seen[i][:, None] * tp[i])
+            total = total + d
+        np.testing.assert_allclose(R.expected_svf(tp, pol, p0, length)[i], total, rtol=1e-12, atol=1e-14)
+    fe, alpha0 = rng.random((b, 6)) * 20, rng.random((b, 6))
+    rewards, _ = R.maxent_irl(tp, p0, fe, length, alpha0, epochs=3, learning_rate=0.01)
+    alpha = alpha0
+    for _ in range(3):
+        now = alpha @ R.F_MAT.T
+        policy = R.stochastic_policy(tp, now, R.optimal_values(tp, now))
+        alpha = alpha + 0.01 * (fe - R.expected_svf(tp, policy, p0, length) @ R.F_MAT)
+    np.testing.assert_allclose(rewards, alpha @ R.F_MAT.T, rtol=1e-9, atol=1e-9)
