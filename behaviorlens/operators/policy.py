@@ -106,19 +106,32 @@ def greedy_policy_table(solved: DataFrame) -> DataFrame:
 def visitation(share: Column) -> Column:
     """Expected visits of each state in ``traj_len`` steps (M6), from columns
     p and p0 and the share of each state's seen action: D_0 = p0, D_t the
-    product of D_(t-1) with the shared transitions."""
+    product of D_(t-1) with the shared transitions.  Only the states that the
+    account leaves, enters or starts in take part; the others have 0."""
     steps = F.when(F.col("traj_len") > 1, F.sequence(F.lit(1), F.col("traj_len").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    states = F.array(*map(F.lit, STATES))
 
     def moved(state: Column, columns: Column) -> Column:
         now = F.transform(columns, lambda column: dot(column, state["d"]))
         return F.get(F.transform(F.array(now), lambda d: F.struct(d.alias("d"), F.zip_with(state["sum"], d, lambda a, b: a + b).alias("sum"))), 0)
 
-    def into(given: Column) -> Column:
-        return F.transform(F.array(*map(F.lit, STATES)), lambda k: F.zip_with(given["share"], given["p"], lambda a, row: a * F.get(row, k)))
+    def own(g: Column) -> Column:
+        left = lambda s: F.exists(F.get(g["p"], s), lambda x: x != 0)
+        entered = lambda s: F.exists(g["p"], lambda row: F.get(row, s) != 0)
+        return F.filter(states, lambda s: (F.get(g["p0"], s) != 0) | left(s) | entered(s))
 
-    start = F.struct(F.col("p0").alias("d"), F.col("p0").alias("sum"))
-    given = F.struct(share.alias("share"), F.col("p").alias("p"))
-    return _once(given, lambda g: _once(into(g), lambda columns: F.aggregate(steps, start, lambda state, _: moved(state, columns))))["sum"]
+    def into(g: Column, kept: Column) -> Column:
+        return F.transform(kept, lambda k: F.transform(kept, lambda i: F.get(g["share"], i) * F.get(F.get(g["p"], i), k)))
+
+    def summed(g: Column, kept: Column) -> Column:
+        start = _once(F.transform(kept, lambda s: F.get(g["p0"], s)), lambda d: F.struct(d.alias("d"), d.alias("sum")))
+        return _once(into(g, kept), lambda columns: F.aggregate(steps, start, lambda state, _: moved(state, columns)))["sum"]
+
+    def by_state(kept: Column, sums: Column) -> Column:
+        return F.transform(states, lambda s: F.coalesce(F.get(sums, F.array_position(kept, s).cast("int") - 1), F.lit(0.0)))
+
+    given = F.struct(share.alias("share"), F.col("p").alias("p"), F.col("p0").alias("p0"))
+    return _once(given, lambda g: _once(own(g), lambda kept: _once(summed(g, kept), lambda sums: by_state(kept, sums))))
 
 
 def _seen_share() -> Column:
