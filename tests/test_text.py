@@ -209,3 +209,19 @@ def test_entities(spark):
     bad = df.select("t", "want", T.decode_entities(F.col("t")).alias("got")).filter("NOT got <=> want").collect()
     assert bad == []
     assert one(spark, T.decode_entities, None) is None
+
+
+def test_fast_patterns_give_the_same_tokens(spark):
+    """The faster forms against the plain ones, on joined odd pieces."""
+    import random
+
+    pieces = ["a", "the", "do", "can", "not", "cannot", "GIMME", "lemme", "'tis", "'Twas", "more'n", "wanna", "d'ye", "d:", "p=", "e@x.org", "a.b@c.org", "x" * 70 + "@c.org", "don't", "re-do", "3.14", "!!!!", "----", "éééé", "😀😀😀😀", "{{{{{", "K", "İ", "ß", "#a", "@b", "http://x.y", "www.z", "\n", "\t", " ", " ", " ", ",", ".", "..", "'", '"', "\x85", " ", "555 1234", "ab_c"]
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))) for i in range(3000)] + [(-1, ""), (-2, None)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    t = F.col("t")
+    assert df.filter(~T.tokenize(t).eqNullSafe(T.tokenize(t, T.TOKEN_PATTERN))).count() == 0
+    assert df.filter(~T.shorten_runs(t).eqNullSafe(F.regexp_replace(t, r"([^a-zA-Z0-9])\1{3,}", "$1$1$1"))).count() == 0
+    padded = F.concat(F.lit(" "), T._rewrite(t, T.WORD_PASSES), F.lit(" "))
+    plain = F.filter(F.split(T._rewrite(padded, T.WORD_PASSES_PADDED), T.SQUEEZE_PATTERN, -1), lambda x: x != "")
+    assert df.filter(~T.tokenize_words(t).eqNullSafe(plain)).count() == 0
