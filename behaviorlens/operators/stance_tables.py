@@ -73,6 +73,13 @@ def post_counts(posts: DataFrame, relative: bool) -> DataFrame:
     return counts.select("__post", "token", (F.col("x") / F.col("size") if relative else F.col("x")).alias("x"))
 
 
+def occurrences(posts: DataFrame, relative: bool) -> DataFrame:
+    """(__post, token, x) with a row for each occurrence, x adding up to that of
+    ``post_counts``: for sums by post, which need no counts before."""
+    each = posts.select("__post", F.size("__tokens").alias("size"), F.explode("__tokens").alias("token"))
+    return each.select("__post", "token", (1.0 / F.col("size") if relative else F.lit(1.0)).alias("x"))
+
+
 def vocabulary_table(posts: DataFrame, label_col: str, stance_words: DataFrame) -> DataFrame:
     """(token, n_1, n_0, copies, frequent) of the training posts' tokens and the
     stance words (a column ``token``)."""
@@ -106,8 +113,8 @@ def _by_token(features: DataFrame, table: DataFrame) -> DataFrame:
     """Features with the columns of a token table (token, ..., frequent), the
     frequent tokens' by broadcast, the others' by shuffle."""
     often = F.broadcast(table.filter("frequent"))
-    seldom = table.filter("not frequent")
-    return features.join(often, "token").unionByName(features.join(seldom, "token"))
+    rest = features.join(F.broadcast(table.filter("frequent").select("token")), "token", "left_anti")
+    return features.join(often, "token").unionByName(rest.join(table.filter("not frequent"), "token"))
 
 
 def _margins(posts: DataFrame, features: DataFrame, model: TableModel) -> DataFrame:
@@ -126,7 +133,7 @@ def score_posts(model: TableModel, posts: DataFrame, text_col: str = "body", sco
     (B5, B6).  Tokens that training has not seen count nothing; a NULL or empty
     text has the intercept's probability."""
     held = numbered(posts, text_col)
-    out = _margins(held, post_counts(held, model.relative), model)
+    out = _margins(held, occurrences(held, model.relative), model)
     keep = [F.col(f"`{c}`") for c in posts.columns if c not in (text_col, score_col)]
     return out.select(*keep, _probability(F.col("__margin")).alias(score_col))
 

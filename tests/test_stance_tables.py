@@ -102,3 +102,17 @@ def test_models_without_posts(spark, train, words, posts):
     assert S.fit_epochs(none, words, held_out=train).evaluation is None
     assert S.score_posts(S.fit_counts(train, words), posts.limit(0)).count() == 0
     assert S.score_posts(S.fit_counts(train, words.limit(0)), posts).count() == len(POSTS)
+
+
+def test_scoring_sums_occurrences(spark):
+    """Sums by post are those of the counts, and take no exchange by post and token."""
+    from behaviorlens.operators import stance_tables as T
+
+    posts = spark.createDataFrame([(1, "war war peace"), (2, "peace"), (3, ""), (4, None), (5, "war unseen war war")], "i int, body string")
+    held = T.numbered(posts, "body")
+    for relative in (False, True):
+        sums = [f(held, relative).groupBy("__post", "token").sum("x").collect() for f in (T.occurrences, T.post_counts)]
+        a, b = ({(r[0], r[1]): round(r[2], 12) for r in rows} for rows in sums)
+        assert a == b and a
+    plan = T.occurrences(held, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
