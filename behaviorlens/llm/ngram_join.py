@@ -1,7 +1,9 @@
 """Near-duplicate groups by Jaccard similarity of word n-gram sets.
 
 Sets are compared exactly, through a prefix filter with token classes.
-Tokens (64-bit shingle hashes) are ordered by value.  Two sets of similarity
+Tokens (64-bit shingle hashes) are ordered by the frequency of their words, rare
+ones first, then by value; word frequencies come from a table of fixed size, and
+any order gives the same groups.  Two sets of similarity
 ``num / den`` can each miss at most ``e = n - ceil(num * n / den)`` of their
 own tokens in the other, so ``e + 1`` tokens of a prefix suffice to meet on a
 single token.  Tokens that occur in more than ``frequent`` prefixes fall into
@@ -17,6 +19,11 @@ Sets with fewer tokens that any other set of a similar size shares are left
 out before signatures are made, so a passage or line that many documents have
 in common does not bring them together.
 
+Before that, the same is done with a shorter prefix of ``e + l`` tokens, of which
+two similar sets share ``l`` of the smaller one at least; ``l`` is 1 and a quarter
+of ``e``.  The sets left, and later those to compare, are picked by a Bloom filter
+of their ids, so that prefixes and texts of others are read but never shuffled.
+
 Equal sets are folded into their smallest id first.  Each signature points to
 the smallest set that has it (its head) and on to the smallest set that the
 head meets; sets sent to the same such block are compared in tiles of bounded
@@ -44,6 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, forest, mixed, run_starts, utf8, word_hashes, written
+from .url_filter import among
 
 CLASSES = 8
 #: Prefixes with a token beyond which it is indexed in combinations.
@@ -51,14 +59,23 @@ FREQUENT = 256
 #: Sets, and tokens of sets, that a tile holds on average.
 TILE_SETS, TILE_TOKENS = 64, 500_000
 COLUMNS = 4096
+#: A set shares one token more of its first prefix for so many it may miss.
+SPARE = 4
+#: Slots of the table of word frequencies, a power of two.
+SLOTS = 65536
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 KEYED = "id long, n long, h1 long, h2 long, prefix array<long>"
 
 
-def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+def slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def shingles(texts: list[bytes], k: int, levels: np.ndarray | None = None) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``k``-word shingles of each text; hashing
-    runs over all texts at once."""
+    runs over all texts at once.  With ``levels``, that of a word by its slot,
+    they are sorted by the sum of their words' levels first."""
     words, at = word_hashes(b"\n".join(texts))
     begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     starts = np.searchsorted(at, begins)
@@ -69,7 +86,19 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
         ahead = np.concatenate((words[j:], np.zeros(min(j, len(words)), np.uint64)))
         step = mixed(value * STEP + ahead)
         value = step if widths.min() >= k else np.where(np.repeat(widths, sizes) > j, step, value)
-    return [np.unique(value[a : a + n - w + 1]) if n else value[:0] for a, n, w in zip(starts[:-1].tolist(), sizes.tolist(), widths.tolist(), strict=True)]
+    spans = [(a, a + n - w + 1) if n else (0, 0) for a, n, w in zip(starts[:-1].tolist(), sizes.tolist(), widths.tolist(), strict=True)]
+    if levels is None:
+        return [np.unique(value[a:b]) for a, b in spans]
+    level, total = levels[slots(words)].astype(np.int64), np.zeros(len(words), np.int64)
+    for j in range(k):
+        ahead = np.concatenate((level[j:], np.zeros(min(j, len(words)), np.int64)))
+        total += ahead if widths.min() >= k else np.where(np.repeat(widths, sizes) > j, ahead, 0)
+    total = np.minimum(total, 65535).astype(np.uint16)
+    out = []
+    for a, b in spans:
+        tokens, first = np.unique(value[a:b], return_index=True)
+        out.append(tokens[np.argsort(total[a:b][first], kind="stable")])
+    return out
 
 
 def missing(n: int, num: int, den: int) -> int:
@@ -104,10 +133,28 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byt
         yield ids, texts
 
 
-def _keyed(k: int, num: int, den: int):
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, words) of the slots that words of (id, text) fall into."""
+    counts = np.zeros(SLOTS, np.int64)
+    for _, texts in _batches(batches):
+        counts += np.bincount(slots(word_hashes(b"\n".join(texts))[0]), minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "words"])
+
+
+def word_levels(given: DataFrame) -> np.ndarray:
+    """Level of each slot of words in ``given`` (id, text), the higher the more
+    frequent: six for each doubling."""
+    counts = given.mapInArrow(_counted, "slot long, words long").groupBy("slot").agg(F.sum("words").alias("words")).toPandas()
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[counts["slot"].to_numpy(np.int64)] = np.minimum(np.rint(6 * np.log2(counts["words"].to_numpy(np.float64) + 1)), 255)
+    return levels
+
+
+def _keyed(k: int, num: int, den: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batches(batches):
-            sets = shingles(texts, k)
+            sets = shingles(texts, k, levels)
             sizes = np.array([len(s) for s in sets], np.int64)
             ends = np.concatenate(([0], np.cumsum(sizes)))
             tokens = np.concatenate(sets)
@@ -184,6 +231,31 @@ def _verified(num: int, den: int):
     return run
 
 
+def _met(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct ids of sets that share as many tokens of a first prefix with
+    others as they share with any similar set."""
+
+    def spare(n: Column) -> Column:
+        return n - F.ceil(n * num / den)
+
+    def least(n: Column) -> Column:
+        return F.floor(spare(n) / SPARE) + 1
+
+    tokens = reps.select("id", least(F.ceil(F.col("n") * num / den)).cast("int").alias("need"), F.explode(F.slice("prefix", 1, (spare(F.col("n")) + least(F.col("n"))).cast("int"))).alias("token"))
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"))
+    have = tokens.join(common, "token").groupBy("id", "need").agg(F.count("*").alias("have"))
+    return written(have.filter("have >= need").select("id").distinct())
+
+
+def _representatives(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, n, prefix) of the rows of ``keyed`` that have the smallest id of
+    their class.  Only rows that can be in a class with others are joined."""
+    several = classes.filter("members > 1")
+    equal = among(written(keyed.join(several, ["h1", "h2"]).select("id").distinct()), F.col("id"))
+    first = written(keyed.filter(equal).join(classes.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"]).select("id", "n", "prefix"))
+    return keyed.filter(~equal).select("id", "n", "prefix").unionByName(first)
+
+
 def _shared(tokens: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     """``tokens`` that two sets or more have in the same ``by``, with their
     number ``df``, of sets with as many of them as a similar pair shares."""
@@ -236,20 +308,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose sets have ``den * intersection >= num * union`` are linked;
     ``component_id`` is the smallest id reachable by links."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    keyed = written(given.mapInArrow(_keyed(k, num, den), KEYED))
-    classes = written(keyed.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
+    keyed = written(given.mapInArrow(_keyed(k, num, den, word_levels(given)), KEYED))
+    sets = keyed.filter("n > 0 and id is not null")
+    classes = written(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
     # equal sizes only reach equal sets, which are one class already
     alone = F.floor(F.col("n") * den / num) == F.col("n")
-    prefixes = keyed.filter(~alone).join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2"])
+    reps = _representatives(sets.filter(~alone), classes)
+    prefixes = reps.filter(among(_met(reps, num, den), F.col("id")))
     tokens = prefixes.select(F.col("id").alias("rep"), "n", F.explode("prefix").alias("token"))
     blocks = _blocks(_signatures(tokens, num, den, frequent))
 
-    wanted = blocks.select(F.col("rep").alias("id")).distinct()
-    sets = given.filter("text is not null").join(wanted, "id", "left_semi").mapInArrow(_sets(k), "rep long, tokens binary")
+    wanted = written(blocks.select("rep").distinct())
+    texts = given.filter(F.col("text").isNotNull() & among(wanted, F.col("id"))).mapInArrow(_sets(k), "rep long, tokens binary")
     sized = blocks.join(keyed.select(F.col("id").alias("rep"), "n").distinct(), "rep")
     tiles = written(sized.groupBy("block", "band").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("tiles")))
     member = blocks.join(tiles, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    other = member.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    other = member.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     paired = other.select("block", "band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "own", "rep", "tokens")
     key = ["block", "band", "lo", "hi"]
     links = paired.repartition(*key).sortWithinPartitions(*key).mapInPandas(_verified(num, den), "a long, b long")

@@ -41,6 +41,8 @@ SHARD_KEYS = 8_000_000
 #: Hash functions of the levels after the first: 1 in 16 passes by mistake.
 HASHES = 4
 CHUNK_WORDS = 1024
+#: Bits for each key of a filter without a cascade, and its words at most.
+KEY_BITS, FILTER_WORDS = 12, 4_000_000
 
 Rule = tuple[str, str]
 ADDED = ("host", "path", "rule", "listed", "verdict")
@@ -108,6 +110,13 @@ def _passes(key: Column, number: int, level: Level) -> Column:
     return out
 
 
+def among(keys: DataFrame, key: Column) -> Column:
+    """True where ``key`` is in the one column of ``keys``, a stored table, and
+    for one in 150 of the others (more where the filter is at its largest)."""
+    words = min(FILTER_WORDS, max(1, math.ceil(keys.count() * KEY_BITS / 64)))
+    return _passes(key.cast(keys.schema[0].dataType), 0, Level(HASHES, words, _filter(keys.toDF("key"), 0, HASHES, words)))
+
+
 def cascade(keys: DataFrame, n_listed: int, n_other: int) -> list[Level]:
     """Levels for ``keys`` (key, listed), distinct keys."""
     levels: list[Level] = []

@@ -192,6 +192,81 @@ def test_short_sets_against_all_small_sets():
             assert slack or partner <= short
 
 
+def frequent_words(n=300, copies=10):
+    """Texts mostly of twelve words, so that every set shares most shingles
+    with others, each with a few words of its own; the last are near copies."""
+    r = random.Random(11)
+    rows = []
+    for i in range(n):
+        words = [r.choice("the of and to in a is that it on or by".split()) for _ in range(200)]
+        for j in range(0, 200, 8):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    return rows + [(n + i, rows[i][1] + " end") for i in range(copies)]
+
+
+def test_common_shingles_alone_reach_no_signatures(spark, monkeypatch):
+    rows, seen = frequent_words(), []
+    real = ngram_join._signatures
+
+    def signatures(tokens, *args):
+        seen.append({r.rep for r in tokens.select("rep").distinct().collect()})
+        return real(tokens, *args)
+
+    monkeypatch.setattr(ngram_join, "_signatures", signatures)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, den=100).collect()}
+    assert got == brute_groups(rows, 3, 90, 100)
+    pairs = {i for i in range(10)} | {300 + i for i in range(10)}
+    assert pairs <= seen[0] and len(seen[0]) < 30
+
+
+def test_texts_of_sets_that_are_compared_are_not_picked_by_a_join(spark, monkeypatch):
+    plans = []
+    real = ngram_join.connected
+
+    def links(edges, *args):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return real(edges, *args)
+
+    monkeypatch.setattr(ngram_join, "connected", links)
+    ngram_join.near_duplicates(spark.createDataFrame(frequent_words(40, 4), "doc_id long, text string"), k=3, num=90, den=100).collect()
+    assert "LeftSemi" not in plans[0]
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (8, 10), (5, 10), (3, 10)])
+def test_similar_sets_meet_in_their_first_prefixes(spark, num, den):
+    """Each pair has tokens of its own, in a random order; none is left out."""
+    r = random.Random(num)
+    rows, similar = [], set()
+    for pair in range(400):
+        base = r.sample(range(1000), r.randrange(1, 120))
+        drop = r.randrange(0, len(base) // 3 + 1)
+        both = [set(base[drop:]) | set(r.sample(range(1000, 2000), r.randrange(0, drop + 2))), set(base[r.randrange(0, drop + 1) :])]
+        for side, s in enumerate(both):
+            size = len(s)
+            rows.append((2 * pair + side, size, [1_000_000 * pair + t for t in sorted(s)[: 2 * ngram_join.missing(size, num, den) + 1 + ngram_join.CLASSES]]))
+        a, b = both
+        if a and b and den * len(a & b) >= num * len(a | b):
+            similar |= {2 * pair, 2 * pair + 1}
+    met = {x.id for x in ngram_join._met(spark.createDataFrame(rows, "id long, n long, prefix array<long>"), num, den).collect()}
+    assert len(similar) > 20 and similar <= met
+
+
+def test_shingles_by_frequency():
+    """The order is one of all texts, and the sets are those in order of value."""
+    import numpy as np
+
+    texts = [b"rare the of and", b"of the of and the rare the of and one", b"x", b""]
+    levels = np.zeros(ngram_join.SLOTS, np.uint8)
+    words, _ = ngram_join.word_hashes(b"the of and")
+    levels[ngram_join.slots(words)] = 200
+    plain, ordered = ngram_join.shingles(texts, 3), ngram_join.shingles(texts, 3, levels)
+    assert [sorted(s.tolist()) for s in ordered] == [s.tolist() for s in plain]
+    common = set(ordered[0].tolist()) & set(ordered[1].tolist())
+    assert len(common) == 2 and [t for t in ordered[0].tolist() if t in common] == [t for t in ordered[1].tolist() if t in common]
+    assert ordered[0][-1] == ngram_join.shingles([b"the of and"], 3)[0][0]
+
+
 def test_near_duplicates_repeated_rows(spark):
     rows = [(1, "a b c d"), (1, "x y z"), (2, "A b c d"), (None, "a b c d"), (3, "")]
     got = sorted(((r.doc_id or 0), r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
