@@ -14,6 +14,7 @@ import corpus_pipeline
 from behaviorlens.llm import decontaminate, ordinal, unigram
 from behaviorlens.llm.common import table, written
 from behaviorlens.llm.queries import GRADES, SENTENCEPIECE_MODEL, rated_documents
+from behaviorlens.llm.url_filter import among
 
 SF = "/root/testdata/sf0.01"
 
@@ -130,3 +131,16 @@ def test_columns_of_any_name_pass_unchanged(spark):
     assert docs.columns == [*given, "ids__", "n_tokens_"]
     wrong = [F.col(f"`{c}`") != F.concat(F.lit(f"{c} "), "doc_id") for c in CLASHING]
     assert docs.count() > 100 and docs.filter(reduce(lambda a, b: a | b, wrong)).count() == 0
+
+
+def test_rows_without_given_ids(spark):
+    """NULL and repeated ids as by an anti-join, which few kept rows reach."""
+    rows = [(i, f"t{i}") for i in range(2000)] + [(5, "again"), (None, "none"), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for ids in ([], [5], list(range(0, 2000, 50)) + [7_000_000]):
+        gone = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        out = corpus_pipeline.without(docs, gone)
+        assert out.columns == docs.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.join(gone, "doc_id", "left_anti").collect()))
+    reached = docs.filter(among(written(gone), F.col("doc_id"))).count()
+    assert 41 <= reached < 200
